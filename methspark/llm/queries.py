@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, url_filter
+from . import decontaminate, exact_dedup, language_id, mixing, ngram_join, substring_dedup, url_filter
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,9 +55,52 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
+ORACLE_SQL["op6_ngram_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(t) < 4 THEN array_to_string(t, ' ') ELSE concat_ws(' ', t[i], t[i + 1], t[i + 2], t[i + 3]) END AS g
+      FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 3, 1) + 1)) AS i FROM w WHERE len(t) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(v, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v AND r.c < e.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(c) FROM r WHERE v = d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-for _query in (op1_url_filter, op2_exact_dedup, op7_mix_sources):
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    found = language_id.identify(docs, model)
+    return found.withColumn("held_out", language_id.held_out()).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op10_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(list_slice(t, i, i + 49), ' ')) AS h FROM (SELECT doc_id, t, unnest(range(1, len(t) - 48)) AS i FROM w WHERE len(t) >= 50)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS m FROM g) WHERE doc_id > m),
+x AS (SELECT DISTINCT doc_id, i + k AS p FROM r, range(0, 50) AS o(k)),
+a AS (SELECT w.doc_id, u.p, t[u.p] AS word FROM w, unnest(range(1, len(t) + 1)) AS u(p)),
+k AS (SELECT a.doc_id, count(x.p) AS n_removed, string_agg(a.word, ' ' ORDER BY a.p) FILTER (WHERE x.p IS NULL) AS kept FROM a LEFT JOIN x ON x.doc_id = a.doc_id AND x.p = a.p GROUP BY a.doc_id)
+SELECT w.doc_id, len(w.t) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+
+for _query in (op1_url_filter, op2_exact_dedup, op4_decontaminate, op6_ngram_join, op7_mix_sources, op9_language_id, op10_substring_dedup):
     QUERIES[_query.__name__] = _query
