@@ -134,3 +134,21 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.array_sort("items").alias("items"),
         F.coalesce(F.array_max("shares"), F.lit(0.0)).alias("containment"),
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that contain no item; no exchange."""
+    spark = docs.sparkSession
+    kept = docs
+    for ids, texts in item_blocks(items, item_id, item_text):
+        block = spark.sparkContext.broadcast((ids, texts))
+        at = docs.columns.index(text_col)
+
+        def search(batches: Iterator[pa.RecordBatch], block=block, at=at) -> Iterator[pa.RecordBatch]:
+            index = ItemBlock(*block.value, n, threshold)
+            for batch in batches:
+                clean = [not index.matches(body, begin, end, value) for _, body, begin, end, value in each_text(batch.column(at), CUT)]
+                yield batch.filter(pa.array(clean, type=pa.bool_()))
+
+        kept = kept.mapInArrow(search, docs.schema)
+    return kept

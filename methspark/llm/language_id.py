@@ -219,6 +219,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(predict, schema)
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is determined with at least the probability ``least``."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            got = (own.predict(text.as_py()) for text in batch.column(at))
+            yield batch.filter(pa.array([label != UNDETERMINED and score >= least for label, score in got], type=pa.bool_()))
+
+    return docs.mapInArrow(judge, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a row is kept from training: crc32 of its id as text is 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
