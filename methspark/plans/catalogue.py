@@ -2,5 +2,465 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import derive, kinetics, motifs
+from ..operators import alignment, correlation, coverage, evaluation, mods, pileup, sampling, scoring
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query, with its oracle if SQL can express it."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+_READS = f"reads AS (SELECT doc_id AS read_id, regexp_replace(translate(text, '{derive.LETTERS}', '{derive.BASES}'), '[^ACGT]', '', 'g') AS seq FROM documents)"
+_CONTIGS = f"contigs AS (SELECT item_id AS chrom, regexp_replace(translate(text, '{derive.LETTERS}', '{derive.BASES}'), '[^ACGT]', '', 'g') AS seq FROM benchmark)"
+_OBS = (
+    "obs AS (SELECT l_suppkey % 5 AS chrom, l_partkey % 40 AS soff, l_linenumber % 3 AS context, CAST(floor(l_extendedprice * 100) AS BIGINT) % 256 AS scaled_prob, "
+    "CAST(floor(l_quantity) AS INT) AS mapq, l_returnflag <> 'R' AS prim, l_orderkey % 2 AS half FROM lineitem)"
+)
+
+
+def _threshold_sql(where: str) -> str:
+    return f"""
+h AS (SELECT context, scaled_prob, count(*) AS n FROM obs {where} GROUP BY 1, 2),
+dense AS (SELECT c.context, b.bin, coalesce(h.n, 0) AS n FROM (SELECT DISTINCT context FROM h) c CROSS JOIN (SELECT unnest(range(256)) AS bin) b LEFT JOIN h ON h.context = c.context AND h.scaled_prob = b.bin),
+ends AS (SELECT context, coalesce(min(bin) FILTER (WHERE n >= 10 AND bin >= 20), 256) AS st, coalesce(max(bin) FILTER (WHERE n >= 10 AND bin < 236), -1) + 1 AS en FROM dense GROUP BY context),
+thr AS (SELECT d.context, CAST(CASE WHEN max(en - st) >= 50 AND sum(n) FILTER (WHERE bin >= st AND bin < en) >= 10000 THEN arg_min(bin, (n, bin)) FILTER (WHERE bin >= st AND bin < en) ELSE 128 END AS INT) AS threshold
+        FROM dense d JOIN ends e ON e.context = d.context GROUP BY d.context)"""
+
+
+# ---- motifs
+
+
+@query(f"WITH {_READS} SELECT read_id, CAST(i AS INT) AS qoff FROM (SELECT read_id, seq, unnest(range(length(seq) - 1)) AS i FROM reads) WHERE substr(seq, CAST(i AS BIGINT) + 1, 2) = 'CG'")
+def cpg_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motifs.motif_sites(derive.reads_seq(spark, sf_dir), ("CpG",)).select("read_id", "qoff")
+
+
+@query(f"WITH {_READS} SELECT read_id, CAST(i AS INT) AS qoff, substr(seq, i + 1, 3) AS motif FROM (SELECT read_id, seq, unnest(range(length(seq) - 2)) AS i FROM reads) WHERE substr(seq, i + 1, 3) IN ('CCG', 'CAG', 'CTG')")
+def chg_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motifs.motif_sites(derive.reads_seq(spark, sf_dir), ("CHG",)).select("read_id", "qoff", "motif")
+
+
+_CHH = f"""{_READS}, k AS (SELECT read_id, i, substr(seq, i + 1, 3) AS m FROM (SELECT read_id, seq, unnest(range(length(seq) - 2)) AS i FROM reads)),
+chh AS (SELECT read_id, i AS qoff, 0 AS strand, m AS motif FROM k WHERE regexp_full_match(m, 'C[ACT][ACT]')
+        UNION ALL SELECT read_id, i + 2, 1, reverse(translate(m, 'ACGT', 'TGCA')) FROM k WHERE regexp_full_match(m, '[AGT][AGT]G'))"""
+
+
+@query(f"WITH {_CHH} SELECT read_id, CAST(strand AS INT) AS strand, motif, count(*) AS n, CAST(sum(qoff) AS BIGINT) AS offsets, CAST(max(qoff) AS INT) AS last FROM chh GROUP BY ALL")
+def chh_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = motifs.motif_sites(derive.reads_seq(spark, sf_dir), ("CHH",))
+    return sites.groupBy("read_id", "strand", "motif").agg(F.count(F.lit(1)).alias("n"), F.sum("qoff").alias("offsets"), F.max("qoff").alias("last"))
+
+
+@query(f"""WITH {_CHH}, hits AS (SELECT read_id, 'CHH' AS context FROM chh UNION ALL SELECT read_id, 'CHG' FROM k WHERE m IN ('CCG', 'CAG', 'CTG')
+UNION ALL SELECT read_id, 'CpG' FROM (SELECT read_id, seq, unnest(range(length(seq) - 1)) AS i FROM reads) WHERE substr(seq, i + 1, 2) = 'CG') SELECT read_id, context, count(*) AS n FROM hits GROUP BY ALL""")
+def union_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motifs.motif_sites(derive.reads_seq(spark, sf_dir)).groupBy("read_id", "context").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_READS}, k AS (SELECT substr(seq, i + 1, 3) AS m FROM (SELECT seq, unnest(range(length(seq))) AS i FROM reads))
+SELECT context, m AS motif, count(*) AS n FROM (SELECT m, CASE WHEN starts_with(m, 'CG') THEN 'CpG' WHEN regexp_full_match(m, 'C[ACT]G') THEN 'CHG' WHEN regexp_full_match(m, 'C[ACT][ACT]') THEN 'CHH' END AS context FROM k)
+WHERE context IS NOT NULL AND length(m) = 3 GROUP BY ALL""")
+def context_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every context counted by triplet; a triplet a base is cut in one regular-expression pass over each read."""
+    triplets = F.explode(F.regexp_extract_all(F.col("seq"), F.lit("(?=([ACGT]{3}))"), F.lit(1))).alias("motif")
+    rows = derive.reads_seq(spark, sf_dir).select(triplets).groupBy("motif").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(motifs.context_of(F.col("motif")).alias("context"), "motif", "n").filter("context is not null")
+
+
+@query(f"""WITH {_READS}, rc AS (SELECT read_id, length(seq) AS len, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM reads)
+SELECT read_id, CAST(i AS INT) AS rc_qoff, CAST(len - 1 - (i + 2) AS INT) AS qoff, substr(seq, i + 1, 3) AS motif FROM (SELECT read_id, len, seq, unnest(range(length(seq) - 2)) AS i FROM rc) WHERE substr(seq, i + 1, 3) IN ('CCG', 'CAG', 'CTG')""")
+def revcomp_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = derive.reads_seq(spark, sf_dir).withColumn("len", F.length("seq")).withColumn("seq", motifs.original_orientation(F.col("seq"), F.lit(16)))
+    sites = motifs.motif_sites(reads, ("CHG",)).join(reads.select("read_id", "len"), "read_id")
+    return sites.select("read_id", F.col("qoff").alias("rc_qoff"), motifs.opposite_position(F.col("len"), F.col("qoff"), 3).cast("int").alias("qoff"), "motif")
+
+
+# ---- histograms, thresholds, pileup
+
+
+@query(f"WITH {_OBS} SELECT context, scaled_prob, count(*) AS n FROM obs GROUP BY ALL")
+def prob_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide(pileup.histogram(derive.site_obs(spark, sf_dir), primary_only=False))
+
+
+@query(f"WITH {_OBS} SELECT context, scaled_prob, count(*) AS n FROM obs WHERE prim GROUP BY ALL")
+def primary_only_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide(pileup.histogram(derive.site_obs(spark, sf_dir)))
+
+
+def _wide(hist: DataFrame) -> DataFrame:
+    return hist.withColumn("scaled_prob", F.col("scaled_prob").cast("long"))
+
+
+@query(f"WITH {_OBS}, {_threshold_sql('')} SELECT context, threshold FROM thr")
+def adaptive_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.adaptive_threshold(pileup.histogram(derive.site_obs(spark, sf_dir), primary_only=False))
+
+
+@query(f"WITH {_OBS}, {_threshold_sql('WHERE prim')} SELECT context, threshold FROM thr")
+def adaptive_threshold_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.adaptive_threshold(pileup.histogram(derive.site_obs(spark, sf_dir)))
+
+
+_SITES = "SELECT chrom, soff, context, count(*) FILTER (WHERE scaled_prob >= threshold) AS pcov, count(*) FILTER (WHERE scaled_prob < threshold) AS ncov FROM obs JOIN thr USING (context) {} GROUP BY ALL"
+_BED = 'SELECT chrom, soff AS start, soff + 1 AS "end", round(100.0 * pcov / (pcov + ncov), 6) AS freq, pcov, ncov, context FROM sites'
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query(f"WITH {_OBS}, {_threshold_sql('WHERE prim')}, sites AS ({_SITES.format('')}) {_BED}")
+def site_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pileup.pileup(derive.site_obs(spark, sf_dir)), "freq")
+
+
+@query(f"WITH {_OBS}, {_threshold_sql('WHERE prim')}, sites AS ({_SITES.format('WHERE mapq >= 20')}) {_BED}")
+def site_pileup_minq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pileup.pileup(derive.site_obs(spark, sf_dir), min_mapq=20), "freq")
+
+
+@query(f"WITH {_OBS} SELECT chrom, count(*) AS n FROM obs GROUP BY chrom")
+def chrom_fact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.fact_counts(derive.site_obs(spark, sf_dir))
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Site counts of either half of the observations, at the fixed threshold 128."""
+    obs = derive.site_obs(spark, sf_dir)
+    hit = F.col("scaled_prob") >= 128
+    counts = obs.groupBy("half", "chrom", "soff", "context").agg(F.count_if(hit).alias("pcov"), F.count_if(~hit).alias("ncov"))
+    return tuple(counts.filter(F.col("half") == k).drop("half") for k in (0, 1))
+
+
+_HALVES = f"{_OBS}, cov AS (SELECT half, chrom, soff, context, count(*) FILTER (WHERE scaled_prob >= 128) AS pcov, count(*) FILTER (WHERE scaled_prob < 128) AS ncov FROM obs GROUP BY ALL)"
+_PAIRED = "pair_ AS (SELECT a.chrom, a.soff, a.context, a.pcov / (a.pcov + a.ncov) AS fa, b.pcov / (b.pcov + b.ncov) AS fb FROM cov a JOIN cov b USING (chrom, soff, context) WHERE a.half = 0 AND b.half = 1 AND a.pcov + a.ncov >= {0} AND b.pcov + b.ncov >= {0})"
+_R = "CASE WHEN count(*) >= 5 THEN round(CASE WHEN var_pop(fa) = 0 OR var_pop(fb) = 0 THEN 0 ELSE covar_pop(fa, fb) / sqrt(var_pop(fa) * var_pop(fb)) END, 6) END AS r"
+
+
+@query(f"WITH {_HALVES}, {_PAIRED.format(5)} SELECT count(*) AS n_loci, {_R} FROM pair_")
+def freq_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(correlation.correlation(*_halves(spark, sf_dir)), "r")
+
+
+@query(f"WITH {_HALVES}, {_PAIRED.format(30)} SELECT context, count(*) AS n_loci, {_R} FROM pair_ GROUP BY context")
+def corr_min_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(correlation.correlation(*_halves(spark, sf_dir), min_cov=30, by=("context",)), "r")
+
+
+@query(f"WITH {_HALVES}, {_PAIRED.format(5)} SELECT chrom, count(*) AS n_loci, CASE WHEN count(*) >= 5 THEN 0.0::DOUBLE END AS r FROM pair_ GROUP BY chrom")
+def corr_zero_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _halves(spark, sf_dir)
+    flat = b.withColumn("pcov", F.col("pcov") + F.col("ncov")).withColumn("ncov", F.lit(0).cast("long"))
+    return correlation.correlation(a, flat, by=("chrom",))
+
+
+@query(f"""WITH {_OBS}, a AS (SELECT chrom, soff, row_number() OVER (PARTITION BY chrom, soff ORDER BY pcov, ncov) AS k, pcov, ncov FROM (SELECT chrom, soff, context, count(*) FILTER (WHERE scaled_prob >= 128) AS pcov, count(*) FILTER (WHERE scaled_prob < 128) AS ncov FROM obs WHERE half = 0 GROUP BY ALL)),
+b AS (SELECT chrom, soff, row_number() OVER (PARTITION BY chrom, soff ORDER BY pcov, ncov) AS k, pcov, ncov FROM (SELECT chrom, soff, context, count(*) FILTER (WHERE scaled_prob >= 128) AS pcov, count(*) FILTER (WHERE scaled_prob < 128) AS ncov FROM obs WHERE half = 1 GROUP BY ALL))
+SELECT chrom, soff, round(a.pcov / (a.pcov + a.ncov), 6) AS fa, round(b.pcov / (b.pcov + b.ncov), 6) AS fb FROM a JOIN b USING (chrom, soff, k)""")
+def dup_key_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (x.drop("context") for x in _halves(spark, sf_dir))
+    return _rounded(correlation.paired(a, b, ("chrom", "soff")), "fa", "fb")
+
+
+@query(f"""WITH {_HALVES} SELECT chrom, soff AS start, soff + 1 AS "end", round(100.0 * pcov / (pcov + ncov), 6) AS freq, round(pcov / (pcov + ncov), 6) AS freq01, pcov, ncov, context FROM cov WHERE half = 0""")
+def bed_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bed = pileup.frequencies(_halves(spark, sf_dir)[0])
+    return _rounded(bed.withColumn("freq01", F.col("pcov") / (F.col("pcov") + F.col("ncov"))), "freq", "freq01")
+
+
+# ---- bisulfite coverage
+
+
+def _coverage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1-based coverage rows on the benchmark's contigs, from the line items."""
+    keys = spark.read.parquet(f"{sf_dir}/benchmark.parquet").agg(F.count(F.lit(1)).alias("n"))
+    rows = derive.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    met = rows.crossJoin(F.broadcast(keys))  # one row
+    counted = met.select((F.col("l_suppkey") % F.col("n")).alias("chrom"), (F.col("l_partkey") % 200 + 1).cast("int").alias("start"), (F.col("l_orderkey") % 7).alias("pcov"), (F.col("l_linenumber") % 4).cast("long").alias("ncov"))
+    return counted.groupBy("chrom", "start").agg(F.sum("pcov").alias("pcov"), F.sum("ncov").alias("ncov"))
+
+
+_COVERAGE = f"""{_CONTIGS}, rows_ AS (SELECT l_suppkey % (SELECT count(*) FROM benchmark) AS chrom, CAST(l_partkey % 200 + 1 AS INT) AS start, CAST(sum(l_orderkey % 7) AS BIGINT) AS pcov, CAST(sum(l_linenumber % 4) AS BIGINT) AS ncov FROM lineitem GROUP BY ALL),
+at_ AS (SELECT r.chrom, start - 1 AS soff, pcov, ncov, substr('--' || seq || '----', start, 5) AS five FROM rows_ r JOIN contigs c ON c.chrom = r.chrom WHERE start <= length(seq)),
+k AS (SELECT *, substr(five, 3, 3) AS fwd, reverse(translate(substr(five, 1, 3), 'ACGT', 'TGCA')) AS back FROM at_)"""
+_FOLDED = """SELECT chrom, start, start + 1 AS "end", round(100.0 * sum(pcov) / (sum(pcov) + sum(ncov)), 6) AS freq, CAST(sum(pcov) AS BIGINT) AS pcov, CAST(sum(ncov) AS BIGINT) AS ncov, motif FROM s GROUP BY chrom, start, motif HAVING sum(pcov) + sum(ncov) > 0"""
+
+
+@query(f"WITH {_COVERAGE}, s AS (SELECT chrom, CASE WHEN starts_with(fwd, 'CG') THEN soff ELSE soff - 1 END AS start, 'CG' AS motif, pcov, ncov FROM k WHERE starts_with(fwd, 'CG') OR substr(five, 2, 2) = 'CG') {_FOLDED}")
+def cov2bed_cpg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(coverage.truth_sites(_coverage_rows(spark, sf_dir), derive.contigs(spark, sf_dir), "CpG"), "freq")
+
+
+@query(f"""WITH {_COVERAGE}, s AS (SELECT chrom, soff AS start, fwd AS motif, pcov, ncov FROM k WHERE fwd IN ('CCG', 'CAG', 'CTG') UNION ALL SELECT chrom, soff - 2, substr(five, 1, 3), pcov, ncov FROM k WHERE substr(five, 1, 3) IN ('CAG', 'CTG')
+UNION ALL SELECT chrom, soff, 'CCG', pcov, ncov FROM k WHERE substr(five, 1, 3) = 'CGG') {_FOLDED}""")
+def cov2bed_chg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(coverage.truth_sites(_coverage_rows(spark, sf_dir), derive.contigs(spark, sf_dir), "CHG"), "freq")
+
+
+@query(f"WITH {_COVERAGE}, s AS (SELECT chrom, soff AS start, CASE WHEN regexp_full_match(fwd, 'C[ACT][ACT]') THEN fwd ELSE back END AS motif, pcov, ncov FROM k WHERE regexp_full_match(fwd, 'C[ACT][ACT]') OR regexp_full_match(back, 'C[ACT][ACT]')) {_FOLDED}")
+def cov2bed_chh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(coverage.truth_sites(_coverage_rows(spark, sf_dir), derive.contigs(spark, sf_dir), "CHH"), "freq")
+
+
+# ---- labels and evaluation
+
+
+
+@query(f"WITH {_OBS}, s AS (SELECT chrom, soff, context, scaled_prob // 64 AS part, count(*) FILTER (WHERE scaled_prob % 2 = 1) AS p, count(*) FILTER (WHERE scaled_prob % 2 = 0) AS q FROM obs GROUP BY ALL), t AS (SELECT chrom, soff, context, part, CASE WHEN part = 0 THEN 0 ELSE p END AS pcov, CASE WHEN part = 3 THEN 0 ELSE q END AS ncov FROM s) SELECT *, CASE WHEN pcov = 0 THEN 0 ELSE 1 END AS label FROM t WHERE pcov + ncov >= 10 AND (pcov = 0 OR ncov = 0)")
+def truth_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = derive.site_obs(spark, sf_dir).withColumn("part", F.floor(F.col("scaled_prob") / 64))
+    odd = F.col("scaled_prob") % 2 == 1
+    sites = obs.groupBy("chrom", "soff", "context", "part").agg(F.count_if(odd).alias("p"), F.count_if(~odd).alias("q"))
+    sites = sites.select("chrom", "soff", "context", "part", F.when(F.col("part") == 0, 0).otherwise(F.col("p")).alias("pcov"), F.when(F.col("part") == 3, 0).otherwise(F.col("q")).alias("ncov"))
+    return evaluation.truth_labels(sites)
+
+
+def _eval_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, context, label, scaled_prob`` from the labelled documents."""
+    docs, labels = derive.table(spark, sf_dir, "documents"), derive.table(spark, sf_dir, "labels")
+    samples = docs.select("doc_id", (F.col("doc_id") % 3).alias("context"), (F.col("n_chars") % 256).cast("int").alias("scaled_prob"))
+    return evaluation.labelled(samples, labels.select("doc_id", F.col("quality").alias("label")), ("doc_id",))
+
+
+_EVAL = "e AS (SELECT d.doc_id, d.doc_id % 3 AS context, CAST(n_chars % 256 AS INT) AS scaled_prob, quality AS label FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
+
+
+@query(f"WITH {_EVAL} SELECT * FROM e")
+def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _eval_obs(spark, sf_dir)
+
+
+@query(f"WITH {_EVAL}, x AS (SELECT context, label, CASE WHEN count(*) < 1000 THEN 2 * (2000 // count(*)) ELSE 1 END AS times FROM e GROUP BY ALL) SELECT context, label, count(*) AS n, count(DISTINCT doc_id) AS docs FROM e JOIN x USING (context, label), range(1, times + 1) GROUP BY ALL")
+def oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sampling.oversampled(_eval_obs(spark, sf_dir), ("context", "label"), target=1000)
+    return rows.groupBy("context", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+_BALANCED = f"{_EVAL}, b AS (SELECT doc_id, context, label, scaled_prob, CAST(r AS INT) AS replicate FROM (SELECT e.*, r, row_number() OVER (PARTITION BY context, label, r ORDER BY (doc_id * 2654435761 + r * 97 + 42) % 4294967296, doc_id) AS k FROM e, range(5) AS t(r)) WHERE k <= 20)"
+
+
+@query(f"WITH {_BALANCED} SELECT * FROM b")
+def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.balanced(_eval_obs(spark, sf_dir), ("context", "label"), "doc_id", 5, 20, 42)
+
+
+_CONFUSION = """count(*) FILTER (WHERE label = 1 AND scaled_prob >= 128) AS tp, count(*) FILTER (WHERE label = 0 AND scaled_prob >= 128) AS fp, count(*) FILTER (WHERE label = 1 AND scaled_prob < 128) AS fn, count(*) FILTER (WHERE label = 0 AND scaled_prob < 128) AS tn"""
+_METRICS = """tp + fp + fn + tn AS n_samples, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall,
+round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1, round(CASE WHEN tp + fn + fp = 0 OR tn + fp + fn = 0 OR tn + fp = 0 THEN 0 ELSE tn / (tn + fp) END, 6) AS specificity"""
+
+
+def _predicted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("predict", (F.col("scaled_prob") >= 128).cast("int"))
+
+
+@query(f"WITH {_EVAL}, c AS (SELECT context, {_CONFUSION} FROM e GROUP BY context) SELECT *, {_METRICS} FROM c")
+def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluation.confusion(_predicted(_eval_obs(spark, sf_dir)), ("context",)), "accuracy", "precision", "recall", "f1", "specificity")
+
+
+_RANK = """by_ AS (SELECT {0} scaled_prob, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS q FROM {1} GROUP BY ALL),
+run AS (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER v AS np, sum(q) OVER v AS nq FROM by_ WINDOW w AS ({2} ORDER BY scaled_prob DESC ROWS UNBOUNDED PRECEDING), v AS ({2}))"""
+_AREAS = "CASE WHEN np > 0 AND nq > 0 THEN round(sum(q * (2 * tp - p) / 2.0) / (np * nq), 6) END AS auc, CASE WHEN np > 0 AND nq > 0 THEN round(sum(CASE WHEN tp + fp = 0 THEN 0 ELSE p * (tp / (tp + fp)) END) / np, 6) END AS average_precision"
+
+
+@query(f"WITH {_EVAL}, {_RANK.format('context,', 'e', 'PARTITION BY context')} SELECT context, {_AREAS} FROM run GROUP BY context, np, nq")
+def roc_auc_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluation.ranking(_eval_obs(spark, sf_dir), ("context",)), "auc", "average_precision")
+
+
+@query(f"""WITH {_BALANCED}, c AS (SELECT context, replicate, {_CONFUSION} FROM b GROUP BY ALL), m AS (SELECT *, round((tp + tn) / (tp + fp + fn + tn), 4) AS a, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 4) AS f FROM c)
+SELECT context, round(avg(a), 6) AS accuracy_mean, round(var_pop(a), 6) AS accuracy_var, round(avg(f), 6) AS f1_mean, round(var_pop(f), 6) AS f1_var FROM m GROUP BY context""")
+def replicate_mean_var(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metrics = evaluation.confusion(_predicted(balanced_sample(spark, sf_dir)), ("context", "replicate"))
+    return _rounded(evaluation.across_replicates(metrics, ("accuracy", "f1"), ("context",)), "accuracy_mean", "accuracy_var", "f1_mean", "f1_var")
+
+
+@query("""WITH o AS (SELECT doc_id AS read_id, n_chars AS length, sum(n_chars) OVER (ORDER BY (doc_id * 2654435761 + 7) % 4294967296, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM documents WHERE n_chars >= 1000)
+SELECT read_id, length, CAST(upto AS BIGINT) AS upto FROM o WHERE upto - length < 100000""")
+def subsample_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = derive.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), F.col("n_chars").alias("length")).filter("length >= 1000")
+    return sampling.to_coverage(reads, 100_000, 7)
+
+
+@query("SELECT doc_id FROM documents WHERE (doc_id * 2654435761 + 3) % 4294967296 <= 0.1 * 4294967296")
+def thinned_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.thinned(derive.table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"), 3)
+
+
+@query("SELECT count(*) AS reads, CAST(sum(n_chars) AS BIGINT) AS bases, CAST(sum(n_chars) FILTER (WHERE n_chars >= 5000) AS BIGINT) AS valid_bases, count(*) FILTER (WHERE n_chars >= 5000) AS valid_reads FROM documents")
+def read_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = F.col("n_chars") >= sampling.LEAST_LENGTH
+    return derive.table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("reads"), F.sum("n_chars").alias("bases"), F.sum(F.when(valid, F.col("n_chars"))).alias("valid_bases"), F.count_if(valid).alias("valid_reads"))
+
+
+# ---- kinetics and scores
+
+_CODE = "c AS (SELECT event_id, CAST(floor(value) AS INT) % 256 AS code, CAST(floor(value) AS INT) AS frames FROM events)"
+_DECODE = "CASE WHEN {0} < 64 THEN {0} WHEN {0} < 128 THEN ({0} - 64) * 2 + 64 WHEN {0} < 192 THEN ({0} - 128) * 4 + 192 ELSE ({0} - 192) * 8 + 448 END"
+_ENCODE = "CASE WHEN f < 64 THEN f WHEN f < 192 THEN (f - 64) // 2 + 64 WHEN f < 448 THEN (f - 192) // 4 + 128 ELSE (f - 448) // 8 + 192 END"
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.floor("value").cast("int")
+    return derive.table(spark, sf_dir, "events").select("event_id", (value % 256).alias("code"), value.alias("frames"))
+
+
+@query(f"WITH {_CODE} SELECT event_id, code, {_DECODE.format('code')} AS decoded, round(({_DECODE.format('code')}) / 952, 6) AS normalised FROM c")
+def codec_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _frames(spark, sf_dir).withColumn("decoded", kinetics.decode_frames(F.col("code")))
+    return _rounded(out.select("event_id", "code", "decoded", kinetics.normalised(F.col("decoded")).alias("normalised")), "normalised")
+
+
+@query(f"WITH {_CODE}, f AS (SELECT event_id, frames, least(frames, 952) AS f FROM c) SELECT event_id, frames, CAST({_ENCODE} AS INT) AS code FROM f")
+def codec_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frames(spark, sf_dir).select("event_id", "frames", kinetics.encode_frames(F.col("frames")).alias("code"))
+
+
+@query(f"WITH {_CODE}, f AS (SELECT event_id, least(frames, 952) AS f FROM c), e AS (SELECT event_id, f, {_ENCODE} AS k FROM f) SELECT event_id, f AS frames, CAST({_DECODE.format('k')} AS INT) AS quantised FROM e")
+def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _frames(spark, sf_dir).select("event_id", F.least("frames", F.lit(kinetics.MOST_FRAMES)).alias("frames"))
+    return rows.withColumn("quantised", kinetics.decode_frames(kinetics.encode_frames(F.col("frames"))).cast("int"))
+
+
+@query("SELECT event_id, CAST(least(255, floor(255 / (1 + exp((value - 100) / 50 - value / 100)))) AS INT) AS scaled_prob FROM events")
+def softmax_quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.table(spark, sf_dir, "events").select("event_id", scoring.quantised_column((F.col("value") - 100) / 50, F.col("value") / 100).alias("scaled_prob"))
+
+
+def _kinetic_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads with frames computed from position and id."""
+    made = lambda a, b: F.expr(f"transform(sequence(0, length(seq) - 1), i -> cast((i * {a} + read_id * {b}) % 953 as int))")
+    reads = derive.reads_seq(spark, sf_dir).filter("length(seq) > 0")
+    return reads.select("read_id", "seq", made(7, 3).alias("fi"), made(11, 5).alias("fp"), made(13, 7).alias("ri"), made(17, 11).alias("rp"))
+
+
+@query()
+def kmer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kinetics.kmer_features(_kinetic_reads(spark, sf_dir))
+
+
+@query()
+def score_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_sites(kinetics.kmer_features(scoring.scorable(_kinetic_reads(spark, sf_dir))), scoring.LinearScorer())
+
+
+# ---- alignments
+
+#: Each reads 60 bases of its query (fixed values).
+CIGARS = ["60M", "5S20M2I30M3S", "30M3D30M", "10S15M10D15M9I11M"]
+
+
+def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each read's first 60 bases, aligned by one of four CIGARs to its own first 80; every other group of four reversed."""
+    reads = derive.reads_seq(spark, sf_dir).filter("length(seq) >= 80")
+    cigar = F.element_at(F.array(*[F.lit(c) for c in CIGARS]), (F.col("read_id") % 4 + 1).cast("int"))
+    pos = F.element_at(F.array(F.lit(0), F.lit(5), F.lit(0), F.lit(10)), (F.col("read_id") % 4 + 1).cast("int"))
+    flag = F.when(F.col("read_id") % 8 >= 4, 16).otherwise(0)
+    return reads.select("read_id", F.col("read_id").alias("chrom"), flag.alias("flag"), cigar.alias("cigar"), F.col("seq").substr(1, 60).alias("seq"), pos.alias("pos"), F.col("seq").substr(1, 80).alias("subject"))
+
+
+_ALN = f"""{_READS}, aln AS (SELECT read_id, seq, read_id % 8 >= 4 AS rev, ['60M', '5S20M2I30M3S', '30M3D30M', '10S15M10D15M9I11M'][read_id % 4 + 1] AS cigar, [0, 5, 0, 10][read_id % 4 + 1] AS start FROM reads WHERE length(seq) >= 80),
+ops AS (SELECT read_id, rev, seq, start, k, CAST(regexp_extract_all(cigar, '(\\d+)[A-Z]', 1)[k] AS INT) AS n, regexp_extract_all(cigar, '\\d+([A-Z])', 1)[k] AS op FROM aln, range(1, 8) AS t(k) WHERE k <= len(regexp_extract_all(cigar, '\\d+[A-Z]'))),
+cons AS (SELECT *, coalesce(sum(CASE WHEN op IN ('M', 'I', 'S') THEN n ELSE 0 END) OVER w, 0) AS q0, start + coalesce(sum(CASE WHEN op IN ('M', 'D') THEN n ELSE 0 END) OVER w, 0) AS s0 FROM ops WINDOW w AS (PARTITION BY read_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ex AS (SELECT read_id, rev, seq, k, j, op, CASE WHEN op IN ('M', 'I') THEN q0 + j ELSE q0 - 1 END AS qpos, CASE WHEN op IN ('M', 'D') THEN s0 + j ELSE s0 - 1 END AS spos FROM cons, range(0, 60) AS u(j) WHERE j < n AND op IN ('M', 'I', 'D')),
+cols AS (SELECT read_id, rev, CAST(row_number() OVER (PARTITION BY read_id ORDER BY k, j) - 1 AS INT) AS i, CASE WHEN op = 'D' THEN '-' ELSE substr(seq, CAST(qpos AS BIGINT) + 1, 1) END AS q, CASE WHEN op = 'I' THEN '-' ELSE substr(seq, CAST(spos AS BIGINT) + 1, 1) END AS s, CAST(qpos AS INT) AS qpos, CAST(spos AS INT) AS spos FROM ex),
+tri AS (SELECT *, q || lead(q, 1, '') OVER w || lead(q, 2, '') OVER w AS q3, s || lead(s, 1, '') OVER w || lead(s, 2, '') OVER w AS s3 FROM cols WINDOW w AS (PARTITION BY read_id ORDER BY i))"""
+
+
+@query(f"WITH {_ALN} SELECT read_id, i, q, s, qpos, spos FROM cols")
+def cigar_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_columns(_alignments(spark, sf_dir))
+
+
+@query(f"WITH {_ALN} SELECT read_id, CAST(count(*) AS INT) AS columns, round(100.0 * count(*) FILTER (WHERE q = s) / count(*), 6) AS pi FROM cols GROUP BY read_id")
+def aln_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(alignment.alignment_summary(_alignments(spark, sf_dir)).drop("epi"), "pi")
+
+
+@query(f"""WITH {_ALN}, g AS (SELECT *, CASE WHEN q = '-' THEN 1 WHEN s = '-' THEN 2 ELSE 0 END AS side FROM cols), c AS (SELECT *, CASE WHEN side = lag(side, 1, -1) OVER (PARTITION BY read_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM g),
+r AS (SELECT *, sum(new) OVER (PARTITION BY read_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM c), z AS (SELECT read_id, run, side, count(*) AS n, count(*) FILTER (WHERE q = s) AS m FROM r GROUP BY ALL)
+SELECT read_id, round(100.0 * sum(m) / sum(n), 6) AS epi FROM z WHERE side = 0 OR n < 8 GROUP BY read_id""")
+def effective_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(alignment.alignment_summary(_alignments(spark, sf_dir)).select("read_id", "epi"), "epi")
+
+
+@query(f"WITH {_ALN} SELECT read_id, CAST(CASE WHEN rev THEN 59 - (qpos + 1) ELSE qpos END AS INT) AS qoff, spos AS soff FROM tri WHERE starts_with(q3, 'CG') AND starts_with(s3, 'CG')")
+def mapped_cpg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.mapped_hits(_alignments(spark, sf_dir)).filter("context = 'CpG'").select("read_id", "qoff", "soff")
+
+
+@query(f"WITH {_ALN} SELECT read_id, CAST(CASE WHEN rev THEN 59 - (qpos + 2) ELSE qpos END AS INT) AS qoff, spos AS soff FROM tri WHERE q3 = s3 AND (q3 IN ('CAG', 'CTG') OR q3 = CASE WHEN rev THEN 'CGG' ELSE 'CCG' END)")
+def mapped_chg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.mapped_hits(_alignments(spark, sf_dir)).filter("context = 'CHG'").select("read_id", "qoff", "soff")
+
+
+@query(f"""WITH {_ALN} SELECT read_id, CAST(CASE WHEN rev THEN 59 - qpos ELSE qpos END AS INT) AS qoff, spos AS soff FROM tri WHERE q3 = s3 AND regexp_full_match(q3, 'C[ACT][ACT]')
+UNION ALL SELECT read_id, CAST(CASE WHEN rev THEN 59 - (qpos + 2) ELSE qpos + 2 END AS INT), spos + 2 FROM tri WHERE q3 = s3 AND regexp_full_match(q3, '[AGT][AGT]G')""")
+def mapped_chh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.mapped_hits(_alignments(spark, sf_dir)).filter("context = 'CHH'").select("read_id", "qoff", "soff")
+
+
+@query()
+def reads_to_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From tagged, aligned reads to site frequencies: hits joined with the reads' calls, then the pileup."""
+    reads, calls = _alignments(spark, sf_dir), _calls(spark, sf_dir, 60)
+    hits = alignment.mapped_hits(reads).join(calls.select("read_id", "qoff", "scaled_prob"), ["read_id", "qoff"])
+    obs = hits.select((F.col("chrom") % 5).alias("chrom"), "soff", "context", "scaled_prob", F.lit(60).alias("mapq"), "pi", F.lit(True).alias("primary"))
+    return pileup.pileup(obs, min_identity=40.0)
+
+
+# ---- modification tags
+
+
+def _calls(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
+    """CHH cytosines of either strand in the reads' first bases, with a probability from place and read."""
+    reads = derive.reads_seq(spark, sf_dir).withColumn("seq", F.col("seq").substr(1, length))
+    sites = motifs.motif_sites(reads, ("CHH",))
+    return sites.select("read_id", "qoff", "strand", ((F.col("qoff") * 7 + F.col("read_id")) % 256).cast("int").alias("scaled_prob"))
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = derive.reads_seq(spark, sf_dir).select("read_id", F.col("seq").substr(1, 400).alias("seq"))
+    return mods.with_tags(reads, _calls(spark, sf_dir, 400))
+
+
+_MM = f"""r AS (SELECT read_id, substr(seq, 1, 400) AS seq FROM (SELECT doc_id AS read_id, regexp_replace(translate(text, '{derive.LETTERS}', '{derive.BASES}'), '[^ACGT]', '', 'g') AS seq FROM documents)),
+k AS (SELECT read_id, i, substr(seq, i + 1, 3) AS m FROM (SELECT read_id, seq, unnest(range(length(seq) - 2)) AS i FROM r)),
+calls AS (SELECT read_id, i AS qoff, 0 AS strand FROM k WHERE regexp_full_match(m, 'C[ACT][ACT]') UNION ALL SELECT read_id, i + 2, 1 FROM k WHERE regexp_full_match(m, '[AGT][AGT]G')),
+bases AS (SELECT read_id, i, substr(seq, i + 1, 1) AS b FROM (SELECT read_id, seq, unnest(range(length(seq))) AS i FROM r)),
+ranks AS (SELECT read_id, i, b, row_number() OVER (PARTITION BY read_id, b ORDER BY i) - 1 AS rank FROM bases WHERE b IN ('C', 'G')),
+d AS (SELECT c.read_id, c.strand, c.qoff, (c.qoff * 7 + c.read_id) % 256 AS p, rank - lag(rank, 1, -1) OVER (PARTITION BY c.read_id, c.strand ORDER BY c.qoff) - 1 AS delta FROM calls c JOIN ranks ON ranks.read_id = c.read_id AND ranks.i = c.qoff)"""
+
+
+@query(f"""WITH {_MM}, t AS (SELECT read_id, 'C+m' || coalesce(string_agg(',' || delta, '' ORDER BY qoff) FILTER (WHERE strand = 0), '') || ';G-m' || coalesce(string_agg(',' || delta, '' ORDER BY qoff) FILTER (WHERE strand = 1), '') || ';' AS mm, count(*) AS n_ml, CAST(sum(p) AS BIGINT) AS sum_ml FROM d GROUP BY read_id)
+SELECT r.read_id, t.mm, t.n_ml, t.sum_ml, CASE WHEN t.mm IS NOT NULL THEN CAST(length(r.seq) AS INT) END AS mn FROM r LEFT JOIN t ON t.read_id = r.read_id""")
+def mm_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = F.when(F.col("ml").isNotNull(), F.aggregate("ml", F.lit(0).cast("long"), lambda a, x: a + x))
+    return _tagged(spark, sf_dir).select("read_id", "mm", F.when(F.col("ml").isNotNull(), F.size("ml")).cast("long").alias("n_ml"), total.alias("sum_ml"), "mn")
+
+
+@query(f"WITH {_MM} SELECT read_id, CAST(qoff AS INT) AS qoff, CAST(strand AS INT) AS strand, CASE WHEN strand = 0 THEN 'C' ELSE 'G' END AS unmod_base, 'm' AS code, CAST(p AS INT) AS scaled_prob FROM d")
+def mm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mods.base_mods(_tagged(spark, sf_dir))
+
+
+@query(f"WITH {_READS}, c AS (SELECT read_id, count(*) AS n_calls FROM (SELECT read_id, seq, unnest(range(length(seq) - 1)) AS i FROM reads WHERE length(seq) >= 1000) WHERE substr(seq, i + 1, 2) = 'CG' GROUP BY read_id) SELECT reads.read_id, CAST(length(seq) AS INT) AS length, coalesce(n_calls, 0) AS n_calls FROM reads LEFT JOIN c ON c.read_id = reads.read_id")
+def call_reads_leftjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = derive.reads_seq(spark, sf_dir)
+    calls = motifs.motif_sites(reads.filter(F.length("seq") >= scoring.MIN_READ_LENGTH), ("CpG",)).groupBy("read_id").agg(F.count(F.lit(1)).alias("n_calls"))
+    return reads.join(calls, "read_id", "left").select("read_id", F.length("seq").alias("length"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"))
