@@ -49,7 +49,8 @@ def _slice(bits: int) -> Column:
 
 def _level(runs: DataFrame, rounds_bits: int, keep: str) -> DataFrame:
     """One round: the runs that share ``run`` merge within their slice; the identifier to keep survives."""
-    best = (F.max if keep == "largest" else F.min)(F.struct("id", "check")).alias("best")
+    known = F.col("id").isNotNull()
+    best = (F.max(F.struct(known.alias("known"), "id", "check")) if keep == "largest" else F.min(F.struct((~known).alias("unknown"), "id", "check"))).alias("best")
     merged = runs.withColumn("slice", _slice(rounds_bits)).groupBy("run", "slice", *KEY).agg(best, F.sum("n").alias("n"))
     return merged.select("run", *KEY, F.col("best.id").alias("id"), "n")
 
