@@ -1,0 +1,70 @@
+"""Plain versions of what the operators must give, over Python lists."""
+
+import hashlib
+import re
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return SPACE.findall(text or "")
+
+
+def shingle_set(text, n):
+    w = words((text or "").translate(LOWER))
+    return ({tuple(w)} if len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}) if w else set()
+
+
+def linked_components(rows, n, num, den):
+    """id -> smallest id of its component, of (id, text) rows."""
+    sets = [(i, shingle_set(t, n)) for i, t in rows]
+    up = {i: i for i, _ in rows}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[k + 1 :]:
+            c = len(x & y)
+            if c and den * c >= num * (len(x) + len(y) - c):
+                low, high = sorted((top(a), top(b)))
+                up[high] = low
+    return {i: top(i) for i, _ in rows}
+
+
+def without_repeats(rows, window):
+    """id -> (words, removed, hash of the kept ones)."""
+    least = {}
+    for i, t in sorted(rows):
+        w = words(t)
+        for k in range(len(w) - window + 1):
+            least.setdefault(tuple(w[k : k + window]), i)
+    out = {}
+    for i, t in rows:
+        w = words(t)
+        gone = set()
+        for k in range(len(w) - window + 1):
+            if least[tuple(w[k : k + window])] < i:
+                gone.update(range(k, k + window))
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    return out
+
+
+def contained(rows, items, n, threshold):
+    """id -> ids of the items that the text holds."""
+    cut = re.compile(r"[^\x20\x09-\x0D!-/:-@\[-`{-~]+")
+
+    def tokens(text):
+        w = cut.findall((text or "").translate(LOWER))
+        return ({tuple(w)} if len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}) if w else set()
+
+    sets = [(i, tokens(t)) for i, t in items]
+    out = {}
+    for i, t in rows:
+        own = tokens(t)
+        out[i] = sorted(k for k, s in sets if s and len(s & own) >= threshold * len(s) - 1e-12)
+    return out

@@ -1,0 +1,174 @@
+import gzip
+import hashlib
+import io
+import random
+import re
+
+import pytest
+from pyarrow import fs as pafs
+
+from methspark.llm import html_extract, url_filter, warc
+from methspark.llm.dom import parse
+from methspark.llm.html_training import PageMaker
+
+# ---- URL filter
+
+
+def judged(spark, urls, listed=(), rules=()):
+    pages = spark.createDataFrame([(k, u, "rule", "x") for k, u in enumerate(urls)], "page_id long, url string, rule string, key string")
+    return {
+        r.page_id: r
+        for r in url_filter.judge(pages, spark.createDataFrame([(x,) for x in listed], "key string"), spark.createDataFrame([tuple(x) for x in rules], "rule string, verdict string")).collect()
+    }
+
+
+def plain(url):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return (m[1].translate(lower), m[2]) if m else ("", "")
+
+
+def test_url_filter_equals_plain_rules(spark):
+    r = random.Random(2)
+    hosts = ["com", "example.com", "A.Example.com", "notexample.com", "example.net", "x.y.example.net", "org", "É.org", "u@example.com:80", ""]
+    paths = ["", "/", "/en/7", "/en/75", "/en", "/de/8x", "/es/", "/es/a?x#y", "?/en/", "#/en/7", "/en/\n7"]
+    urls = [f"{r.choice(['http', 'https', 'HTTP', ''])}://{r.choice(hosts)}{r.choice(paths)}" for _ in range(120)] + [None, "", "no scheme", "a://b://c/d", "example.com/en/"]
+    rules = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "block")]
+    got = judged(spark, urls, [], rules)
+    for k, u in enumerate(urls):
+        host, path = plain(u)
+        fits = [(x, v) for x, v in rules if x and (host == x.split("/")[0] or host.endswith("." + x.split("/")[0])) and path.startswith(x[x.index("/") :])]
+        rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, "allow"))
+        assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == (host, path, rule, verdict), u
+
+
+def test_listed_urls_are_found_and_others_are_not(spark, monkeypatch):
+    listed = [f"site{k}.org/p/{k}" for k in range(500)] + [None, "site1.org/p/1"]
+    urls = [f"https://www.Site{k}.org/p/{k}.html?x=1" for k in range(0, 1000, 2)]
+    for most in (url_filter.BROADCAST_BLOCKS, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", most)
+        got = judged(spark, urls, listed, [("site4.org/", "allow")])
+        for k, u in enumerate(urls):
+            assert got[k].listed == (2 * k < 500), u
+            assert got[k].verdict == ("block" if 2 * k < 500 and 2 * k != 4 else "allow")
+    assert judged(spark, [], listed) == {} and not judged(spark, ["http://a/b"])[0].listed
+
+
+def test_bloom_filter_drops_most_others(spark):
+    keys = spark.range(3000).selectExpr("concat('k', id) as key")
+    bloom = url_filter.bloom_table(keys, 200)
+    assert url_filter.probably_in(keys, bloom, 200).count() == 3000
+    assert url_filter.probably_in(spark.range(20000).selectExpr("concat('other', id) as key"), bloom, 200).count() < 400
+
+
+# ---- WARC
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame([(i, u, h, "archive") for i, u, h in rows], "page_id long, url string, html string, id string").repartition(3)
+
+
+def test_warc_round_trip_and_revisits(spark):
+    big, small = "<p>é" + "x" * 200, "short"
+    rows = [(5, "http://a/1", big), (2, None, big), (9, "http://a\n/3", big), (1, "u", small), (3, "u", small), (4, "u", None), (6, "u", ""), (7, "u", "y" * 99), (8, "u", "y" * 99), (10, "u", "z" * 100), (11, "u", "z" * 100)]
+    got = {r.page_id: r for r in warc.archived(pages_of(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for i, _, h in rows:
+        body = (h or "").encode()
+        first = min(j for j, _, g in rows if (g or "") == (h or ""))
+        revisit = len(body) >= 100 and first != i
+        assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == (len(body), hashlib.sha256(body).hexdigest(), "revisit" if revisit else "response", first if revisit else None)
+
+
+def test_warc_members_are_read_alone_by_the_index(spark):
+    rows = [(k, f"http://h/{k}", f"<p>{k}" * (k * 7)) for k in range(40)]
+    archives = warc.archive_pages(pages_of(spark, rows), roll_bytes=2000)
+    assert archives.count() > 3
+    by_id = {r.id: r for r in warc.read_archives(archives).collect()}
+    for i, url, body in rows:
+        entry = by_id[i]
+        header, block = warc.read_record(entry.archive, entry.offset, entry.length)
+        assert header["WARC-Target-URI"] == url and block.endswith(body.encode())
+    one = by_id[39].archive
+    system, local = pafs.FileSystem.from_uri(one)
+    assert len(list(warc.records(iter([gzip.decompress(system.open_input_stream(local, compression=None).read())])))) == sum(r.archive == one for r in by_id.values())
+
+
+def test_warc_streams_of_any_cut():
+    made = [warc.response_record(str(k), None, bytes([65 + k]) * k * 50) for k in range(6)]
+    whole = gzip.compress(b"".join(made))
+    many = b"".join(gzip.compress(m) for m in made)
+    for data in (whole, many):
+        for piece in (1, 7, 1 << 20):
+            assert [h["WARC-Record-ID"] for h, _ in warc.records(warc.inflated(io.BytesIO(data), piece))] == [f"<urn:page:{k}>" for k in range(6)]
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.records(iter([b"".join(made)[:-10]])))
+    with pytest.raises(ValueError, match="not a WARC"):
+        list(warc.records(iter([b"HTTP/1.1 200\r\n\r\n"])))
+
+
+def test_warc_edges(spark):
+    assert warc.archived(pages_of(spark, [])).collect() == []
+    body = "q" * 120
+    got = [(r.page_id, r.record_type, r.refers_to) for r in warc.archived(pages_of(spark, [(None, "u", body), (4, "u", body), (4, "u", body)])).collect()]
+    assert sorted(got, key=str) == [(4, "response", None), (4, "revisit", 4), (None, "revisit", 4)]
+
+
+# ---- HTML extraction
+
+
+def test_html_tree_takes_broken_pages():
+    tree = parse("<p><b>one<br><p>two <i>x</p> three<li>a<li>b<script>if (a < b) '<p>'</script><!-- <p> -->z &lt;&amp;&eacute; 1 < 2 <div class='Main-Content sideBar' id=x")
+    assert tree.tags[1:] == ["p", "b", "br", "p", "i", "li", "li", "script"]
+    assert "".join(t for _, t in tree.items).endswith("z <&é 1 < 2 ")
+    assert parse("<div class='mainContent side-bar'>").tokens[1] == ("main", "content", "side", "bar")
+    assert parse("").tags == ["#root"] and parse("plain").items == [(0, "plain")]
+
+
+def test_html_decoding_never_contradicts():
+    import numpy as np
+
+    tree = parse("<div><nav><p>a</p></nav><article><p>b</p><div>c<p>d</p></div></article></div>")
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        odds = r.normal(0, 3, len(tree.tags))
+        chosen = html_extract.decode(tree, odds)
+        under = [any(chosen[k] for k in range(1, len(tree.tags)) if p == tree.parents[k]) for p in range(len(tree.tags))]
+        for k in range(2, len(tree.tags)):
+            up = tree.parents[k]
+            if chosen[k] and not chosen[up]:  # then nothing above is chosen either: passed through, not out
+                while up > 0:
+                    assert not chosen[up]
+                    up = tree.parents[up]
+        assert under is not None
+
+
+def test_html_extraction_on_unseen_pages():
+    model = html_extract.trained()
+    pages = [PageMaker(77_000_000 + k).page() for k in range(150)]
+    got = html_extract.extract_all([re.sub(r' data-y="."', "", p) for p in pages], model)
+    want = []
+    for p in pages:
+        tree = parse(p)
+        want.append(html_extract.text_of(tree, [x == "1" for x in tree.truth]))
+    assert sum(a == b for a, b in zip(got, want, strict=True)) >= 130
+
+
+def test_html_extraction_of_tables_and_edges(spark):
+    page = "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class=ad>Buy now and save a lot today.</div><article><h1>A &amp; B</h1><p>Some  text\n of the <b>article</b>, with a few words.</p><p>And another paragraph, a bit longer than the first.<br>End.</p></article><footer>&copy; me and my friends.</footer></body></html>"
+    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (1, "u", page), (None, "v", "<p>")]
+    got = html_extract.extract(spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")).collect()
+    text = "A & B\n\nSome text of the article, with a few words.\n\nAnd another paragraph, a bit longer than the first. End."
+    assert sorted((str(r.page_id), r.url, r.text, r.n_chars) for r in got if r.page_id == 1) == [("1", "u", text, len(text))] * 2
+    assert all((r.text, r.n_chars) == ("", 0) for r in got if r.page_id != 1) and len(got) == 5
+
+
+def test_html_extraction_of_the_generated_pages(spark, tiny):
+    pages = spark.read.parquet(f"{tiny}/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    for r in html_extract.extract(pages).collect():
+        tree = parse(html[r.page_id])
+        inside = [False] * len(tree.tags)
+        for k in range(1, len(inside)):
+            inside[k] = tree.tags[k] == "article" or inside[tree.parents[k]]
+        assert r.text == html_extract.text_of(tree, inside)

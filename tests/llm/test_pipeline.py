@@ -1,0 +1,43 @@
+import corpus_pipeline
+from methspark.llm import exact_dedup, queries
+from tests.llm import brute
+
+
+def test_stages_follow_one_another(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    kept = [{r.doc_id: r.text for r in docs.collect()}]
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, tiny)
+        assert at.columns == docs.columns and at.schema.simpleString() == docs.schema.simpleString()
+        kept.append({r.doc_id: r.text for r in at.collect()})
+        assert set(kept[-1].items()) <= set(kept[-2].items())
+    assert all(t and any(c.isalpha() for c in t) for t in kept[1].values())
+    assert set(kept[2]) == {max(i for i, u in kept[1].items() if u == t) for t in kept[1].values()}
+    groups = brute.linked_components(list(kept[2].items()), 5, 4, 5)
+    assert set(kept[3]) == set(groups.values())
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
+    assert set(kept[4]) == {i for i, found in brute.contained(list(kept[3].items()), items, 5, 0.8).items() if not found}
+    last = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, at, tiny).collect()}
+    assert set(last) == set(kept[4]) and all(0 <= r.taken <= 2 * r.size for r in last.values())
+    run = {r.doc_id: r for r in corpus_pipeline.run(spark, tiny).collect()}
+    assert run == last
+
+
+def test_stages_take_odd_rows(spark, tiny):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "the and of it", "en", "a", 3), (1, "the and of it", "en", "a", 3), (2, None, None, None, None), (3, "", "en", None, 0), (None, "the and of it was in", "en", "a", 1), (4, "12 34", None, "b", 5), (7, "the and of it", "en", None, 3), (8, "der die das", "de", "b", 3)]
+    docs = spark.createDataFrame(rows, schema)
+    empty = docs.filter("false")
+    for _, stage in corpus_pipeline.STAGES:
+        empty_out = stage(spark, empty, tiny)
+        assert empty_out.count() == 0
+        docs = stage(spark, docs, tiny)
+    assert sorted(str(r.doc_id) for r in docs.collect()) == ["7", "8", "None"]
+
+
+def test_every_operator_is_registered():
+    names = list(queries.QUERIES)
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert set(queries.ORACLE_SQL) <= set(names)
+    assert exact_dedup.FAN_BITS > 0
