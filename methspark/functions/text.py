@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 
 def six_digits(value: Column) -> Column:
-    """A non-negative number under 1e6 with six significant digits, half to even, without closing zeros, as C's %g prints it."""
-    out = F.lit(None).cast("string")
-    for digits in range(5, -1, -1):  # digits before the point: 6 - decimals
-        decimals = digits
-        plain = F.format_number(F.bround(value, decimals), f"0.{'#' * decimals}" if decimals else "0")
-        out = F.when(value >= 10 ** (5 - decimals), plain).otherwise(out) if decimals < 5 else plain
-    small = F.when(value == 0, "0").when(value >= 0.1, F.format_number(F.bround(value, 6), "0.######")).when(value >= 0.01, F.format_number(F.bround(value, 7), "0.#######")).otherwise(F.format_number(F.bround(value, 8), "0.########"))
-    return F.when(value < 1, small).otherwise(out)
+    """A number from 0 to under 1e6 with six significant digits, half to even, without closing zeros, as C's %g prints it.
+
+    Values under 1e-4, which %g prints with an exponent, are printed in full.
+    """
+    exponent = F.floor(F.log10(F.when(value > 0, value)))
+    shown = F.lit("0")
+    for decimals in range(0, 13):
+        form = f"0.{'#' * decimals}" if decimals else "0"
+        shown = F.when(exponent == 5 - decimals, F.call_function("format_number", F.bround(value, decimals), F.lit(form))).otherwise(shown)
+    return shown
 
 
 def data_size(n: Column) -> Column:
