@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each the next one's input, written and read again between them.
 
 1. ``language_id``: a document goes if its language can't be determined (no text, no letter) or only with a probability
-   under 0.5.
+   under 0.3.
 2. ``exact_dedup``: of documents with the same text the one with the largest id stays.
 3. ``ngram_join``: documents link at a Jaccard similarity of at least 0.8 over five-word shingles; of each connected group
    the one with the smallest id stays, and every document without a link.
@@ -23,7 +23,8 @@ from methspark.llm.shared import written
 
 #: The result of the language classifier has no SQL form.
 ORACLE_SQL = None
-LEAST_PROBABILITY = 0.5
+#: Under this the text is as good as none: little over what one of four languages has by chance.
+LEAST_PROBABILITY = 0.3
 
 
 def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
