@@ -8,7 +8,8 @@ smaller id goes. A window of 2 b words holds a whole aligned block of b words, w
    documents: the anchors are the hashes that occur in two or more. (The bitmap only saves the exchange of runs that are
    no block anywhere; the count is exact.)
 3. Extend. Each window next to an anchor, that is with an anchor within its first b + 1 runs, is hashed whole. A window's
-   hash is exchanged once with its document; those whose smallest document is another one are repeats. Runs of such
+   hash is compared within the task, and exchanged with its document if none there is smaller; those whose smallest document
+   is another one are repeats. Runs of such
    windows are the maximal exact repeats, and their words are removed.
 
 Documents with the same words throughout need none of that: the smallest id stands for them, and each other one loses all its
@@ -36,6 +37,8 @@ from .shared import written
 from .wordhash import Words, each_text, rolling
 
 WINDOW = 50
+#: Windows compared within a task before the rest is exchanged.
+SETTLE = 1 << 21
 CUT = Words()
 NOTHING = hashlib.sha256(b"").hexdigest()
 
@@ -94,14 +97,40 @@ def _anchor_hits(docs: DataFrame, references, blocks, window: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, references, anchors, window: int) -> DataFrame:
-    """``id, part, at, hash`` of every window next to an anchor; ``part`` tells apart texts that share an id."""
+    """``id, part, at, hash`` (arrays) of the windows next to an anchor; ``part`` tells apart texts that share an id.
+
+    A window that a smaller document of the same task has as well is known to be a repeat and isn't exchanged; these
+    are ``gone_at, gone_n``, first windows and lengths of runs.
+    """
     half = window // 2
 
+    def settle(held: list[tuple]) -> pa.RecordBatch:
+        ids = pa.concat_arrays([pa.array([h[0].as_py()], type=h[0].type) for h in held])
+        sizes = np.array([len(h[2]) for h in held])
+        ranks = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        rank, hashes = np.repeat(ranks, sizes), np.concatenate([h[3] for h in held])
+        order = np.lexsort((rank, hashes))
+        first = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
+        least = rank[order][np.flatnonzero(first)][np.cumsum(first) - 1]
+        gone = np.zeros(len(hashes), dtype=bool)
+        gone[order] = rank[order] > least
+        ats, keeps, runs, lengths, low = [], [], [], [], 0
+        for (_, _, at, own), size in zip(held, sizes.tolist(), strict=True):
+            out = gone[low : low + size]
+            low += size
+            ats.append(at[~out])
+            keeps.append(own[~out].view(np.int64))
+            lost = at[out]
+            cuts = np.flatnonzero(np.concatenate([[True], lost[1:] != lost[:-1] + 1])) if len(lost) else np.zeros(0, dtype=np.int64)
+            runs.append(lost[cuts])
+            lengths.append(np.diff(np.append(cuts, len(lost))))
+        columns = [ids, pa.array([h[1] for h in held], type=pa.int64()), _lists(ats, np.int32), _lists(keeps, np.int64), _lists(runs, np.int32), _lists(lengths, np.int32)]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "part", "at", "hash", "gone_at", "gone_n"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
         for batch in batches:
-            keep = pa.array(references.value.test(batch.column(2).to_numpy().view(np.uint64)))
-            part = batch.filter(keep)
-            rows, keys, ats, hashes = [], [], [], []
+            part = batch.filter(pa.array(references.value.test(batch.column(2).to_numpy().view(np.uint64))))
             for row, _, _, _, value in each_text(part.column(1), CUT):
                 if len(value) < window:
                     continue
@@ -109,19 +138,21 @@ def _windows(docs: DataFrame, references, anchors, window: int) -> DataFrame:
                 n = len(value) - window + 1
                 at = np.flatnonzero(near[half + 1 : half + 1 + n] > near[:n])
                 if len(at):
-                    rows.append(row)
-                    keys.append(_part(_digest(value)))
-                    ats.append(at.astype(np.int32))
-                    hashes.append(rolling(value, window)[at].view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, type=pa.int64())), pa.array(keys, type=pa.int64()), _lists(ats, np.int32), _lists(hashes, np.int64)], names=["id", "part", "at", "hash"])
+                    held.append((part.column(0)[row], _part(_digest(value)), at.astype(np.int32), rolling(value, window)[at]))
+                    n_held += len(at)
+                    if n_held >= SETTLE:
+                        yield settle(held)
+                        held, n_held = [], 0
+        if held:
+            yield settle(held)
 
     kind = docs.schema["id"].dataType.simpleString()
-    packed = docs.select("id", "text", F.xxhash64("id")).mapInArrow(cut, f"id {kind}, part long, at array<int>, hash array<long>")
-    return packed.select("id", "part", F.explode(F.arrays_zip("at", "hash")).alias("w")).select("id", "part", "w.at", "w.hash")
+    return docs.select("id", "text", F.xxhash64("id")).mapInArrow(cut, f"id {kind}, part long, at array<int>, hash array<long>, gone_at array<int>, gone_n array<int>")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, table: DataFrame | None = None) -> DataFrame:
-    """``id, part, at``: the windows (first words) that also start in a document with a smaller id; of equal texts only the first is looked at."""
+    """``id, part, at, gone_at, gone_n``: the windows that also start in a document with a smaller id, as first words and as
+    runs; of equal texts only the first is looked at."""
     rows = (table if table is not None else written(text_table(docs, window), "texts")).filter(F.col("id").isNotNull() & (F.col("n_words") >= window))
     firsts = written(rows.groupBy("digest").agg(F.min("id").alias("id"), F.max(F.size("blocks")).cast("long").alias("n")), "firsts")
     size = firsts.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("blocks")).first()
@@ -131,13 +162,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, table: DataFrame | None = Non
     hits = _anchor_hits(known, references, blocks, window).select("id", F.explode("hits").alias("h"))
     anchors = written(hits.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("h"), "anchors")
     near = written(_windows(known, references, bitmap(anchors, anchors.count()), window), "windows")
-    first = near.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("hash", "low")
-    return near.join(first, "hash").filter(F.col("id") > F.col("low")).select("id", "part", "at")
+    each = near.select("id", "part", F.explode(F.arrays_zip("at", "hash")).alias("w")).select("id", "part", "w.at", "w.hash")
+    first = each.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("hash", "low")
+    found = each.join(first, "hash").filter(F.col("id") > F.col("low")).groupBy("id", "part").agg(F.collect_list("at").alias("found"))
+    runs = near.groupBy("id", "part").agg(F.first("gone_at").alias("gone_at"), F.first("gone_n").alias("gone_n"))
+    out = runs.join(found, ["id", "part"], "left").filter("found is not null or size(gone_at) > 0")
+    return out.select("id", "part", F.coalesce("found", F.array().cast("array<int>")).alias("at"), "gone_at", "gone_n")
 
 
 def _without(docs: DataFrame, removed: DataFrame, window: int) -> DataFrame:
     """``id, part, n_removed, kept``: texts of the documents in ``removed`` without the words that their windows cover."""
-    touched = written(removed.groupBy("id", "part").agg(F.collect_list("at").alias("at")), "removed")
+    touched = written(removed, "removed")
     chosen = bitmap(touched.select(F.xxhash64("id").alias("h")), touched.count())
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -150,19 +185,19 @@ def _without(docs: DataFrame, removed: DataFrame, window: int) -> DataFrame:
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone, kept = [], []
-            for text, at in zip(batch.column(2), batch.column(3), strict=True):
+            for text, at, run, n in zip(*[batch.column(k) for k in (2, 3, 4, 5)], strict=True):
                 tokens = text.as_py().encode().split()
                 marks = np.zeros(len(tokens) + 1, dtype=np.int64)
-                starts = at.values.to_numpy()
-                np.add.at(marks, starts, 1)
-                np.add.at(marks, starts + window, -1)
+                starts, runs = at.values.to_numpy(), run.values.to_numpy()
+                np.add.at(marks, np.concatenate([starts, runs]), 1)
+                np.add.at(marks, np.concatenate([starts + window, runs + n.values.to_numpy() - 1 + window]), -1)
                 stays = np.cumsum(marks)[:-1] == 0
                 gone.append(len(tokens) - int(stays.sum()))
                 kept.append(b" ".join([t for t, s in zip(tokens, stays.tolist(), strict=True) if s]).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, type=pa.int64()), pa.array(kept, type=pa.string())], names=["id", "part", "n_removed", "kept"])
 
     texts = docs.filter(F.col("id").isNotNull()).select("id", "text", F.xxhash64("id")).mapInArrow(pick, f"id {kind}, part long, text string").dropDuplicates(["id", "part"])
-    joined = texts.join(touched, ["id", "part"]).select("id", "part", "text", "at")
+    joined = texts.join(touched, ["id", "part"]).select("id", "part", "text", "at", "gone_at", "gone_n")
     return joined.mapInArrow(strip, f"id {kind}, part long, n_removed long, kept string")
 
 
