@@ -158,10 +158,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, table: DataFrame | None = Non
     size = firsts.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("blocks")).first()
     known = docs.filter(F.col("id").isNotNull())
     references = bitmap(firsts.select(F.xxhash64("id").alias("h")), size["docs"])
-    blocks = bitmap(rows.join(firsts.select("digest", "id"), ["digest", "id"], "left_semi").select(F.explode("blocks").alias("h")), size["blocks"])
+    blocks = bitmap(rows.join(firsts.select("digest", "id"), ["digest", "id"], "left_semi").select(F.explode("blocks").alias("h")), size["blocks"], probes=3)
     hits = _anchor_hits(known, references, blocks, window).select("id", F.explode("hits").alias("h"))
     anchors = written(hits.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("h"), "anchors")
-    near = written(_windows(known, references, bitmap(anchors, anchors.count()), window), "windows")
+    near = written(_windows(known, references, bitmap(anchors, anchors.count(), bits_per_key=48, probes=4), window), "windows")
     each = near.select("id", "part", F.explode(F.arrays_zip("at", "hash")).alias("w")).select("id", "part", "w.at", "w.hash")
     first = each.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("hash", "low")
     found = each.join(first, "hash").filter(F.col("id") > F.col("low")).groupBy("id", "part").agg(F.collect_list("at").alias("found"))
