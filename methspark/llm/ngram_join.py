@@ -15,9 +15,8 @@ of each set in one global order holds n - need + 1 tokens, similar sets share on
   as well. Bands under 8 tokens use single tokens.
 * Candidates. Sets that share a signature: all pairs within a bucket of at most ``SMALL`` sets, counted over the buckets;
   pairs that can't share enough tokens in their prefixes are dropped by an exact bound. Larger buckets (sets made of frequent
-  tokens: large groups of near copies) are linked in rounds: each round compares a bucket's sets with one pivot, and sets
-  already in one component need no further comparison. What is not joined after ``ROUNDS`` rounds is compared pair by
-  pair, between components only.
+  tokens: large groups of near copies) are linked in rounds by what their sets differ in from a pivot, see
+  ``_large_buckets``; what is left after ``ROUNDS`` rounds is compared pair by pair, between components only.
 * Verification counts shared tokens on the whole sets. Links go to connected components, never to the driver.
 
 Memory is bounded by a task's piece of text, the list of frequent tokens and one longest text. Hot tokens are counted in
@@ -37,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bitmaps import bitmap
 from .components import components
@@ -47,7 +47,9 @@ CUT = Words(lower=True)
 FREQUENT = 32
 MOST_FREQUENT = 1 << 20
 SMALL = 32
-ROUNDS = 4
+ROUNDS = 2
+#: Sets of a pivot that decide on its reference.
+VOTERS = 64
 #: Tokens counted together before they leave a task.
 FLUSH = 1 << 21
 #: Bits of a token that counting looks at, besides those of its slice.
@@ -254,27 +256,79 @@ def links_and_nodes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFr
 
 
 def _large_buckets(large: DataFrame, facts: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Links within large buckets, by pivots while that helps, then pair by pair between components."""
-    members = written(large.select("sig", "v").join(facts.select("v", "n"), "v"), "large")
-    fits = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
-    for turn in range(ROUNDS + 1):
-        now = members.join(labels, "v", "left").select("sig", "v", "n", F.coalesce("comp", "v").alias("comp"))
-        split = now.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64(F.lit(turn), "v").alias("h"), F.col("v"), F.col("n"), F.col("comp"))).alias("p"))
-        split = written(split.filter("low <> high").select("sig", F.col("p.v").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca")), "split")
+    """Links within large buckets (``sig, v``): rounds over differences from a pivot, then pair by pair between components.
+
+    Similar means that the symmetric difference of x and y has at most c (nx + ny) tokens, c = (den - num) / (den + num). With
+    D(x) the difference of x from any one reference set, it has |D(x)| + |D(y)| - 2 |D(x) and D(y)| tokens. So let s(x) = |D(x)| - c nx.
+
+    * Where s(x) + s(y) <= 0 the two are linked for certain, and then each of them is linked to the set with the least s as
+      well, so a star around that one joins all such pairs.
+    * Any other link has (s(x) + s(y)) / 2 > 0 common tokens in D(x) and D(y), each of which both sets lack (of the
+      reference) or both have beyond it. What they lack suffices by itself only if (s(x) + s(y)) / 2 <= min(rx, ry), r being
+      how many tokens a set lacks; so only sets with s(x) <= max over y of 2 ry - s(y) are looked up by tokens that they
+      lack, and all are by those that they have beyond.
+
+    The reference is a bucket's pivot, turned in every token in which more than half of ``VOTERS`` of its sets differ from
+    it, so that within a group of near copies D(x) holds a copy's own edits, which few others share. Any reference gives the
+    same links; a good one leaves little to compare. Tokens of D that many sets share are the buckets of the next round.
+    """
+    members = large.select("sig", "v")
+    near, far = den + num, den - num
+    for turn in range(ROUNDS):
+        now = members.join(labels, "v", "left").select("sig", "v", F.coalesce("comp", "v").alias("comp"))
+        split = now.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64(F.lit(turn), "v").alias("h"), F.col("v"))).alias("p"))
+        split = written(split.filter("low <> high").select("sig", F.col("p.v").alias("p")), "split")
         if split.isEmpty():
-            break
-        members = written(now.join(split.select("sig"), "sig", "left_semi").select("sig", "v", "n"), "large")
-        now = now.select("sig", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        if turn < ROUNDS:
-            pairs = now.join(split, "sig").filter(fits & (F.col("ca") != F.col("cb")))
-        else:
-            left = now.join(split.select("sig"), "sig", "left_semi")
-            right = left.select("sig", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("cb").alias("ca"))
-            pairs = left.join(right, "sig").filter(fits & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")))
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        links = written(links.union(_verified(pairs, sets, num, den)), "verified")
+            return links, labels
+        pairs = now.join(split, "sig").select("p", "v").distinct()
+        tokens = pairs.join(sets.select(F.col("v").alias("p"), F.col("tokens").alias("tp")), "p").join(sets.select("v", "tokens"), "v")
+        apart = written(tokens.select("p", "v", F.size("tokens").alias("n"), F.array_except("tp", "tokens").alias("minus"), F.array_except("tokens", "tp").alias("plus")), "apart")
+        rank = F.row_number().over(Window.partitionBy("p").orderBy(F.xxhash64(F.lit(turn), "v"), "v"))
+        voters = apart.withColumn("k", rank).filter(F.col("k") <= VOTERS)
+        differ = voters.select("p", F.explode(F.concat(F.transform("minus", lambda t: F.struct(t.alias("t"), F.lit(True).alias("lacks"))), F.transform("plus", lambda t: F.struct(t.alias("t"), F.lit(False).alias("lacks"))))).alias("x"))
+        most = differ.groupBy("p", "x").agg(F.count(F.lit(1)).alias("votes")).join(voters.groupBy("p").agg(F.count(F.lit(1)).alias("all")), "p").filter("2 * votes > all")
+        turned = most.groupBy("p").agg(F.collect_list(F.when(F.col("x.lacks"), F.col("x.t"))).alias("f_in"), F.collect_list(F.when(~F.col("x.lacks"), F.col("x.t"))).alias("f_out"))
+        none = F.array().cast("array<long>")
+        f_in, f_out = F.coalesce("f_in", none), F.coalesce("f_out", none)
+        minus = F.concat(F.array_except("minus", f_in), F.array_except(f_out, "plus"))
+        plus = F.concat(F.array_except("plus", f_out), F.array_except(f_in, "minus"))
+        apart = apart.join(turned, "p", "left").select("p", "v", "n", minus.alias("minus"), plus.alias("plus"))
+        apart = written(apart.select("p", "v", "minus", "plus", F.size("minus").alias("r"), ((F.size("minus") + F.size("plus")) * near - F.col("n") * far).alias("s")), "apart")
+        bounds = apart.groupBy("p").agg(F.min(F.struct("s", "v")).alias("x"), F.max(F.col("r") * (2 * near) - F.col("s")).alias("most"))
+        star = apart.join(bounds, "p").filter((F.col("x.s") + F.col("s") <= 0) & (F.col("x.v") != F.col("v"))).select(F.col("x.v").alias("a"), F.col("v").alias("b"))
+        links = written(links.union(star), "verified")
         labels = components(links)
-    return links, labels
+        known = apart.join(bounds.select("p", "most"), "p").join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v")).withColumn("by_lack", F.col("s") <= F.col("most"))
+        lacking = F.when(F.col("by_lack"), F.transform("minus", lambda t: F.struct(t.alias("t"), F.lit(True).alias("lacks")))).otherwise(F.array().cast("array<struct<t:bigint,lacks:boolean>>"))
+        beyond = F.transform("plus", lambda t: F.struct(t.alias("t"), F.lit(False).alias("lacks")))
+        spread = known.select("p", "v", "s", "r", "comp", "by_lack", F.explode(F.concat(lacking, beyond)).alias("x"))
+        shared = spread.groupBy("p", "x").agg(F.count(F.lit(1)).alias("sets"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("sets > 1 and low <> high").select("p", "x", "sets")
+        spread = written(spread.join(shared, ["p", "x"]).select("p", "x", "v", "s", "r", "comp", "by_lack", "sets"), "spread")
+        hot = spread.filter(F.col("sets") > SMALL)
+        many = hot.groupBy("p", "v").agg(F.count_if("x.lacks").alias("hot_lack"), F.count_if(~F.col("x.lacks")).alias("hot_beyond"))
+        one, two = (spread.filter(F.col("sets") <= SMALL).select("p", "x", *[F.col(c).alias(f"{c}_{side}") for c in ("v", "s", "r", "comp", "by_lack")]) for side in "ab")
+        enough = F.col("s_a") + F.col("s_b")
+        able = ~F.col("x.lacks") | (enough <= F.least("r_a", "r_b") * (2 * near))
+        met = one.join(two, ["p", "x"]).filter((F.col("v_a") < F.col("v_b")) & (F.col("comp_a") != F.col("comp_b")) & (enough > 0) & able)
+        met = met.groupBy("p", *[f"{c}_{side}" for side in "ab" for c in ("v", "s", "r", "by_lack")]).agg(F.count_if("x.lacks").alias("lack"), F.count_if(~F.col("x.lacks")).alias("beyond"))
+        for side in "ab":
+            met = met.join(many.select("p", F.col("v").alias(f"v_{side}"), F.col("hot_lack").alias(f"hot_lack_{side}"), F.col("hot_beyond").alias(f"hot_beyond_{side}")), ["p", f"v_{side}"], "left")
+        least = lambda c: F.least(F.coalesce(f"{c}_a", F.lit(0)), F.coalesce(f"{c}_b", F.lit(0)))
+        counted = F.col("by_lack_a") & F.col("by_lack_b") & (enough <= F.least("r_a", "r_b") * (2 * near))
+        common = F.col("beyond") + least("hot_beyond") + F.when(counted, F.col("lack") + least("hot_lack")).otherwise(F.least("r_a", "r_b"))
+        pairs = written(met.filter(common * (2 * near) >= enough).select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct(), "pairs")
+        if not pairs.isEmpty():
+            links = written(links.union(_verified(pairs, sets, num, den)), "verified")
+            labels = components(links)
+        members = written(hot.select(F.xxhash64("p", "x").alias("sig"), "v"), "large")
+        if members.isEmpty():
+            return links, labels
+    now = members.join(facts.select("v", "n"), "v").join(labels, "v", "left").select("sig", "v", "n", F.coalesce("comp", "v").alias("comp"))
+    one, two = (now.select("sig", F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}")) for x in "ab")
+    fits = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    pairs = written(one.join(two, "sig").filter(fits & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct(), "pairs")
+    links = written(links.union(_verified(pairs, sets, num, den)), "verified")
+    return links, components(links)
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
