@@ -1,18 +1,24 @@
 """Masked pseudo-likelihood scores of documents, by a bidirectional window network trained in numpy.
 
-Every token is predicted from the tokens on both sides of it, itself masked: hidden = L[left] + R[right], logits = U hidden +
-c, softmax over the vocabulary. A document's score is the sum of the log-probabilities of its tokens, each given its two
-neighbours.
-
-Vocabulary: the most frequent words of the whole corpus (exact counts over all documents), and hash buckets for the others; a
-boundary token stands at either end of a text. Training: as the hidden layer is linear, the exact gradient of the pseudo-
+Every word is predicted from those on both sides of it, itself masked, in two factors: the probability of its class given the
+neighbours' classes (hidden = L[left] + R[right], logits = U hidden + c, softmax over the classes), and that of the word within its
+class. A document's score is the sum of the log-probabilities of its words.
+
+Classes: the most frequent words of the whole corpus have one each, the others share hash buckets, and a boundary token stands at
+either end of a text. Their number grows with the cube root of the number of words seen ``LEAST_SEEN`` times or more. Within a bucket
+of N tokens a word seen n times has n / (N + 1), from exact counts over all documents, and what was never seen shares the remaining
+1 / (N + 1); so no two words share a probability unless they were seen equally often. Counts of the most frequent words are with
+every task; the others are joined with the tokens by word, and so no task holds a list of all words. Which words are with the tasks
+doesn't change a score.
+
+Training: as the hidden layer is linear, the exact gradient of the pseudo-
 likelihood needs only two tables counted over all documents, how often each pair of tokens stands side by side, and how often each
 pair stands around a token. The first gives the part of the gradient that raises what was seen, exactly, and from
 the second neighbour pairs are drawn for the part that lowers what the network predicts. So every token of the corpus is trained
-on, and what the driver holds is bounded by the vocabulary's square.
+on, and what the driver holds is the square of the number of classes.
 
 Scoring: left and right part of a logit and the normaliser of every pair of neighbours are tables of that size as well, so a
-token costs three look-ups, and the result is the network's own probability.
+token costs three look-ups, and the result is the network's own probability of the class.
 
 Defined results: words are runs without ASCII white space, lower-cased; a null text or one without words has 0 tokens, log-
 likelihood 0 and a null mean. Repeated rows get equal scores; an empty corpus gives an empty result.
@@ -20,17 +26,30 @@ likelihood 0 and a null mean. Repeated rows get equal scores; an empty corpus gi
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of the vocabulary: the boundary (0), frequent words, buckets.
+from .shared import written
+
+#: Classes of a small corpus: the boundary (0), frequent words, buckets.
 VOCABULARY, BUCKETS = 1024, 256
+#: Beyond that there are GROWTH times the cube root of the number of words seen LEAST_SEEN times or more, a quarter of them buckets.
+GROWTH, LEAST_SEEN = 20, 20
+#: About so many words' counts are with every task; the others are joined.
+KNOWN = 200_000
+#: Up to so many cells a task counts pairs in whole tables.
+DENSE_CELLS = 1 << 22
+#: Logarithms of counts are summed as multiples of 1 / SCALE, in any order with the same result.
+SCALE = 1 << 30
 HIDDEN, STEPS, BATCH, RATE = 16, 250, 1024, 0.05
 #: Distinct words counted in a task before they leave it, and tokens before they are added to its tables.
 FLUSH_WORDS, FLUSH_TOKENS = 400_000, 1 << 20
@@ -62,7 +81,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary(dict):
-    """Word to token: frequent words have their own, others share hash buckets."""
+    """Word to class: frequent words have their own, others share hash buckets."""
 
     def __init__(self, frequent: list[bytes], size: int = VOCABULARY, buckets: int = BUCKETS):
         super().__init__({w: i + 1 for i, w in enumerate(frequent[: size - buckets - 1])})
@@ -78,7 +97,9 @@ class Vocabulary(dict):
         return token
 
     def tokens(self, text: str | None) -> np.ndarray:
-        found = words(text)
+        return self.of(words(text))
+
+    def of(self, found: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, found), dtype=np.int32, count=len(found))
 
 
@@ -87,6 +108,27 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY, buckets: int = BUCKETS)
     return Vocabulary([bytes(r["word"]) for r in top], size, buckets)
 
 
+def classes(seen_often: int) -> tuple[int, int]:
+    """How many classes a corpus gets that has so many words seen LEAST_SEEN times or more, and how many of them are buckets."""
+    size = max(VOCABULARY, round(GROWTH * seen_often ** (1 / 3)))
+    return size, max(BUCKETS, size // 4)
+
+
+def frequent_words(counts: DataFrame) -> tuple[list[tuple[bytes, int]], int, int]:
+    """Words with counts, the most frequent first, down to the least count that leaves no more than KNOWN; that count; and how many words
+    were seen LEAST_SEEN times or more."""
+    by_count = sorted(((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    upto, least = 0, (by_count[0][0] + 1 if by_count else 1)
+    for n, w in by_count:
+        upto += w
+        if upto > KNOWN:
+            break
+        least = n
+    found = counts.filter(F.col("n") >= least).select("word", "n").toArrow()
+    top = sorted(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    return top, least, sum(w for n, w in by_count if n >= LEAST_SEEN)
+
+
 def lined(parts: list[np.ndarray]) -> np.ndarray:
     """Texts end to end with the boundary token around each."""
     edge = np.zeros(1, dtype=np.int32)
@@ -98,34 +140,45 @@ def pair_tables(docs: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, np.ndar
     size, shared = vocab.size, docs.sparkSession.sparkContext.broadcast(vocab)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, parts, held, own = np.zeros((2, size * size), dtype=np.int64), [], 0, shared.value
+        cells, own = size * size, shared.value
+        whole = np.zeros(2 * cells, dtype=np.int64) if cells <= DENSE_CELLS else None
+        parts, held = [], 0
 
-        def add() -> None:
+        def rows(at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for low in range(0, len(at), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(at[low : low + (1 << 18)], type=pa.int64()), pa.array(n[low : low + (1 << 18)], type=pa.int64())], names=["cell", "n"])
+
+        def add() -> Iterator[pa.RecordBatch]:
             line = lined(parts).astype(np.int64)
-            tables[0] += np.bincount(line[:-1] * size + line[1:], minlength=size * size)
             inner = line[1:-1] > 0
-            tables[1] += np.bincount((line[:-2] * size + line[2:])[inner], minlength=size * size)
+            for k, at in enumerate((line[:-1] * size + line[1:], (line[:-2] * size + line[2:])[inner])):
+                if whole is not None:
+                    whole[k * cells : (k + 1) * cells] += np.bincount(at, minlength=cells)
+                else:
+                    yield from rows(*np.unique(at + k * cells, return_counts=True))
 
         for batch in batches:
             for text in batch.column(0):
                 parts.append(own.tokens(text.as_py()))
                 held += len(parts[-1])
                 if held >= FLUSH_TOKENS:
-                    add()
+                    yield from add()
                     parts.clear()
                     held = 0
         if held:
-            add()
-        for k in (0, 1):
-            cells = np.flatnonzero(tables[k])
-            for low in range(0, len(cells), 1 << 18):
-                part = cells[low : low + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(part + k * size * size, type=pa.int32()), pa.array(tables[k][part], type=pa.int64())], names=["cell", "n"])
+            yield from add()
+        if whole is not None:
+            at = np.flatnonzero(whole)
+            yield from rows(at, whole[at])
 
-    found = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(2 * size * size)
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out[: size * size].reshape(size, size), out[size * size :].reshape(size, size)
+    counted = written(docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "pairs")
+    out = []
+    for k in (0, 1):
+        table, low = np.zeros(size * size), k * size * size
+        found = counted.filter((F.col("cell") >= low) & (F.col("cell") < low + size * size)).select((F.col("cell") - low).alias("cell"), "n").toArrow()
+        table[found["cell"].to_numpy()] = found["n"].to_numpy()
+        out.append(table.reshape(size, size))
+    return out[0], out[1]
 
 
 class WindowNetwork:
@@ -149,12 +202,8 @@ class WindowNetwork:
         if not total:
             return self
         size = len(self.bias)
-        before = beside / total  # (left, token)
-        before[:, 0] = 0
-        after = beside.T / total  # (right, token)
-        after = after.copy()
-        after[:, 0] = 0
-        share = before.sum(axis=0)
+        share = beside.sum(axis=0) / total
+        share[0] = 0
         self.bias = np.log(share + 1e-7)
         cells = np.flatnonzero(around)
         upto = np.cumsum(around.ravel()[cells])
@@ -166,10 +215,14 @@ class WindowNetwork:
             hidden = self.left[l] + self.right[r]
             p = np.exp(self.log_probabilities(l, r)) / batch
             back = p @ self.out
-            gl, gr = before @ self.out, after @ self.out
+            out = self.out / total
+            out[0] = 0  # the boundary is never predicted
+            gl, gr = beside @ out, beside.T @ out
             np.subtract.at(gl, l, back)
             np.subtract.at(gr, r, back)
-            go = before.T @ self.left + after.T @ self.right - p.T @ hidden
+            go = (beside.T @ self.left + beside @ self.right) / total
+            go[0] = 0
+            go -= p.T @ hidden
             now = rate * (1 - (step - 1) / steps)
             for param, grad, (m, v) in zip((self.left, self.right, self.out, self.bias), (gl, gr, go, share - p.sum(axis=0)), state, strict=True):
                 m += 0.1 * (grad - m)
@@ -197,43 +250,92 @@ def token_scores(line: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndar
     return np.where(t > 0, left[l, t].astype(np.float64) + right[r, t] - norm[l, r], 0.0)
 
 
-def fit(docs: DataFrame) -> tuple[Vocabulary, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Vocabulary and score tables of a network trained on all of ``docs`` (column ``text``)."""
-    vocab = vocabulary(docs)
-    return vocab, WindowNetwork(vocab.size).train(*pair_tables(docs, vocab)).tables()
+class Model(NamedTuple):
+    """``within`` has what a class takes from the logarithm of a word's count, ``logs`` the logarithms of the known words in buckets, and
+    ``counts`` (``word, n``) the other words seen twice or more."""
+
+    vocab: Vocabulary
+    tables: tuple[np.ndarray, np.ndarray, np.ndarray]
+    within: np.ndarray
+    logs: dict[bytes, float]
+    counts: DataFrame
+
+
+def fit(docs: DataFrame) -> Model:
+    """A network trained on all of ``docs`` (column ``text``), and the counts of its words."""
+    counts = written(word_counts(docs).filter("n > 1"), "words")
+    top, least, seen_often = frequent_words(counts)
+    size, buckets = classes(seen_often)
+    vocab = Vocabulary([w for w, _ in top], size, buckets)
+    beside, around = pair_tables(docs, vocab)
+    within = np.zeros(size)
+    within[size - buckets :] = np.log(beside[:, size - buckets :].sum(axis=0) + 1)
+    logs = {w: math.log(n) for w, n in top[vocab.known :]}
+    return Model(vocab, WindowNetwork(size).train(beside, around).tables(), within, logs, counts.filter(F.col("n") < least))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple | None = None) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """``id, n_tokens, log_likelihood, mean_log_likelihood`` of every row."""
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(rows))
+    model = model or fit(rows)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model[:4]))
     kind = rows.schema[id_col].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, tables = shared.value
+        """A record for each row, and one for each of its words whose count must be looked up."""
+        vocab, tables, within, logs = shared.value
+        first, key = vocab.size - vocab.buckets, TaskContext.get().partitionId() << 40
         for batch in batches:
-            sizes, sums, parts, held = [], [], [], 0
+            low, sums, parts, asked, askers, held = 0, [], [], [], [], 0
 
-            def add(parts: list[np.ndarray]) -> None:
-                n = np.array([len(p) for p in parts])
+            def records(upto: int) -> pa.RecordBatch:
+                n = np.array([len(p) for p in parts], dtype=np.int64)
                 filled = np.flatnonzero(n)
-                total = np.zeros(len(n))
+                total = np.array(sums)
                 if len(filled):
-                    each = token_scores(lined(parts), tables)
+                    line = lined(parts)
                     starts = np.concatenate([[0], np.cumsum(n[filled] + 1)[:-1]])
-                    total[filled] = np.add.reduceat(each, starts)
-                sizes.extend(n.tolist())
-                sums.extend(total.tolist())
-
-            for text in batch.column(1):
-                parts.append(vocab.tokens(text.as_py()))
-                held += len(parts[-1])
+                    total[filled] += np.add.reduceat(token_scores(line, tables) - within[line[1:-1]], starts)
+                ids = batch.column(0).slice(low, upto - low)
+                keys = np.arange(key + low, key + upto)
+                # a row's own record has a key that no word has, so that these records don't meet in one task
+                own = [b" %d" % k for k in keys]
+                none = len(asked)
+                return pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([keys, keys[np.array(askers, dtype=np.int64)]])),
+                        pa.concat_arrays([ids, pa.nulls(none, ids.type)]),
+                        pa.array(np.concatenate([n, np.zeros(none, dtype=np.int64)])),
+                        pa.array(np.concatenate([total, np.zeros(none)])),
+                        pa.array(own + asked, type=pa.binary()),
+                    ],
+                    names=["_row", id_col, "n_tokens", "_own", "word"],
+                )
+
+            for k, text in enumerate(batch.column(1)):
+                found = words(text.as_py())
+                tokens = vocab.of(found)
+                had = 0.0
+                for i in np.flatnonzero(tokens >= first).tolist():
+                    log = logs.get(found[i])
+                    if log is None:
+                        asked.append(found[i])
+                        askers.append(len(parts))
+                    else:
+                        had += log
+                parts.append(tokens)
+                sums.append(had)
+                held += len(tokens)
                 if held >= FLUSH_TOKENS:
-                    add(parts)
-                    parts, held = [], 0
+                    yield records(k + 1)
+                    low, sums, parts, asked, askers, held = k + 1, [], [], [], [], 0
             if parts:
-                add(parts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, type=pa.int64()), pa.array(sums, type=pa.float64())], names=[id_col, "n_tokens", "log_likelihood"])
-
-    found = rows.mapInArrow(judge, f"`{id_col}` {kind}, n_tokens long, log_likelihood double")
-    return found.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+                yield records(len(batch))
+            key += len(batch)
+
+    found = rows.mapInArrow(judge, f"_row long, `{id_col}` {kind}, n_tokens long, _own double, word binary")
+    logs = model.counts.select("word", F.round(F.log("n") * SCALE).cast("long").alias("_log"))
+    summed = found.join(logs, "word", "left").groupBy("_row").agg(
+        F.first(id_col, ignorenulls=True).alias(id_col), F.sum("n_tokens").alias("n_tokens"), (F.sum("_own") + F.coalesce(F.sum("_log"), F.lit(0)) / SCALE).alias("log_likelihood")
+    )
+    return summed.drop("_row").withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -111,6 +111,42 @@ def test_lm_scores_of_a_corpus(spark, tiny, monkeypatch):
     assert all(got[i].n_tokens == len((t or "").split()) for i, t in texts.items())
 
 
+def test_words_of_a_bucket_have_the_probability_of_their_counts(spark, monkeypatch):
+    """Words beyond the classes are told apart, whether their counts are with the tasks or joined."""
+    monkeypatch.setattr(lm_score, "VOCABULARY", 4)
+    monkeypatch.setattr(lm_score, "BUCKETS", 1)
+    monkeypatch.setattr(lm_score, "GROWTH", 0)
+    monkeypatch.setattr(lm_score, "STEPS", 5)
+    seen = {"a": 40, "b": 30, "c": 7, "d": 3, "e": 3, "f": 2, "g": 1}
+    docs = frame(spark, [(k, w, None, None) for k, w in enumerate(w for w, n in seen.items() for _ in range(n))])
+    asked = frame(spark, [(k, w, None, None) for k, w in enumerate([*seen, "never", "c never"])])
+    found = []
+    for known in (10**6, 4, 2):
+        monkeypatch.setattr(lm_score, "KNOWN", known)
+        model = lm_score.fit(docs)
+        assert (model.vocab.known, model.vocab.size, model.counts.count()) == (2, 4, {10**6: 0, 4: 3, 2: 4}[known])
+        found.append({r.doc_id: r.log_likelihood for r in lm_score.score(asked, model=model).collect()})
+    for x in found:
+        by = dict(zip(seen, (x[k] for k in range(7)), strict=True))
+        assert abs(by["c"] - by["g"] - np.log(7)) < 1e-6 and abs(by["d"] - by["f"] - np.log(1.5)) < 1e-6 and abs(by["d"] - by["e"]) < 1e-9
+        assert abs(by["g"] - x[7]) < 1e-9, "a word never seen has what one seen once has"
+        assert abs(sum(np.exp([*by.values(), x[7]])) - 1) < 1e-4, "all words together have the probability 1"
+    assert all(abs(x[k] - found[0][k]) < 1e-6 for x in found for k in x)
+
+
+def test_pairs_of_many_classes_are_counted_alike(spark, monkeypatch):
+    docs = frame(spark, [(k, f"a b {'c ' * k} d b a", None, None) for k in range(9)])
+    vocab = lm_score.vocabulary(docs, 8, 2)
+    want = lm_score.pair_tables(docs, vocab)
+    monkeypatch.setattr(lm_score, "DENSE_CELLS", 0)
+    assert all(np.array_equal(a, b) for a, b in zip(want, lm_score.pair_tables(docs, vocab), strict=True))
+
+
+def test_classes_grow_with_the_corpus():
+    assert lm_score.classes(0) == (1024, 256)
+    assert lm_score.classes(10**6) == (2000, 500) and lm_score.classes(8 * 10**6) == (4000, 1000)
+
+
 def test_lm_score_edges(spark):
     assert lm_score.score(frame(spark, [])).collect() == []
     got = sorted((str(x.doc_id), x.n_tokens, x.log_likelihood <= 0, x.mean_log_likelihood is None) for x in lm_score.score(frame(spark, [(1, None, None, None), (2, "", None, None), (3, "a b", None, None), (3, "a b", None, None), (None, "b", None, None)])).collect())
