@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import derive, kinetics, motifs
@@ -427,16 +427,24 @@ def reads_to_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- modification tags
 
 
-def _calls(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
-    """CHH cytosines of either strand in the reads' first bases, with a probability from place and read."""
-    reads = derive.reads_seq(spark, sf_dir).withColumn("seq", F.col("seq").substr(1, length))
+def _first(seq: Column, length: int | None) -> Column:
+    return seq if length is None else seq.substr(1, length)
+
+
+def _calls(spark: SparkSession, sf_dir: str, length: int | None = None) -> DataFrame:
+    """CHH cytosines of either strand in the reads' first bases, or in all, with a probability from place and read."""
+    reads = derive.reads_seq(spark, sf_dir).withColumn("seq", _first(F.col("seq"), length))
     sites = motifs.motif_sites(reads, ("CHH",))
     return sites.select("read_id", "qoff", "strand", ((F.col("qoff") * 7 + F.col("read_id")) % 256).cast("int").alias("scaled_prob"))
 
 
-def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = derive.reads_seq(spark, sf_dir).select("read_id", F.col("seq").substr(1, 400).alias("seq"))
-    return mods.with_tags(reads, _calls(spark, sf_dir, 400))
+def _tagged(spark: SparkSession, sf_dir: str, length: int | None = None) -> DataFrame:
+    reads = derive.reads_seq(spark, sf_dir).select("read_id", _first(F.col("seq"), length).alias("seq"))
+    return mods.with_tags(reads, _calls(spark, sf_dir, length))
+
+
+#: mm_encode and mm_decode see so many bases of a read, as their oracle does; mm_encode_whole and mm_decode_whole see all.
+MM_PREFIX = 400
 
 
 _MM = f"""r AS (SELECT read_id, substr(seq, 1, 400) AS seq FROM (SELECT doc_id AS read_id, regexp_replace(translate(text, '{derive.LETTERS}', '{derive.BASES}'), '[^ACGT]', '', 'g') AS seq FROM documents)),
@@ -450,12 +458,26 @@ d AS (SELECT c.read_id, c.strand, c.qoff, (c.qoff * 7 + c.read_id) % 256 AS p, r
 @query(f"""WITH {_MM}, t AS (SELECT read_id, 'C+m' || coalesce(string_agg(',' || delta, '' ORDER BY qoff) FILTER (WHERE strand = 0), '') || ';G-m' || coalesce(string_agg(',' || delta, '' ORDER BY qoff) FILTER (WHERE strand = 1), '') || ';' AS mm, count(*) AS n_ml, CAST(sum(p) AS BIGINT) AS sum_ml FROM d GROUP BY read_id)
 SELECT r.read_id, t.mm, t.n_ml, t.sum_ml, CASE WHEN t.mm IS NOT NULL THEN CAST(length(r.seq) AS INT) END AS mn FROM r LEFT JOIN t ON t.read_id = r.read_id""")
 def mm_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summed_tags(_tagged(spark, sf_dir, MM_PREFIX))
+
+
+@query()
+def mm_encode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summed_tags(_tagged(spark, sf_dir))
+
+
+def _summed_tags(tagged: DataFrame) -> DataFrame:
     total = F.when(F.col("ml").isNotNull(), F.aggregate("ml", F.lit(0).cast("long"), lambda a, x: a + x))
-    return _tagged(spark, sf_dir).select("read_id", "mm", F.when(F.col("ml").isNotNull(), F.size("ml")).cast("long").alias("n_ml"), total.alias("sum_ml"), "mn")
+    return tagged.select("read_id", "mm", F.when(F.col("ml").isNotNull(), F.size("ml")).cast("long").alias("n_ml"), total.alias("sum_ml"), "mn")
 
 
 @query(f"WITH {_MM} SELECT read_id, CAST(qoff AS INT) AS qoff, CAST(strand AS INT) AS strand, CASE WHEN strand = 0 THEN 'C' ELSE 'G' END AS unmod_base, 'm' AS code, CAST(p AS INT) AS scaled_prob FROM d")
 def mm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mods.base_mods(_tagged(spark, sf_dir, MM_PREFIX))
+
+
+@query()
+def mm_decode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mods.base_mods(_tagged(spark, sf_dir))
 
 
