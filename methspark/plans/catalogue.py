@@ -374,6 +374,29 @@ def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.select("read_id", F.col("read_id").alias("chrom"), flag.alias("flag"), cigar.alias("cigar"), F.col("seq").substr(1, 60).alias("seq"), pos.alias("pos"), F.col("seq").substr(1, 80).alias("subject"))
 
 
+#: For whole reads: leading and trailing clip, and a unit that is repeated between them; a unit's insertions and deletions are equally long, so
+#: the alignment returns to the diagonal (fixed values).
+WHOLE_CIGARS = [(0, 0, "60M", 60), (5, 3, "20M2I30M2D", 52), (0, 0, "30M3D30M3I", 63), (10, 0, "15M10D15M9I11M1I", 51)]
+
+
+def _whole_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every read, whole, aligned to itself by one of four CIGARs as long as the read; every other group of four reversed.
+
+    What is left of a read after the last unit is matched, and a read no longer than its clips is matched whole.
+    """
+    reads = derive.reads_seq(spark, sf_dir).filter("length(seq) > 0")
+    n, k = F.length("seq"), (F.col("read_id") % 4).cast("int")
+    of = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in WHOLE_CIGARS]), k + 1)
+    lead, trail, size = of(0), of(1), of(3)
+    inner = n - lead - trail
+    clip = lambda c: F.when(c > 0, F.concat(c.cast("string"), F.lit("S"))).otherwise("")
+    rest = F.when(inner % size > 0, F.concat((inner % size).cast("string"), F.lit("M"))).otherwise("")
+    long = F.concat(clip(lead), F.repeat(of(2), F.floor(inner / size).cast("int")), rest, clip(trail))
+    flag = F.when(F.col("read_id") % 8 >= 4, 16).otherwise(0)
+    cigar, pos = F.when(inner > 0, long).otherwise(F.concat(n.cast("string"), F.lit("M"))), F.when(inner > 0, lead).otherwise(0)
+    return reads.select("read_id", F.col("read_id").alias("chrom"), flag.alias("flag"), cigar.alias("cigar"), "seq", pos.alias("pos"), F.col("seq").alias("subject"))
+
+
 _ALN = f"""{_READS}, aln AS (SELECT read_id, seq, read_id % 8 >= 4 AS rev, ['60M', '5S20M2I30M3S', '30M3D30M', '10S15M10D15M9I11M'][read_id % 4 + 1] AS cigar, [0, 5, 0, 10][read_id % 4 + 1] AS start FROM reads WHERE length(seq) >= 80),
 ops AS (SELECT read_id, rev, seq, start, k, CAST(regexp_extract_all(cigar, '(\\d+)[A-Z]', 1)[k] AS INT) AS n, regexp_extract_all(cigar, '\\d+([A-Z])', 1)[k] AS op FROM aln, range(1, 8) AS t(k) WHERE k <= len(regexp_extract_all(cigar, '\\d+[A-Z]'))),
 cons AS (SELECT *, coalesce(sum(CASE WHEN op IN ('M', 'I', 'S') THEN n ELSE 0 END) OVER w, 0) AS q0, start + coalesce(sum(CASE WHEN op IN ('M', 'D') THEN n ELSE 0 END) OVER w, 0) AS s0 FROM ops WINDOW w AS (PARTITION BY read_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -415,10 +438,44 @@ def mapped_chh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.mapped_hits(_alignments(spark, sf_dir)).filter("context = 'CHH'").select("read_id", "qoff", "soff")
 
 
+@query()
+def cigar_columns_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_columns(_whole_alignments(spark, sf_dir))
+
+
+@query()
+def aln_identity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(alignment.alignment_summary(_whole_alignments(spark, sf_dir)).drop("epi"), "pi")
+
+
+@query()
+def effective_identity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(alignment.alignment_summary(_whole_alignments(spark, sf_dir)).select("read_id", "epi"), "epi")
+
+
+def _whole_hits(spark: SparkSession, sf_dir: str, context: str) -> DataFrame:
+    return alignment.mapped_hits(_whole_alignments(spark, sf_dir)).filter(F.col("context") == context).select("read_id", "qoff", "soff")
+
+
+@query()
+def mapped_cpg_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_hits(spark, sf_dir, "CpG")
+
+
+@query()
+def mapped_chg_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_hits(spark, sf_dir, "CHG")
+
+
+@query()
+def mapped_chh_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_hits(spark, sf_dir, "CHH")
+
+
 @query()
 def reads_to_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From tagged, aligned reads to site frequencies: hits joined with the reads' calls, then the pileup."""
-    reads, calls = _alignments(spark, sf_dir), _calls(spark, sf_dir, 60)
+    reads, calls = _whole_alignments(spark, sf_dir), _calls(spark, sf_dir)
     hits = alignment.mapped_hits(reads).join(calls.select("read_id", "qoff", "scaled_prob"), ["read_id", "qoff"])
     obs = hits.select((F.col("chrom") % 5).alias("chrom"), "soff", "context", "scaled_prob", F.lit(60).alias("mapq"), "pi", F.lit(True).alias("primary"))
     return pileup.pileup(obs, min_identity=40.0)
