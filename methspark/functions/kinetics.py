@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .motifs import codes
+from .motifs import CONTEXTS, codes, site_masks
 
 #: Largest frame count that the codec can hold (fixed value).
 MOST_FRAMES = 952
@@ -73,14 +73,18 @@ def windows(features: np.ndarray, sites: np.ndarray, kmer: int) -> np.ndarray:
     return padded[sites[:, None] + np.arange(kmer)[None, :]]
 
 
-def kmer_features(reads: DataFrame, kmer: int = 21) -> DataFrame:
-    """``read_id, qoff, features`` (kmer x 8 floats) for the CpG sites of reads with ``seq, fi, fp, ri, rp`` (frames)."""
+def kmer_features(reads: DataFrame, kmer: int = 21, context: str = "CpG") -> DataFrame:
+    """``read_id, qoff, features`` (kmer x 8 floats) for the context's sites of reads with ``seq, fi, fp, ri, rp`` (frames).
+
+    CHH sites of the other strand lie at their G, with the window as the read runs.
+    """
+    if context not in CONTEXTS:
+        raise ValueError(f"unknown context: {context}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                c = codes(row["seq"])
-                at = np.flatnonzero((c[:-1] == 1) & (c[1:] == 2))
+                at = np.sort(np.concatenate([starts + shift for name, _, shift, starts in site_masks(codes(row["seq"])) if name == context]))
                 if not len(at):
                     continue
                 f = base_features(row["seq"], *[np.asarray(row[k], dtype=np.float32) for k in ("fi", "fp", "ri", "rp")])

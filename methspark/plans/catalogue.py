@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -351,12 +353,14 @@ def _kinetic_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kmer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kinetics.kmer_features(_kinetic_reads(spark, sf_dir))
+    reads = _kinetic_reads(spark, sf_dir)
+    return reduce(DataFrame.union, [kinetics.kmer_features(reads, context=c).withColumn("context", F.lit(c)) for c in motifs.CONTEXTS])
 
 
 @query()
 def score_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score_sites(kinetics.kmer_features(scoring.scorable(_kinetic_reads(spark, sf_dir))), scoring.LinearScorer())
+    reads = scoring.scorable(_kinetic_reads(spark, sf_dir))
+    return reduce(DataFrame.union, [scoring.score_sites(kinetics.kmer_features(reads, context=c), scoring.LinearScorer(c)) for c in motifs.CONTEXTS])
 
 
 # ---- alignments
