@@ -15,9 +15,9 @@ of each set in one global order holds n - need + 1 tokens, similar sets share on
   as well. Bands under 8 tokens use single tokens.
 * Candidates. Sets that share a signature: all pairs within a bucket of at most ``SMALL`` sets, counted over the buckets;
   pairs that can't share enough tokens in their prefixes are dropped by an exact bound. Larger buckets (sets made of frequent
-  tokens: large groups of near copies) are linked in rounds by what their sets differ in from a pivot, see
-  ``_large_buckets``; what is left after ``ROUNDS`` rounds is compared pair by pair, between components only.
-* Verification counts shared tokens on the whole sets. Links go to connected components, never to the driver.
+  tokens: large groups of near copies) are linked in rounds by what their sets differ in from a reference, see
+  ``_large_buckets``.
+* Verification counts shared tokens on the whole sets, or on their whole differences from one reference. Links go to connected components, never to the driver.
 
 Memory is bounded by a task's piece of text, the list of frequent tokens and one longest text. Hot tokens are counted in
 each task before they are exchanged.
@@ -36,7 +36,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .bitmaps import bitmap
 from .components import components
@@ -47,8 +46,9 @@ CUT = Words(lower=True)
 FREQUENT = 32
 MOST_FREQUENT = 1 << 20
 SMALL = 32
-ROUNDS = 2
-#: Sets of a pivot that decide on its reference.
+#: Rounds in which large buckets with the same pivot are one group.
+ROUNDS = 3
+#: About so many sets of a pivot decide on its reference.
 VOTERS = 64
 #: Tokens counted together before they leave a task.
 FLUSH = 1 << 21
@@ -176,7 +176,7 @@ def token_table(docs: DataFrame, often: np.ndarray, slices_bits: int, n: int, nu
                 got, tail, freq = signatures(tokens, is_often, num, den)
                 sizes.append(len(tokens))
                 keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                sigs.append(np.asarray(got, dtype=np.int64))
+                sigs.append(np.unique(np.asarray(got, dtype=np.int64)))
                 tails.append(tail)
                 freqs.append(freq)
             flat = pa.array(np.concatenate(sigs)) if sigs else pa.array([], type=pa.int64())
@@ -191,8 +191,8 @@ def token_table(docs: DataFrame, often: np.ndarray, slices_bits: int, n: int, nu
 
 
 def _token_sets(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """``v, n, tokens`` of the nodes in ``wanted`` (column ``v``); texts are read again, not moved."""
-    chosen = written(wanted.distinct().join(nodes.select("v", "key", "label"), "v"), "wanted")
+    """``v, tokens, crowded`` of the nodes in ``wanted`` (``v, crowded``), a folder for either kind; texts are read again, not moved."""
+    chosen = written(wanted.join(nodes.select("v", "key", "label"), "v"), "wanted")
     hashed = chosen.filter("label is not null").select(F.xxhash64("label").alias("h"))
     keys = bitmap(hashed, chosen.count())
 
@@ -207,8 +207,8 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, n: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], type=pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], names=["key", "tokens"])
 
     found = docs.select(F.xxhash64("id"), "text", F.col("id").isNull()).mapInArrow(build, "key binary, tokens array<long>")
-    found = found.join(chosen.select("key", "v"), "key").groupBy("v").agg(F.first("tokens").alias("tokens"))
-    return written(found, "token-sets")
+    found = found.groupBy("key").agg(F.first("tokens").alias("tokens")).join(chosen.select("key", "v", "crowded"), "key")
+    return written(found.select("v", "tokens", "crowded"), "token-sets", "crowded")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -220,7 +220,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.select("a", "b").join(one, "a").join(two, "b").filter(enough).select("a", "b")
 
 
-def links_and_nodes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def nodes_and_labels(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (``id, n, key``), nodes (``key, v, label``) and the component of every linked node (``v, comp``)."""
     slices_bits = min(16, max(6, (docs.count() >> 12).bit_length()))
     often = frequent_tokens(docs, n, slices_bits)
@@ -230,7 +230,7 @@ def links_and_nodes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFr
     nodes = written(nodes.withColumn("v", F.monotonically_increasing_id()), "nodes")
     posted = nodes.select("v", F.explode("sigs").alias("sig"))
     often_met = posted.groupBy("sig").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    buckets = written(posted.join(often_met, "sig").distinct(), "buckets")
+    buckets = written(posted.join(often_met, "sig"), "buckets")
 
     # all pairs of the small buckets, counted, with the bound on what their prefixes must share
     small, large = buckets.filter(F.col("sets") <= SMALL), buckets.filter(F.col("sets") > SMALL)
@@ -247,88 +247,105 @@ def links_and_nodes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFr
     least = overlap - F.greatest("taila", "tailb")
     pairs = counted.join(fact[0], "a").join(fact[1], "b").filter(F.col("shared") + F.least("morea", "moreb") >= least).select("a", "b")
     pairs = written(pairs, "pairs")
-    sets = _token_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("v")).union(large.select("v")), nodes, n)
-    links = written(_verified(pairs, sets, num, den), "verified")
-    labels = components(links)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v"), F.lit(False).alias("crowded")).union(large.select("v", F.lit(True)))
+    sets = _token_sets(docs, wanted.groupBy("v").agg(F.max("crowded").alias("crowded")), nodes, n)
+    labels = components(written(_verified(pairs, sets, num, den), "verified"))
     if not large.isEmpty():
-        links, labels = _large_buckets(large, facts, sets, links, labels, num, den)
+        labels = _large_buckets(large, sets.filter("crowded"), labels, num, den)
     return rows, nodes, labels
 
 
-def _large_buckets(large: DataFrame, facts: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Links within large buckets (``sig, v``): rounds over differences from a pivot, then pair by pair between components.
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links; ``labels`` itself if there are none."""
+    return labels if links.isEmpty() else components(labels.select(F.col("v").alias("a"), F.col("comp").alias("b")).union(links))
+
+
+def _large_buckets(large: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Labels after all links within large buckets (``sig, v``), found in rounds over differences from a reference set.
 
     Similar means that the symmetric difference of x and y has at most c (nx + ny) tokens, c = (den - num) / (den + num). With
     D(x) the difference of x from any one reference set, it has |D(x)| + |D(y)| - 2 |D(x) and D(y)| tokens. So let s(x) = |D(x)| - c nx.
 
     * Where s(x) + s(y) <= 0 the two are linked for certain, and then each of them is linked to the set with the least s as
       well, so a star around that one joins all such pairs.
-    * Any other link has (s(x) + s(y)) / 2 > 0 common tokens in D(x) and D(y), each of which both sets lack (of the
-      reference) or both have beyond it. What they lack suffices by itself only if (s(x) + s(y)) / 2 <= min(rx, ry), r being
-      how many tokens a set lacks; so only sets with s(x) <= max over y of 2 ry - s(y) are looked up by tokens that they
-      lack, and all are by those that they have beyond.
-
-    The reference is a bucket's pivot, turned in every token in which more than half of ``VOTERS`` of its sets differ from
-    it, so that within a group of near copies D(x) holds a copy's own edits, which few others share. Any reference gives the
-    same links; a good one leaves little to compare. Tokens of D that many sets share are the buckets of the next round.
+    * Any other link has at least (s(x) + s(y)) / 2 > 0 common tokens in D(x) and D(y), so prefixes of the D in one order that
+      leave out fewer share one. Only links to another component matter, hence s(y) is at least the least s of the
+      other components; and as D(y) has the common tokens, s(y) >= s(x) - 2 c ny, where ny <= nx den / num. So x posts
+      |D(x)| - (s(x) + the greater of these) / 2 + 1 tokens: under 2 c nx den / num + 2 in any case, and none where that many
+      common tokens are more than it has, as for a group of near copies and sets far from it.
+
+    The reference is a bucket's pivot, turned in every token in which more than half of about ``VOTERS`` of its sets differ from
+    it, so that within a group of near copies D(x) holds a copy's own edits, which few others share. Tokens beyond the
+    reference come before those that a set lacks, which many share. Any reference and order give the same links; good ones leave
+    little to compare.
+
+    Tokens of prefixes that more than ``SMALL`` sets share are the buckets of the next round, until none is left with two components.
+    Buckets with the same pivot are one group for ``ROUNDS`` rounds; from then on each is a group of its own, where all sets
+    agree in the bucket's token and so do all later references: a token more each round, so the rounds end.
     """
     members = large.select("sig", "v")
     near, far = den + num, den - num
-    for turn in range(ROUNDS):
+    turn = 0
+    while True:
         now = members.join(labels, "v", "left").select("sig", "v", F.coalesce("comp", "v").alias("comp"))
         split = now.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64(F.lit(turn), "v").alias("h"), F.col("v"))).alias("p"))
-        split = written(split.filter("low <> high").select("sig", F.col("p.v").alias("p")), "split")
+        split = written(split.filter("low <> high").select("sig", F.col("p.v").alias("p"), F.col("p.v" if turn < ROUNDS else "sig").alias("g")), "split")
         if split.isEmpty():
-            return links, labels
-        pairs = now.join(split, "sig").select("p", "v").distinct()
-        tokens = pairs.join(sets.select(F.col("v").alias("p"), F.col("tokens").alias("tp")), "p").join(sets.select("v", "tokens"), "v")
-        apart = written(tokens.select("p", "v", F.size("tokens").alias("n"), F.array_except("tp", "tokens").alias("minus"), F.array_except("tokens", "tp").alias("plus")), "apart")
-        rank = F.row_number().over(Window.partitionBy("p").orderBy(F.xxhash64(F.lit(turn), "v"), "v"))
-        voters = apart.withColumn("k", rank).filter(F.col("k") <= VOTERS)
-        differ = voters.select("p", F.explode(F.concat(F.transform("minus", lambda t: F.struct(t.alias("t"), F.lit(True).alias("lacks"))), F.transform("plus", lambda t: F.struct(t.alias("t"), F.lit(False).alias("lacks"))))).alias("x"))
-        most = differ.groupBy("p", "x").agg(F.count(F.lit(1)).alias("votes")).join(voters.groupBy("p").agg(F.count(F.lit(1)).alias("all")), "p").filter("2 * votes > all")
-        turned = most.groupBy("p").agg(F.collect_list(F.when(F.col("x.lacks"), F.col("x.t"))).alias("f_in"), F.collect_list(F.when(~F.col("x.lacks"), F.col("x.t"))).alias("f_out"))
+            return labels
+        group = now.join(split, "sig").select("g", "p", "v", "comp").distinct()
+        tokens = group.join(sets.select(F.col("v").alias("p"), F.col("tokens").alias("tp")), "p").join(sets.select("v", "tokens"), "v")
+        apart = written(tokens.select("g", "v", "comp", F.size("tokens").alias("n"), F.array_except("tp", "tokens").alias("minus"), F.array_except("tokens", "tp").alias("plus")), "apart")
+
+        # the reference: what most of the voters have
+        sizes = apart.groupBy("g").agg(F.count(F.lit(1)).alias("all"))
+        voters = apart.join(sizes, "g").filter(F.pmod(F.xxhash64(F.lit(turn), "v"), F.col("all")) < VOTERS)
+        differ = voters.select("g", F.explode(F.concat(F.transform("minus", lambda t: F.struct(t.alias("t"), F.lit(True).alias("lacks"))), F.transform("plus", lambda t: F.struct(t.alias("t"), F.lit(False).alias("lacks"))))).alias("x"))
+        most = differ.groupBy("g", "x").agg(F.count(F.lit(1)).alias("votes")).join(voters.groupBy("g").agg(F.count(F.lit(1)).alias("voters")), "g").filter("2 * votes > voters")
+        turned = most.groupBy("g").agg(F.collect_list(F.when(F.col("x.lacks"), F.col("x.t"))).alias("f_in"), F.collect_list(F.when(~F.col("x.lacks"), F.col("x.t"))).alias("f_out"))
         none = F.array().cast("array<long>")
         f_in, f_out = F.coalesce("f_in", none), F.coalesce("f_out", none)
-        minus = F.concat(F.array_except("minus", f_in), F.array_except(f_out, "plus"))
-        plus = F.concat(F.array_except("plus", f_out), F.array_except(f_in, "minus"))
-        apart = apart.join(turned, "p", "left").select("p", "v", "n", minus.alias("minus"), plus.alias("plus"))
-        apart = written(apart.select("p", "v", "minus", "plus", F.size("minus").alias("r"), ((F.size("minus") + F.size("plus")) * near - F.col("n") * far).alias("s")), "apart")
-        bounds = apart.groupBy("p").agg(F.min(F.struct("s", "v")).alias("x"), F.max(F.col("r") * (2 * near) - F.col("s")).alias("most"))
-        star = apart.join(bounds, "p").filter((F.col("x.s") + F.col("s") <= 0) & (F.col("x.v") != F.col("v"))).select(F.col("x.v").alias("a"), F.col("v").alias("b"))
-        links = written(links.union(star), "verified")
-        labels = components(links)
-        known = apart.join(bounds.select("p", "most"), "p").join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v")).withColumn("by_lack", F.col("s") <= F.col("most"))
-        lacking = F.when(F.col("by_lack"), F.transform("minus", lambda t: F.struct(t.alias("t"), F.lit(True).alias("lacks")))).otherwise(F.array().cast("array<struct<t:bigint,lacks:boolean>>"))
-        beyond = F.transform("plus", lambda t: F.struct(t.alias("t"), F.lit(False).alias("lacks")))
-        spread = known.select("p", "v", "s", "r", "comp", "by_lack", F.explode(F.concat(lacking, beyond)).alias("x"))
-        shared = spread.groupBy("p", "x").agg(F.count(F.lit(1)).alias("sets"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("sets > 1 and low <> high").select("p", "x", "sets")
-        spread = written(spread.join(shared, ["p", "x"]).select("p", "x", "v", "s", "r", "comp", "by_lack", "sets"), "spread")
+        lacking = F.concat(F.array_except("minus", f_in), F.array_except(f_out, "plus"))
+        beyond = F.concat(F.array_except("plus", f_out), F.array_except(f_in, "minus"))
+        apart = apart.join(turned, "g", "left").select("g", "v", "comp", "n", F.concat(F.array_sort(beyond), F.array_sort(lacking)).alias("d"))
+        apart = written(apart.withColumn("s", F.size("d") * near - F.col("n") * far), "apart")
+
+        # the star
+        centre = apart.groupBy("g").agg(F.min(F.struct("s", "v", "comp")).alias("x"))
+        star = apart.join(centre, "g").filter((F.col("x.s") + F.col("s") <= 0) & (F.col("x.comp") != F.col("comp"))).select(F.col("x.v").alias("a"), F.col("v").alias("b"))
+        labels = _joined(labels, written(star, "star"))
+
+        # prefixes
+        known = apart.drop("comp").join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+        lows = known.groupBy("g", "comp").agg(F.min("s").alias("s"))
+        first = lows.groupBy("g").agg(F.min(F.struct("s", "comp")).alias("m"))
+        other = lows.join(first, "g").filter(F.col("comp") != F.col("m.comp")).groupBy("g", "m").agg(F.min("s").alias("s_other"))
+        least = F.greatest(F.when(F.col("comp") == F.col("m.comp"), F.col("s_other")).otherwise(F.col("m.s")), F.col("s") - F.col("n") * (2 * far * den / num))
+        common = F.greatest(F.lit(1), F.ceil((F.col("s") + least) / (2 * near) - 1e-9)).cast("int")
+        posting = known.join(other, "g").withColumn("tail", common - 1).filter(F.col("tail") < F.size("d"))
+        spread = posting.select("g", "v", "s", "n", "comp", "tail", F.size("d").alias("size"), F.explode(F.slice("d", 1, F.size("d") - F.col("tail"))).alias("t"))
+        shared = spread.groupBy("g", "t").agg(F.count(F.lit(1)).alias("sets"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("sets > 1 and low <> high").select("g", "t", "sets")
+        spread = written(spread.join(shared, ["g", "t"]), "spread")
+
+        # pairs of small buckets, bounded by what they share, then by the whole differences
         hot = spread.filter(F.col("sets") > SMALL)
-        many = hot.groupBy("p", "v").agg(F.count_if("x.lacks").alias("hot_lack"), F.count_if(~F.col("x.lacks")).alias("hot_beyond"))
-        one, two = (spread.filter(F.col("sets") <= SMALL).select("p", "x", *[F.col(c).alias(f"{c}_{side}") for c in ("v", "s", "r", "comp", "by_lack")]) for side in "ab")
-        enough = F.col("s_a") + F.col("s_b")
-        able = ~F.col("x.lacks") | (enough <= F.least("r_a", "r_b") * (2 * near))
-        met = one.join(two, ["p", "x"]).filter((F.col("v_a") < F.col("v_b")) & (F.col("comp_a") != F.col("comp_b")) & (enough > 0) & able)
-        met = met.groupBy("p", *[f"{c}_{side}" for side in "ab" for c in ("v", "s", "r", "by_lack")]).agg(F.count_if("x.lacks").alias("lack"), F.count_if(~F.col("x.lacks")).alias("beyond"))
+        many = hot.groupBy("g", "v").agg(F.count(F.lit(1)).alias("hot"))
+        about = ("v", "s", "n", "comp", "tail", "size")
+        one, two = (spread.filter(F.col("sets") <= SMALL).select("g", "t", *[F.col(c).alias(f"{c}_{side}") for c in about]) for side in "ab")
+        apart_by = F.col("s_a") + F.col("s_b")
+        fits = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (apart_by > 0) & (apart_by <= F.least("size_a", "size_b") * (2 * near))
+        met = one.join(two, ["g", "t"]).filter((F.col("v_a") < F.col("v_b")) & (F.col("comp_a") != F.col("comp_b")) & fits)
+        met = met.groupBy("g", "v_a", "v_b", apart_by.alias("by"), F.greatest("tail_a", "tail_b").alias("tail")).agg(F.count(F.lit(1)).alias("shared"))
         for side in "ab":
-            met = met.join(many.select("p", F.col("v").alias(f"v_{side}"), F.col("hot_lack").alias(f"hot_lack_{side}"), F.col("hot_beyond").alias(f"hot_beyond_{side}")), ["p", f"v_{side}"], "left")
-        least = lambda c: F.least(F.coalesce(f"{c}_a", F.lit(0)), F.coalesce(f"{c}_b", F.lit(0)))
-        counted = F.col("by_lack_a") & F.col("by_lack_b") & (enough <= F.least("r_a", "r_b") * (2 * near))
-        common = F.col("beyond") + least("hot_beyond") + F.when(counted, F.col("lack") + least("hot_lack")).otherwise(F.least("r_a", "r_b"))
-        pairs = written(met.filter(common * (2 * near) >= enough).select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct(), "pairs")
-        if not pairs.isEmpty():
-            links = written(links.union(_verified(pairs, sets, num, den)), "verified")
-            labels = components(links)
-        members = written(hot.select(F.xxhash64("p", "x").alias("sig"), "v"), "large")
-        if members.isEmpty():
-            return links, labels
-    now = members.join(facts.select("v", "n"), "v").join(labels, "v", "left").select("sig", "v", "n", F.coalesce("comp", "v").alias("comp"))
-    one, two = (now.select("sig", F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}")) for x in "ab")
-    fits = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
-    pairs = written(one.join(two, "sig").filter(fits & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct(), "pairs")
-    links = written(links.union(_verified(pairs, sets, num, den)), "verified")
-    return links, components(links)
+            met = met.join(many.select("g", F.col("v").alias(f"v_{side}"), F.col("hot").alias(f"hot_{side}")), ["g", f"v_{side}"], "left")
+        unseen = F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))) + F.col("tail")
+        met = written(met.filter((F.col("shared") + unseen) * (2 * near) >= F.col("by")).select("g", "v_a", "v_b", "by"), "pairs")
+        if not met.isEmpty():
+            for side in "ab":
+                met = met.join(apart.select("g", F.col("v").alias(f"v_{side}"), F.col("d").alias(f"d_{side}")), ["g", f"v_{side}"])
+            sure = met.filter(F.size(F.array_intersect("d_a", "d_b")) * (2 * near) >= F.col("by"))
+            labels = _joined(labels, written(sure.select(F.col("v_a").alias("a"), F.col("v_b").alias("b")), "verified"))
+        members = written(hot.select(F.xxhash64("g", "t").alias("sig"), "v"), "large")
+        turn += 1
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -336,7 +353,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if not 2 * num > den >= num:
         raise ValueError("num/den must be over one half and at most one")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows, nodes, labels = links_and_nodes(texts, n, num, den)
+    rows, nodes, labels = nodes_and_labels(texts, n, num, den)
     named = nodes.join(labels, "v", "left").select("key", "label", F.coalesce("comp", "v").alias("comp"))
     least = named.groupBy("comp").agg(F.min("label").alias("component_id"))
     by_key = written(named.join(least, "comp").select("key", "component_id"), "by-key")

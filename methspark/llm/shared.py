@@ -29,11 +29,14 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/methspark/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and not lost with an executor."""
+def written(df: DataFrame, what: str, *by: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, and not lost with an executor.
+
+    With columns ``by`` (the last ones), it has a folder for each of their values, and filters on them read no other.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(by) or None)
     return spark.read.schema(df.schema).parquet(path)
 
 
