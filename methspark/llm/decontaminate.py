@@ -11,9 +11,10 @@ of the item's shingles that it holds is then counted on the words themselves.
 The benchmark is a stated query set: it is read in blocks of at most ``BLOCK_BYTES`` of text, each broadcast, and every document
 is searched for one block's items in one pass, with no shuffle. More blocks only mean more passes.
 
-Words are runs without ASCII white space or punctuation, A-Z lower-cased. Defined results: an item or document with
-fewer words than a shingle has one shingle, its whole sequence; without words it has none, and is in nothing and holds
-nothing. Repeated item rows are reported each under their own id; null ids of items are left out. A null text is empty.
+Words are runs without ASCII white space or punctuation, A-Z lower-cased. Defined results: an item with fewer words than a
+shingle has one shingle, its whole sequence, and is in every document that has this run of words; for each such length that occurs,
+documents are probed with their runs of that length as well. An item or document without words is in nothing and holds nothing.
+Repeated item rows are reported each under their own id; null ids of items are left out. A null text is empty.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType
 
-from .wordhash import Words, each_text, shingles
+from .wordhash import Words, each_text, rolling
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Text of items broadcast at a time.
@@ -37,30 +40,35 @@ FILTER_BITS = 20
 
 
 def _spelled(body: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> list[bytes]:
-    """The shingles of a text as words, lower-cased, in order."""
+    """The n-word runs of a text as words, lower-cased, in order."""
     raw = body.tobytes().lower()
     tokens = [raw[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
-    if len(tokens) < n:
-        return [b" ".join(tokens)] if tokens else []
     return [b" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)]
 
 
 class ItemBlock:
-    """The sketches and shingles of one block of items."""
+    """The sketches and shingles of one block of items.
 
-    def __init__(self, ids: list[int], texts: list[str], n: int = SHINGLE, threshold: float = THRESHOLD):
-        self.n, self.threshold, self.ids = n, threshold, ids
+    Hashes of shorter runs are told apart by their length, as they are probed with runs of that length only.
+    """
+
+    def __init__(self, ids: list, texts: list[str], n: int = SHINGLE, threshold: float = THRESHOLD):
+        self.threshold, self.ids = threshold, ids
         self.sets: list[frozenset[bytes]] = []
-        met: dict[int, list[int]] = {}
+        self.lengths: list[int] = []
+        met: dict[int, dict[int, list[int]]] = {}
         for k, (_, body, begin, end, value) in enumerate(each_text(pa.array(texts, type=pa.large_string()), CUT)):
-            hashes = np.unique(shingles(value, n))
-            self.sets.append(frozenset(_spelled(body, begin, end, n)))
+            length = min(n, len(value))
+            self.lengths.append(length)
+            self.sets.append(frozenset(_spelled(body, begin, end, length)) if length else frozenset())
+            hashes = np.unique(rolling(value, length)) if length else value
             for h in hashes[: self.sketch_size(len(hashes))].tolist():
-                met.setdefault(h, []).append(k)
+                met.setdefault(length, {}).setdefault(h, []).append(k)
         self.items_of = met
-        self.keys = np.array(sorted(met), dtype=np.uint64)
-        self.seen = np.zeros(1 << FILTER_BITS, dtype=bool)
-        self.seen[(self.keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+        self.keys = {length: np.array(sorted(own), dtype=np.uint64) for length, own in met.items()}
+        self.seen = {length: np.zeros(1 << FILTER_BITS, dtype=bool) for length in met}
+        for length, keys in self.keys.items():
+            self.seen[length][(keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
 
     def sketch_size(self, size: int) -> int:
         """k of the item's size partition: more than the shingles that a match of the partition's largest size may miss."""
@@ -68,32 +76,32 @@ class ItemBlock:
         return min(size, math.floor((1 - self.threshold) * largest + 1e-9) + 1)
 
     def candidates(self, value: np.ndarray) -> set[int]:
-        hashes = shingles(value, self.n)
-        hashes = hashes[self.seen[(hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]]
-        if not len(hashes):
-            return set()
-        at = np.searchsorted(self.keys, hashes)
-        at[at == len(self.keys)] = 0
-        return {k for h in np.unique(hashes[self.keys[at] == hashes]).tolist() for k in self.items_of[h]}
-
-    def matches(self, body: np.ndarray, begin: np.ndarray, end: np.ndarray, value: np.ndarray) -> list[tuple[int, float]]:
+        out: set[int] = set()
+        for length, keys in self.keys.items():
+            hashes = rolling(value, length)
+            hashes = hashes[self.seen[length][(hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]]
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            out.update(k for h in np.unique(hashes[keys[at] == hashes]).tolist() for k in self.items_of[length][h])
+        return out
+
+    def matches(self, body: np.ndarray, begin: np.ndarray, end: np.ndarray, value: np.ndarray) -> list[tuple]:
         """Item ids and shares of the items that the text contains, by id."""
         maybe = self.candidates(value)
         if not maybe:
             return []
-        held = set(_spelled(body, begin, end, self.n))
-        shares = ((self.ids[k], len(self.sets[k] & held) / len(self.sets[k])) for k in maybe)
+        held = {length: set(_spelled(body, begin, end, length)) for length in {self.lengths[k] for k in maybe}}
+        shares = ((self.ids[k], len(self.sets[k] & held[self.lengths[k]]) / len(self.sets[k])) for k in maybe)
         return sorted((i, s) for i, s in shares if s >= self.threshold)
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[int], list[str]]]:
+def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of the items, in blocks of bounded text; one block at a time is on the driver."""
     ids, texts, held = [], [], 0
-    rows = items.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).filter("i is not null")
+    rows = items.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).filter("i is not null")
     for row in rows.toLocalIterator():
         ids.append(row["i"])
         texts.append(row["t"])
-        held += len(row["t"])
+        held += len(row["t"].encode())
         if held >= BLOCK_BYTES:
             yield ids, texts
             ids, texts, held = [], [], 0
@@ -104,7 +112,8 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[
 def matches_by_document(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """``id, items, shares`` for every document: the items that it contains, by id, and the share of each."""
     spark = docs.sparkSession
-    none = F.array().cast("array<bigint>").alias("items"), F.array().cast("array<double>").alias("shares")
+    kind = items.schema[item_id].dataType
+    none = F.array().cast(ArrayType(kind)).alias("items"), F.array().cast("array<double>").alias("shares")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *none)
     for ids, texts in item_blocks(items, item_id, item_text):
         block = spark.sparkContext.broadcast((ids, texts))
@@ -117,7 +126,7 @@ def matches_by_document(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
                     for item, part in index.matches(body, begin, end, value):
                         items[row].append(item)
                         shares[row].append(part)
-                found = [pa.array(items, type=pa.list_(pa.int64())), pa.array(shares, type=pa.list_(pa.float64()))]
+                found = [pa.array(items, type=pa.list_(to_arrow_type(kind))), pa.array(shares, type=pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=["id", "text", "items", "shares"])
 
         rows = rows.mapInArrow(search, rows.schema)

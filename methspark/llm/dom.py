@@ -18,7 +18,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their content is text without tags, up to the closing tag.
 RAW = frozenset("script style textarea title xmp noframes".split())
 #: Their content is never shown as text of the page.
-HIDDEN = frozenset("script style template noscript iframe object svg math head title select datalist canvas audio video noframes".split())
+HIDDEN = frozenset("script style template iframe head title select datalist noframes".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption legend optgroup option".split()
 )

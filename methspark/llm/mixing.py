@@ -10,12 +10,16 @@ Quotients are not handed out one by one: for a divisor d, party i has floor(v_i
 bisection and the seats still open go by the next quotients, ties to the first party. That costs the same for three
 blocks and for billions.
 
+A shard's seats end at ``MAX_EPOCHS`` times its tokens; what it can't take goes to the source's other shards by the same quotients, so
+no seat is lost.
+
 What stays small: the sources (at most ``MAX_SOURCES``, checked) and, in one task a source, the token totals of its shards,
 of which each covers about ``shard_docs`` documents. A shard is a hash bucket of the documents' ids, so a hot source
 only has more shards, and windows run within a shard.
 
 Defined results: a null text has size 0 and gets 0; a null source is a source of its own, last in order; equal ids lie side
-by side in the order and are taken one after the other; an empty table gives an empty result.
+by side in the order and are taken one after the other, by size and then by a hash of the text, so reruns agree; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -55,28 +59,32 @@ def targets(sizes: list[float], weights: list[float], share: float, epochs: floa
     return out
 
 
-def sainte_lague(votes: list[float] | np.ndarray, seats: int) -> list[int]:
-    """Seats of each party by the highest quotients v / (2 s + 1); ties go to the first party."""
+def sainte_lague(votes: list[float] | np.ndarray, seats: int, most: list[int] | np.ndarray | None = None) -> list[int]:
+    """Seats of each party by the highest quotients v / (2 s + 1), none above its ``most``; ties go to the first party."""
     v = np.asarray(votes, dtype=float)
     if seats <= 0 or not len(v) or v.max() <= 0:
         return [0] * len(v)
-    low, high = 0.0, float(v.max()) * 2 + 1
-    low = float(v.sum()) / (seats + len(v)) / 2
-    for _ in range(200):  # seats(low) >= wanted > seats(high), or few short of it
+    cap = np.full(len(v), seats, dtype=np.int64) if most is None else np.minimum(np.asarray(most, dtype=np.int64), seats)
+    if cap[v > 0].sum() <= seats:
+        return [int(x) for x in np.where(v > 0, cap, 0)]
+    low, high = 0.0, float(v.max()) * 2 + 1  # more seats than wanted by low, at most so many by high
+    for _ in range(200):
         mid = (low + high) / 2
-        if np.floor(v / mid + 0.5).sum() > seats:
-            low = mid
-        else:
+        if mid > 0 and np.minimum(np.floor(v / mid + 0.5), cap).sum() <= seats:
             high = mid
-    got = np.floor(v / high + 0.5).astype(np.int64)
-    for _ in range(int(seats - got.sum())):
-        got[int(np.argmax(v / (2 * got + 1)))] += 1
+        else:
+            low = mid
+    got = np.minimum(np.floor(v / high + 0.5), cap).astype(np.int64)
+    while (left := int(seats - got.sum())) > 0:  # parties whose next quotients are equal
+        following = np.where((got < cap) & (v > 0), v / (2 * got + 1), -1.0)
+        first = np.argsort(-following, kind="stable")[:left]
+        got[first[following[first] > 0]] += 1
     return [int(x) for x in got]
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``id, source, size``: the words of every text."""
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"))
+    """``id, source, size, tie``: the words of every text, and a hash that orders rows with equal ids."""
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), F.xxhash64(F.col(text_col)).alias("tie"))
 
 
 def _order(seed: int) -> Column:
@@ -101,8 +109,8 @@ def shard_quotas(shards: DataFrame, block: int) -> DataFrame:
     def share_out(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shard")
         most = [math.ceil(MAX_EPOCHS * t / block) for t in rows["tokens"]]
-        seats = np.minimum(sainte_lague(rows["tokens"].to_numpy(), int(rows["quota"].iloc[0])), most)
-        return pd.DataFrame({"source_no": rows["source_no"], "shard": rows["shard"], "blocks": seats.astype("int64")})
+        seats = np.array(sainte_lague(rows["tokens"].to_numpy(), int(rows["quota"].iloc[0]), most), dtype="int64")
+        return pd.DataFrame({"source_no": rows["source_no"], "shard": rows["shard"], "blocks": seats})
 
     return shards.groupBy("source_no").applyInPandas(share_out, "source_no int, shard long, blocks long")
 
@@ -126,11 +134,11 @@ def mix(
         [(i, p["source"], int(p["source_size"]), float(p["target"]), int(p["quota"]), int(max(1, -(-p["docs"] // shard_docs)))) for i, p in enumerate(plan)],
         "source_no int, source string, source_size long, target double, quota long, shards long",
     )
-    met = rows.alias("r").join(F.broadcast(table).alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.id", "r.size", "t.source_no", "t.source_size", "t.target", "t.quota", "t.shards")
+    met = rows.alias("r").join(F.broadcast(table).alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.id", "r.size", "r.tie", "t.source_no", "t.source_size", "t.target", "t.quota", "t.shards")
     met = met.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), "shards"))
     totals = met.groupBy("source_no", "quota", "shard").agg(F.sum("size").alias("tokens"))
     quotas = shard_quotas(totals, block)
-    line = Window.partitionBy("source_no", "shard").orderBy(_order(seed), "id")
+    line = Window.partitionBy("source_no", "shard").orderBy(_order(seed), "id", "size", "tie")
     whole = Window.partitionBy("source_no", "shard")
     laid = met.join(quotas, ["source_no", "shard"]).withColumn("upto", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("tokens", F.sum("size").over(whole))
     want = F.least(F.col("blocks") * F.lit(block), F.lit(MAX_EPOCHS) * F.col("tokens"))

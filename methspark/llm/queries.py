@@ -60,7 +60,23 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join("items", ","))
+
+
+ORACLE_SQL["op4_decontaminate"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+') AS t FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+') AS t FROM benchmark),
+m AS (SELECT item_id, t, least(len(t), 5) AS k FROM b WHERE len(t) > 0),
+g AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(t, i, i + k - 1), ' ') AS s FROM (SELECT *, unnest(range(1, len(t) - k + 2)) AS i FROM m)),
+n AS (SELECT item_id, count(*) AS n FROM g GROUP BY item_id),
+h AS (SELECT DISTINCT doc_id, k, array_to_string(list_slice(t, i, i + k - 1), ' ') AS s
+      FROM (SELECT doc_id, t, k, unnest(range(1, len(t) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM m) WHERE len(t) >= k)),
+c AS (SELECT doc_id, item_id, count(*) AS c FROM h JOIN g ON h.k = g.k AND h.s = g.s GROUP BY ALL),
+f AS (SELECT doc_id, c.item_id, c / n AS share FROM c JOIN n ON n.item_id = c.item_id WHERE 5 * c >= 4 * n)
+SELECT d.doc_id, count(item_id) > 0 AS contaminated, count(item_id) AS n_items, coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id), '') AS items,
+       coalesce(max(share), 0.0) AS containment FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id
+"""
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """The shared folder of a cluster, and tables written there to cut lineage.
 
 Driver and executors share only the folder named in ``spark.checkpoint.dir``, so whatever one stage leaves for another
-goes there. Where the setting is absent (tests on one machine), a temporary folder is used.
+goes there. Where the setting is absent, a temporary folder is used if the session runs on one machine (as tests do), and it is an
+error on a cluster.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +18,12 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only if the setting is unset."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only if the setting is unset and all is on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="methspark-"))
     return _LOCAL[0]

@@ -42,7 +42,7 @@ def url_path(url: Column) -> Column:
 
 def canonical(host: Column, path: Column) -> Column:
     """Host without ``www.``, and path without closing slashes and ``.html``; scheme, query and fragment play no part."""
-    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"(?:\.html|/+)$", ""))
+    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"(?:\.html|/+)\z", ""))
 
 
 def _bits(key: Column) -> list[Column]:

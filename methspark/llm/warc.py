@@ -138,10 +138,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str, url_col: str, pay
 def revisit_plan(record_rows: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
     """``archive, seq, revisit, refers_to`` for every record."""
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("archive"), F.col("seq"))
-    first = record_rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min(order).alias("first"))
-    met = record_rows.join(first, "payload_digest", "left")
-    revisit = F.coalesce((F.col("first.archive") != F.col("archive")) | (F.col("first.seq") != F.col("seq")), F.lit(False)) & (F.col("payload_bytes") >= least_bytes)
-    return met.select("archive", "seq", revisit.alias("revisit"), F.when(revisit, F.col("first.id")).cast("string").alias("refers_to"))
+    able, small = record_rows.filter(F.col("payload_bytes") >= least_bytes), record_rows.filter(F.col("payload_bytes") < least_bytes)
+    met = able.join(able.groupBy("payload_digest").agg(F.min(order).alias("first")), "payload_digest")
+    revisit = (F.col("first.archive") != F.col("archive")) | (F.col("first.seq") != F.col("seq"))
+    judged = met.select("archive", "seq", revisit.alias("revisit"), F.when(revisit, F.col("first.id")).cast("string").alias("refers_to"))
+    return judged.union(small.select("archive", "seq", F.lit(False), F.lit(None).cast("string")))
 
 
 def normalise(source: str, target: str, refers: dict[int, str | None]) -> int:

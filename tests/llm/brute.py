@@ -58,13 +58,14 @@ def contained(rows, items, n, threshold):
     """id -> ids of the items that the text holds."""
     cut = re.compile(r"[^\x20\x09-\x0D!-/:-@\[-`{-~]+")
 
-    def tokens(text):
-        w = cut.findall((text or "").translate(LOWER))
-        return ({tuple(w)} if len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}) if w else set()
+    def runs(w, size):
+        return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
 
-    sets = [(i, tokens(t)) for i, t in items]
+    found = [(i, cut.findall((t or "").translate(LOWER))) for i, t in items]
+    sets = [(i, min(n, len(w)), runs(w, min(n, len(w)))) for i, w in found if w]
     out = {}
     for i, t in rows:
-        own = tokens(t)
-        out[i] = sorted(k for k, s in sets if s and len(s & own) >= threshold * len(s) - 1e-12)
+        w = cut.findall((t or "").translate(LOWER))
+        own = {size: runs(w, size) for _, size, _ in sets}
+        out[i] = sorted(k for k, size, s in sets if len(s & own[size]) >= threshold * len(s) - 1e-12)
     return out

@@ -156,11 +156,13 @@ def test_lm_score_edges(spark):
 # ---- mixing
 
 
-def by_quotients(votes, seats):
+def by_quotients(votes, seats, most=None):
     got = [0] * len(votes)
     for _ in range(seats):
-        k = max(range(len(votes)), key=lambda i: (votes[i] / (2 * got[i] + 1), -i))
-        got[k] += 1
+        able = [i for i in range(len(votes)) if votes[i] > 0 and (most is None or got[i] < most[i])]
+        if not able:
+            break
+        got[max(able, key=lambda i: (votes[i] / (2 * got[i] + 1), -i))] += 1
     return got
 
 
@@ -171,6 +173,9 @@ def test_sainte_lague_is_that_of_the_highest_quotients():
         seats = r.randint(0, 60)
         if max(votes) > 0:
             assert mixing.sainte_lague(votes, seats) == by_quotients(votes, seats), (votes, seats)
+        most = [r.randint(0, 12) for _ in votes]
+        assert mixing.sainte_lague(votes, seats, most) == by_quotients(votes, seats, most), (votes, seats, most)
+    assert sum(mixing.sainte_lague([1.0] * 200_000, 100_001)) == 100_001
     assert mixing.sainte_lague([], 5) == [] and mixing.sainte_lague([0, 0], 5) == [0, 0]
     assert mixing.sainte_lague([10, 10, 10], 4) == [2, 1, 1]
     assert sum(mixing.sainte_lague([3e9, 1e9, 2.5e9], 10**8)) == 10**8
@@ -182,6 +187,39 @@ def test_targets_share_the_excess():
     assert mixing.targets([], [], 1.5) == [] and mixing.targets([0], [1], 1.5) == [0]
 
 
+def test_taken_equals_a_plain_mix(spark):
+    """Seat by seat and word by word, with the shards and the order of the operator."""
+    r = random.Random(16)
+    rows = [(k, " ".join(["w"] * r.choice([0, 1, 5, 40, 200, 900])), "en", r.choice(["a", "a", "a", "b", "c", None])) for k in range(300)]
+    rows += [(7, "again " * 9, "en", "a"), (7, "again " * 30, "en", "a"), (7, "other " * 30, "en", "a")]
+    block, docs = 16, frame(spark, rows)
+    got = sorted(mixing.mix(docs, block=block, shard_docs=40).select("doc_id", "size", "taken").collect())
+    keyed = docs.selectExpr("doc_id", "source", "text", "xxhash64(text) AS tie", "xxhash64(20011, doc_id) AS h", "xxhash64(20012, doc_id) AS place").collect()
+    sources = sorted({x.source for x in keyed}, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(len(x.text.split()) for x in keyed if x.source == s) for s in sources}
+    targets = mixing.targets([sizes[s] for s in sources], [3, 1, 2, 3], 1.5)
+    quotas = by_quotients(targets, round(sum(targets) / block))
+    want = []
+    for s, quota in zip(sources, quotas, strict=True):
+        own = [x for x in keyed if x.source == s]
+        shards = max(1, -(-len(own) // 40))
+        lines = {}
+        for x in sorted(own, key=lambda x: (x.h, x.doc_id, len(x.text.split()), x.tie)):
+            lines.setdefault(x.place % shards, []).append((x.doc_id, len(x.text.split())))
+        names = sorted(lines)
+        totals = [sum(n for _, n in lines[k]) for k in names]
+        seats = by_quotients(totals, quota, [-(-2 * t // block) for t in totals])
+        assert sum(seats) == min(quota, sum(-(-2 * t // block) for t in totals))
+        for k, blocks, total in zip(names, seats, totals, strict=True):
+            left = min(blocks * block, 2 * total)
+            passes = left // total if total else 0
+            left -= passes * total
+            for i, n in lines[k]:
+                want.append((i, n, passes * n + min(n, left)))
+                left -= min(n, left)
+    assert [tuple(x) for x in got] == sorted(want)
+
+
 def test_mix_meets_its_targets(spark):
     r = random.Random(6)
     rows = [(k, " ".join(["w"] * r.choice([0, 1, 5, 40, 200])), "en", r.choice(["a", "a", "a", "b", "c", None])) for k in range(600)] + [(900, "w " * 5000, "en", "b"), (901, None, None, "only nulls"), (5, "w w", "en", "a")]

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from methspark.llm import exact_dedup, queries
+from methspark.llm import queries
 from tests.llm import brute
 
 
@@ -25,19 +25,20 @@ def test_stages_follow_one_another(spark, tiny):
 
 
 def test_stages_take_odd_rows(spark, tiny):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, digest string, row int, kept int"
     rows = [(1, "the and of it", "en", "a", 3), (1, "the and of it", "en", "a", 3), (2, None, None, None, None), (3, "", "en", None, 0), (None, "the and of it was in", "en", "a", 1), (4, "12 34", None, "b", 5), (7, "the and of it", "en", None, 3), (8, "der die das", "de", "b", 3)]
-    docs = spark.createDataFrame(rows, schema)
+    near = "the and of it was in a house by the sea for many years and then they left it"
+    rows += [(None, "der die das", "de", "b", 3), (20, near, "en", "a", 1), (None, near + " again", "en", "a", 1), (30, near + " now", "en", "a", 1), (30, "das ist ein anderer Text der mit keinem verwandt ist", "de", "a", 1)]
+    docs = spark.createDataFrame([(*row, "x", 1, 2) for row in rows], schema)
     empty = docs.filter("false")
     for _, stage in corpus_pipeline.STAGES:
         empty_out = stage(spark, empty, tiny)
         assert empty_out.count() == 0
         docs = stage(spark, docs, tiny)
-    assert sorted(str(r.doc_id) for r in docs.collect()) == ["7", "8", "None"]
+    assert sorted(str(r.doc_id) for r in docs.collect()) == ["20", "30", "7", "8", "None"]
 
 
 def test_every_operator_is_registered():
     names = list(queries.QUERIES)
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(names)
-    assert exact_dedup.FAN_BITS > 0

@@ -173,7 +173,7 @@ def test_decontamination_equals_brute_force(spark):
                 w[r.randrange(len(w))] = "changed"
             parts += [" ".join(w).upper() if r.random() < 0.3 else ", ".join(w), prose(r, 5, 10**6)]
         rows.append((k, " ".join(parts)))
-    rows += [(100, items[3][1]), (101, None), (102, ""), (103, "two WORDS!"), (104, "two words more"), (105, items[4][1]), (106, items[4][1])]
+    rows += [(100, items[3][1]), (101, None), (102, ""), (103, "two WORDS!"), (104, "not two words more"), (107, "two other words"), (105, items[4][1]), (106, items[4][1])]
     want = brute.contained(rows, [i for i in items if i[0] is not None], 5, 0.8)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {x.doc_id: x for x in decontaminate.contamination(frame(spark, rows), bench).collect()}
@@ -183,6 +183,16 @@ def test_decontamination_equals_brute_force(spark):
     assert kept == sorted(i for i, k in want.items() if not k)
 
 
+def test_items_of_few_words_are_found_in_long_documents(spark):
+    r = random.Random(19)
+    items = [("one", "Zebra"), ("two", "blue zebra"), ("three", "a, blue zebra"), ("four", "saw a blue zebra"), ("five", "we saw a blue zebra"), ("none", "?!")]
+    long = prose(r, 20_000).split()
+    rows = [(k, " ".join([*long[: 1000 * k], *text.split(), *long[1000 * k :]])) for k, (_, text) in enumerate(items)] + [(10, "zebra"), (11, "blue"), (12, "BLUE-zebra"), (13, " ".join(long))]
+    got = {x.doc_id: sorted(x["items"]) for x in decontaminate.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert got == brute.contained(rows, items, 5, 0.8)
+    assert got[4] == ["five", "four", "one", "three", "two"] and got[0] == got[10] == ["one"] and not got[5] and not got[11] and not got[13]
+
+
 def test_decontamination_in_blocks_and_edges(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10)
     items = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l"), (2, "a b c d e f")], "item_id long, text string")
