@@ -9,8 +9,8 @@
 5. ``mixing``: the sources' documents are taken to their target weights; the result has a row for each document left.
 
 Stages 1 to 4 return the columns of their input. Null columns, repeated rows and empty tables: a null or empty text goes in the
-first stage; a document without an id is judged like any other, and stays beside the one kept in its group; rows that
-repeat id and text stay once.
+first stage; a document without an id is judged like any other, and stays only if no other of its group has an id; rows that
+repeat id and text stay once, and of rows with the same id each is judged by its own text. Further columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,21 +27,34 @@ ORACLE_SQL = None
 LEAST_PROBABILITY = 0.3
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column has it."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.accepted(docs, language_id.fit(docs), least=LEAST_PROBABILITY)
 
 
 def _exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = exact_dedup.exact_dedup(docs, keep="largest").filter("kept or doc_id is null")
-    keys = judged.select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha")).distinct()
-    hashed = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    met = hashed.join(keys.withColumnRenamed("_sha", "_kept"), (F.col("_sha") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return met.dropDuplicates(["doc_id", "_sha"]).select(docs.columns)
+    judged = exact_dedup.exact_dedup(docs, keep="largest").filter("kept")
+    digest, kept = _free(docs, "digest"), _free(docs, "kept")
+    keys = judged.select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias(kept)).distinct().alias("k")
+    hashed = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).alias("d")
+    met = hashed.join(keys, (F.col(digest) == F.col(kept)) & F.col("d.doc_id").eqNullSafe(F.col("k.id")), "left_semi")
+    return met.dropDuplicates(["doc_id", digest]).select(docs.columns)
 
 
 def _ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = ngram_join.ngram_components(docs, n=5, num=4, den=5).filter(F.col("doc_id") != F.col("component_id"))
-    return docs.join(written(judged.select("doc_id").distinct(), "linked"), "doc_id", "left_anti").select(docs.columns)
+    row = _free(docs, "row")
+    of = F.struct(F.col("doc_id").isNull().alias("unknown"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"))
+    named = docs.select(of.alias(row), "text")
+    linked = ngram_join.ngram_components(named, id_col=row, n=5, num=4, den=5).filter(F.col(row) != F.col("component_id"))
+    gone = written(linked.select(f"{row}.*").distinct(), "linked").alias("g")
+    same = (F.coalesce("d.doc_id", F.lit(0)) == F.col("g.id")) & (F.col("d.doc_id").isNull() == F.col("g.unknown")) & (F.xxhash64("d.text") == F.col("g.text"))
+    return docs.alias("d").join(gone, same, "left_anti").select(docs.columns)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
