@@ -73,6 +73,20 @@ def windows(features: np.ndarray, sites: np.ndarray, kmer: int) -> np.ndarray:
     return padded[sites[:, None] + np.arange(kmer)[None, :]]
 
 
+def read_features(row: dict) -> np.ndarray:
+    """``base_features`` of a read row; its arrays are frames."""
+    return base_features(row["seq"], *[np.asarray(row[k], dtype=np.float32) for k in ("fi", "fp", "ri", "rp")])
+
+
+def context_sites(seq: str, context: str) -> np.ndarray:
+    """The context's sites in order; CHH sites of the other strand lie at their G."""
+    return np.sort(np.concatenate([starts + shift for name, _, shift, starts in site_masks(codes(seq)) if name == context]))
+
+
+#: Values of features that leave a pass together.
+VALUES_AT_ONCE = 1 << 21
+
+
 def kmer_features(reads: DataFrame, kmer: int = 21, context: str = "CpG") -> DataFrame:
     """``read_id, qoff, features`` (kmer x 8 floats) for the context's sites of reads with ``seq, fi, fp, ri, rp`` (frames).
 
@@ -80,17 +94,31 @@ def kmer_features(reads: DataFrame, kmer: int = 21, context: str = "CpG") -> Dat
     """
     if context not in CONTEXTS:
         raise ValueError(f"unknown context: {context}")
+    kind, width = reads.schema["read_id"].dataType.simpleString(), kmer * FEATURES_PER_BASE
+
+    def packed(batch: pa.RecordBatch, rows: list[np.ndarray], sites: list[np.ndarray], flat: list[np.ndarray]) -> pa.RecordBatch:
+        at, values = pa.array(np.concatenate(rows)), np.concatenate(flat)
+        offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * width)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(sites).astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["read_id", "qoff", "features"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                at = np.sort(np.concatenate([starts + shift for name, _, shift, starts in site_masks(codes(row["seq"])) if name == context]))
-                if not len(at):
-                    continue
-                f = base_features(row["seq"], *[np.asarray(row[k], dtype=np.float32) for k in ("fi", "fp", "ri", "rp")])
-                flat = windows(f, at, kmer).reshape(len(at), -1)
-                offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * flat.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array([row["read_id"]] * len(at), type=pa.int64()), pa.array(at.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], names=["read_id", "qoff", "features"])
+            rows, sites, flat, held = [], [], [], 0
+            for k in range(len(batch)):
+                row = batch.slice(k, 1).to_pylist()[0]
+                at = context_sites(row["seq"], context)
+                features = read_features(row) if len(at) else None
+                for low in range(0, len(at), VALUES_AT_ONCE // width + 1):
+                    part = at[low : low + VALUES_AT_ONCE // width + 1]
+                    rows.append(np.full(len(part), k))
+                    sites.append(part)
+                    flat.append(windows(features, part, kmer).reshape(-1))
+                    held += len(flat[-1])
+                    if held >= VALUES_AT_ONCE:
+                        yield packed(batch, rows, sites, flat)
+                        rows, sites, flat, held = [], [], [], 0
+            if held:
+                yield packed(batch, rows, sites, flat)
 
     ready = reads.filter(has_kinetics(F.col("seq"), *[F.col(k) for k in ("fi", "fp", "ri", "rp")]))
-    return ready.select("read_id", "seq", "fi", "fp", "ri", "rp").mapInArrow(run, "read_id long, qoff int, features array<float>")
+    return ready.select("read_id", "seq", "fi", "fp", "ri", "rp").mapInArrow(run, f"read_id {kind}, qoff int, features array<float>")

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kinetics import FEATURES_PER_BASE, has_kinetics
+from ..functions.kinetics import FEATURES_PER_BASE, context_sites, has_kinetics, read_features, windows
+from ..sources.files import open_input
 
 BATCH = 4096
 MIN_READ_LENGTH = 1000
@@ -37,6 +38,67 @@ class LinearScorer:
         return np.einsum("nf,fk->nk", features.reshape(len(features), -1), self.weights, optimize=False)
 
 
+class ConvScorer:
+    """A network of strided convolutions, each normalised and rectified, and two dense layers, in numpy.
+
+    ``parameters`` (see ``load``) holds ``norm0`` for the input's channels, ``conv1`` (filters, channels, width) and ``norm1`` and so on, then
+    ``dense1``, ``bias1``, ``dense2``, ``bias2``; a norm is four rows: mean, variance, factor and offset.
+    """
+
+    #: Filters and widths of the trained models' layers, their stride and padding, and what is added to variances (fixed values).
+    FILTERS = (128, 128, 128, 96, 96, 96, 64, 64)
+    WIDTHS = (13, 3, 3, 3, 3, 3, 3, 3)
+    STRIDE, PADDING, EPSILON, DENSE = 2, 1, 1e-5, 256
+
+    def __init__(self, context: str, kmer: int, parameters: dict[str, np.ndarray]):
+        self.context, self.kmer = context, kmer
+        self.parameters = {k: np.asarray(v, dtype=np.float32) for k, v in parameters.items()}
+        if self.parameters["dense1"].shape[1] != self.flat_size(kmer, self.parameters):
+            raise ValueError(f"the parameters don't fit windows of {kmer} bases")
+
+    @classmethod
+    def flat_size(cls, kmer: int, parameters: dict[str, np.ndarray]) -> int:
+        n = kmer
+        for k in range(1, 1 + sum(name.startswith("conv") for name in parameters)):
+            n = (n + 2 * cls.PADDING - parameters[f"conv{k}"].shape[2]) // cls.STRIDE + 1
+        return n * parameters[f"conv{k}"].shape[0]
+
+    @classmethod
+    def load(cls, context: str, kmer: int, path: str) -> ConvScorer:
+        """From a file of numpy arrays (npz), by path or URI."""
+        import io
+
+        with open_input(path) as f:
+            return cls(context, kmer, dict(np.load(io.BytesIO(f.read()), allow_pickle=False)))
+
+    @classmethod
+    def untrained(cls, context: str, kmer: int, seed: int = 1) -> ConvScorer:
+        """Random parameters of the trained models' shape, for tests and timings; its calls mean nothing."""
+        r = np.random.default_rng(seed)
+        norm = lambda n: np.stack([r.normal(0, 0.1, n), r.uniform(0.5, 1.5, n), r.uniform(0.5, 1.5, n), r.normal(0, 0.1, n)])
+        channels, out = FEATURES_PER_BASE, {"norm0": norm(FEATURES_PER_BASE)}
+        for k, (filters, width) in enumerate(zip(cls.FILTERS, cls.WIDTHS, strict=True), 1):
+            out[f"conv{k}"], out[f"norm{k}"] = r.normal(0, 1.5 / np.sqrt(channels * width), (filters, channels, width)), norm(filters)
+            channels = filters
+        size = cls.flat_size(kmer, out)
+        return cls(context, kmer, out | {"dense1": r.normal(0, 1.5 / np.sqrt(size), (cls.DENSE, size)), "bias1": r.normal(0, 0.1, cls.DENSE), "dense2": r.normal(0, 0.1, (2, cls.DENSE)), "bias2": np.zeros(2)})
+
+    def _normed(self, x: np.ndarray, k: int) -> np.ndarray:
+        mean, variance, factor, offset = self.parameters[f"norm{k}"]
+        return (x - mean) * (factor / np.sqrt(variance + np.float32(self.EPSILON))) + offset
+
+    def score(self, features: np.ndarray) -> np.ndarray:
+        x, k = self._normed(features.astype(np.float32), 0), 1  # (sites, bases, channels)
+        while (kernel := self.parameters.get(f"conv{k}")) is not None:
+            padded = np.pad(x, ((0, 0), (self.PADDING, self.PADDING), (0, 0)))
+            seen = np.lib.stride_tricks.sliding_window_view(padded, kernel.shape[2], axis=1)[:, :: self.STRIDE]
+            x = np.maximum(self._normed(np.tensordot(seen, kernel, axes=((2, 3), (1, 2))), k), 0)
+            k += 1
+        flat = x.transpose(0, 2, 1).reshape(len(x), -1)
+        hidden = np.maximum(flat @ self.parameters["dense1"].T + self.parameters["bias1"], 0)
+        return hidden @ self.parameters["dense2"].T + self.parameters["bias2"]
+
+
 class OnnxScorer:
     """A model file with one input (batch, kmer, 8), both last static; the session opens on first use in each worker."""
 
@@ -84,4 +146,33 @@ def score_sites(features: DataFrame, scorer: SiteScorer, batch: int = BATCH) ->
                 p = quantised(scorer.score(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([scorer.context] * len(part)), pa.array(p)], names=["read_id", "qoff", "context", "scaled_prob"])
 
-    return features.select("read_id", "qoff", "features").mapInArrow(run, "read_id long, qoff int, context string, scaled_prob int")
+    kind = features.schema["read_id"].dataType.simpleString()
+    return features.select("read_id", "qoff", "features").mapInArrow(run, f"read_id {kind}, qoff int, context string, scaled_prob int")
+
+
+def call_sites(reads: DataFrame, scorers: list[SiteScorer], batch: int = BATCH) -> DataFrame:
+    """``read_id, qoff, context, scaled_prob`` of the sites of every scorer's context, in one pass over ``read_id, seq, fi, fp, ri, rp``.
+
+    Features are made and scored in the same task, a batch of sites at a time, so only the calls leave it.
+    """
+    kind = reads.schema["read_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            rows, sites, names, probabilities = [], [], [], []
+            for k in range(len(whole)):
+                row = whole.slice(k, 1).to_pylist()[0]
+                features = read_features(row)
+                for scorer in scorers:
+                    at = context_sites(row["seq"], scorer.context)
+                    for low in range(0, len(at), batch):
+                        part = at[low : low + batch]
+                        probabilities.append(quantised(scorer.score(windows(features, part, scorer.kmer))))
+                    rows.append(np.full(len(at), k))
+                    sites.append(at)
+                    names += [scorer.context] * len(at)
+            join = lambda parts, to: pa.array(np.concatenate([*parts, np.zeros(0, dtype=np.int64)]).astype(to))
+            yield pa.RecordBatch.from_arrays([whole.column(0).take(join(rows, np.int64)), join(sites, np.int32), pa.array(names, type=pa.string()), join(probabilities, np.int32)], names=["read_id", "qoff", "context", "scaled_prob"])
+
+    ready = reads.filter(has_kinetics(F.col("seq"), *[F.col(k) for k in ("fi", "fp", "ri", "rp")]))
+    return ready.select("read_id", "seq", "fi", "fp", "ri", "rp").mapInArrow(run, f"read_id {kind}, qoff int, context string, scaled_prob int")

@@ -253,7 +253,7 @@ def oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("context", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-_BALANCED = f"{_EVAL}, b AS (SELECT doc_id, context, label, scaled_prob, CAST(r AS INT) AS replicate FROM (SELECT e.*, r, row_number() OVER (PARTITION BY context, label, r ORDER BY (doc_id * 2654435761 + r * 97 + 42) % 4294967296, doc_id) AS k FROM e, range(5) AS t(r)) WHERE k <= 20)"
+_BALANCED = f"{_EVAL}, b AS (SELECT doc_id, context, label, scaled_prob, CAST(r AS INT) AS replicate FROM (SELECT e.*, r, row_number() OVER (PARTITION BY context, label, r ORDER BY substr(md5('42:' || r || ':' || doc_id), 1, 8), doc_id) AS k FROM e, range(5) AS t(r)) WHERE k <= 20)"
 
 
 @query(f"WITH {_BALANCED} SELECT * FROM b")
@@ -292,14 +292,14 @@ def replicate_mean_var(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluation.across_replicates(metrics, ("accuracy", "f1"), ("context",)), "accuracy_mean", "accuracy_var", "f1_mean", "f1_var")
 
 
-@query("""WITH o AS (SELECT doc_id AS read_id, n_chars AS length, sum(n_chars) OVER (ORDER BY (doc_id * 2654435761 + 7) % 4294967296, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM documents WHERE n_chars >= 1000)
+@query("""WITH o AS (SELECT doc_id AS read_id, n_chars AS length, sum(n_chars) OVER (ORDER BY substr(md5('7:' || doc_id), 1, 8), doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM documents WHERE n_chars >= 1000)
 SELECT read_id, length, CAST(upto AS BIGINT) AS upto FROM o WHERE upto - length < 100000""")
 def subsample_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = derive.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), F.col("n_chars").alias("length")).filter("length >= 1000")
     return sampling.to_coverage(reads, 100_000, 7)
 
 
-@query("SELECT doc_id FROM documents WHERE (doc_id * 2654435761 + 3) % 4294967296 <= 0.1 * 4294967296")
+@query("SELECT doc_id FROM documents WHERE CAST('0x' || substr(md5('3:' || doc_id), 1, 8) AS BIGINT) <= 0.1 * 4294967296")
 def thinned_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.thinned(derive.table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"), 3)
 
@@ -351,46 +351,45 @@ def _kinetic_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.select("read_id", "seq", made(7, 3).alias("fi"), made(11, 5).alias("fp"), made(13, 7).alias("ri"), made(17, 11).alias("rp"))
 
 
-@query()
+_KMER = f"""WITH {_READS}, b AS (SELECT read_id, i, length(seq) AS n, substr(seq, i + 1, 1) AS b, substr(seq, i + 1, 3) AS k, substr(seq, greatest(i - 1, 1), CASE WHEN i >= 2 THEN 3 ELSE 0 END) AS back FROM (SELECT read_id, seq, unnest(range(length(seq))) AS i FROM reads)),
+w AS (SELECT *, count(*) FILTER (WHERE b = 'A') OVER v AS a, count(*) FILTER (WHERE b = 'C') OVER v AS c, count(*) FILTER (WHERE b = 'G') OVER v AS g, count(*) FILTER (WHERE b = 'T') OVER v AS t,
+             sum((i * 7 + read_id * 3) % 953) OVER v AS fi, sum((i * 11 + read_id * 5) % 953) OVER v AS fp, sum(((n - 1 - i) * 13 + read_id * 7) % 953) OVER v AS ri, sum(((n - 1 - i) * 17 + read_id * 11) % 953) OVER v AS rp
+      FROM b WINDOW v AS (PARTITION BY read_id ORDER BY i ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)),
+s AS (SELECT *, 'CpG' AS context FROM w WHERE starts_with(k, 'CG') UNION ALL SELECT *, 'CHG' FROM w WHERE k IN ('CAG', 'CCG', 'CTG') UNION ALL SELECT *, 'CHH' FROM w WHERE regexp_full_match(k, 'C[ACT][ACT]') OR regexp_full_match(back, '[AGT][AGT]G'))
+SELECT read_id, CAST(i AS INT) AS qoff, context, a, c, g, t, CAST(fi AS BIGINT) AS fi, CAST(fp AS BIGINT) AS fp, CAST(ri AS BIGINT) AS ri, CAST(rp AS BIGINT) AS rp FROM s"""
+
+
+@query(_KMER)
 def kmer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of all contexts with their windows' sums: bases by letter, and frames of both strands."""
     reads = _kinetic_reads(spark, sf_dir)
-    return reduce(DataFrame.union, [kinetics.kmer_features(reads, context=c).withColumn("context", F.lit(c)) for c in motifs.CONTEXTS])
+    found = reduce(DataFrame.union, [kinetics.kmer_features(reads, context=c).withColumn("context", F.lit(c)) for c in motifs.CONTEXTS])
+    own = lambda k: F.aggregate(F.filter("features", lambda _, i: i % kinetics.FEATURES_PER_BASE == k), F.lit(0.0), lambda a, x: a + x)
+    bases = [F.round(own(k)).cast("long").alias(name) for k, name in enumerate("acgt")]
+    frames = [F.round(own(4 + k) * kinetics.MOST_FRAMES).cast("long").alias(name) for k, name in enumerate(("fi", "fp", "ri", "rp"))]
+    return found.select("read_id", "qoff", "context", *bases, *frames)
 
 
 @query()
 def score_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = scoring.scorable(_kinetic_reads(spark, sf_dir))
-    return reduce(DataFrame.union, [scoring.score_sites(kinetics.kmer_features(reads, context=c), scoring.LinearScorer(c)) for c in motifs.CONTEXTS])
+    return scoring.call_sites(scoring.scorable(_kinetic_reads(spark, sf_dir)), [scoring.LinearScorer(c) for c in motifs.CONTEXTS])
 
 
 # ---- alignments
 
-#: Each reads 60 bases of its query (fixed values).
-CIGARS = ["60M", "5S20M2I30M3S", "30M3D30M", "10S15M10D15M9I11M"]
+#: Leading and trailing clip, and a unit that is repeated between them; a unit's insertions and deletions are equally long, so the
+#: alignment returns to the diagonal (fixed values).
+CIGARS = [(0, 0, "60M", 60), (5, 3, "20M2I30M2D", 52), (0, 0, "30M3D30M3I", 63), (10, 0, "15M10D15M9I11M1I", 51)]
 
 
 def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each read's first 60 bases, aligned by one of four CIGARs to its own first 80; every other group of four reversed."""
-    reads = derive.reads_seq(spark, sf_dir).filter("length(seq) >= 80")
-    cigar = F.element_at(F.array(*[F.lit(c) for c in CIGARS]), (F.col("read_id") % 4 + 1).cast("int"))
-    pos = F.element_at(F.array(F.lit(0), F.lit(5), F.lit(0), F.lit(10)), (F.col("read_id") % 4 + 1).cast("int"))
-    flag = F.when(F.col("read_id") % 8 >= 4, 16).otherwise(0)
-    return reads.select("read_id", F.col("read_id").alias("chrom"), flag.alias("flag"), cigar.alias("cigar"), F.col("seq").substr(1, 60).alias("seq"), pos.alias("pos"), F.col("seq").substr(1, 80).alias("subject"))
-
-
-#: For whole reads: leading and trailing clip, and a unit that is repeated between them; a unit's insertions and deletions are equally long, so
-#: the alignment returns to the diagonal (fixed values).
-WHOLE_CIGARS = [(0, 0, "60M", 60), (5, 3, "20M2I30M2D", 52), (0, 0, "30M3D30M3I", 63), (10, 0, "15M10D15M9I11M1I", 51)]
-
-
-def _whole_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every read, whole, aligned to itself by one of four CIGARs as long as the read; every other group of four reversed.
 
     What is left of a read after the last unit is matched, and a read no longer than its clips is matched whole.
     """
     reads = derive.reads_seq(spark, sf_dir).filter("length(seq) > 0")
     n, k = F.length("seq"), (F.col("read_id") % 4).cast("int")
-    of = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in WHOLE_CIGARS]), k + 1)
+    of = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in CIGARS]), k + 1)
     lead, trail, size = of(0), of(1), of(3)
     inner = n - lead - trail
     clip = lambda c: F.when(c > 0, F.concat(c.cast("string"), F.lit("S"))).otherwise("")
@@ -401,11 +400,14 @@ def _whole_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.select("read_id", F.col("read_id").alias("chrom"), flag.alias("flag"), cigar.alias("cigar"), "seq", pos.alias("pos"), F.col("seq").alias("subject"))
 
 
-_ALN = f"""{_READS}, aln AS (SELECT read_id, seq, read_id % 8 >= 4 AS rev, ['60M', '5S20M2I30M3S', '30M3D30M', '10S15M10D15M9I11M'][read_id % 4 + 1] AS cigar, [0, 5, 0, 10][read_id % 4 + 1] AS start FROM reads WHERE length(seq) >= 80),
-ops AS (SELECT read_id, rev, seq, start, k, CAST(regexp_extract_all(cigar, '(\\d+)[A-Z]', 1)[k] AS INT) AS n, regexp_extract_all(cigar, '\\d+([A-Z])', 1)[k] AS op FROM aln, range(1, 8) AS t(k) WHERE k <= len(regexp_extract_all(cigar, '\\d+[A-Z]'))),
-cons AS (SELECT *, coalesce(sum(CASE WHEN op IN ('M', 'I', 'S') THEN n ELSE 0 END) OVER w, 0) AS q0, start + coalesce(sum(CASE WHEN op IN ('M', 'D') THEN n ELSE 0 END) OVER w, 0) AS s0 FROM ops WINDOW w AS (PARTITION BY read_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-ex AS (SELECT read_id, rev, seq, k, j, op, CASE WHEN op IN ('M', 'I') THEN q0 + j ELSE q0 - 1 END AS qpos, CASE WHEN op IN ('M', 'D') THEN s0 + j ELSE s0 - 1 END AS spos FROM cons, range(0, 60) AS u(j) WHERE j < n AND op IN ('M', 'I', 'D')),
-cols AS (SELECT read_id, rev, CAST(row_number() OVER (PARTITION BY read_id ORDER BY k, j) - 1 AS INT) AS i, CASE WHEN op = 'D' THEN '-' ELSE substr(seq, CAST(qpos AS BIGINT) + 1, 1) END AS q, CASE WHEN op = 'I' THEN '-' ELSE substr(seq, CAST(spos AS BIGINT) + 1, 1) END AS s, CAST(qpos AS INT) AS qpos, CAST(spos AS INT) AS spos FROM ex),
+_ALN = f"""{_READS}, sized AS (SELECT read_id, seq, read_id % 8 >= 4 AS rev, length(seq) AS n, [0, 5, 0, 10][read_id % 4 + 1] AS lead, [0, 3, 0, 0][read_id % 4 + 1] AS trail,
+                ['60M', '20M2I30M2D', '30M3D30M3I', '15M10D15M9I11M1I'][read_id % 4 + 1] AS unit, [60, 52, 63, 51][read_id % 4 + 1] AS size FROM reads WHERE length(seq) > 0),
+aln AS (SELECT read_id, seq, rev, n AS q_size, CASE WHEN n > lead + trail THEN lead ELSE 0 END AS start, CASE WHEN n <= lead + trail THEN n || 'M' ELSE
+        CASE WHEN lead > 0 THEN lead || 'S' ELSE '' END || repeat(unit, (n - lead - trail) // size) || CASE WHEN (n - lead - trail) % size > 0 THEN (n - lead - trail) % size || 'M' ELSE '' END || CASE WHEN trail > 0 THEN trail || 'S' ELSE '' END END AS cigar FROM sized),
+ops AS (SELECT read_id, k, CAST(n AS INT) AS n, op FROM (SELECT read_id, unnest(regexp_extract_all(cigar, '(\\d+)[A-Z]', 1)) AS n, unnest(regexp_extract_all(cigar, '\\d+([A-Z])', 1)) AS op, unnest(range(1, len(regexp_extract_all(cigar, '[A-Z]')) + 1)) AS k FROM aln)),
+cons AS (SELECT o.*, coalesce(sum(CASE WHEN op IN ('M', 'I', 'S') THEN o.n ELSE 0 END) OVER w, 0) AS q0, start + coalesce(sum(CASE WHEN op IN ('M', 'D') THEN o.n ELSE 0 END) OVER w, 0) AS s0 FROM ops o JOIN aln ON aln.read_id = o.read_id WINDOW w AS (PARTITION BY o.read_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ex AS (SELECT read_id, k, j, op, CASE WHEN op IN ('M', 'I') THEN q0 + j ELSE q0 - 1 END AS qpos, CASE WHEN op IN ('M', 'D') THEN s0 + j ELSE s0 - 1 END AS spos FROM (SELECT *, unnest(range(n)) AS j FROM cons WHERE op IN ('M', 'I', 'D'))),
+cols AS (SELECT e.read_id, rev, q_size, CAST(row_number() OVER (PARTITION BY e.read_id ORDER BY k, j) - 1 AS INT) AS i, CASE WHEN op = 'D' THEN '-' ELSE substr(seq, CAST(qpos AS BIGINT) + 1, 1) END AS q, CASE WHEN op = 'I' THEN '-' ELSE substr(seq, CAST(spos AS BIGINT) + 1, 1) END AS s, CAST(qpos AS INT) AS qpos, CAST(spos AS INT) AS spos FROM ex e JOIN aln ON aln.read_id = e.read_id),
 tri AS (SELECT *, q || lead(q, 1, '') OVER w || lead(q, 2, '') OVER w AS q3, s || lead(s, 1, '') OVER w || lead(s, 2, '') OVER w AS s3 FROM cols WINDOW w AS (PARTITION BY read_id ORDER BY i))"""
 
 
@@ -426,60 +428,26 @@ def effective_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(alignment.alignment_summary(_alignments(spark, sf_dir)).select("read_id", "epi"), "epi")
 
 
-@query(f"WITH {_ALN} SELECT read_id, CAST(CASE WHEN rev THEN 59 - (qpos + 1) ELSE qpos END AS INT) AS qoff, spos AS soff FROM tri WHERE starts_with(q3, 'CG') AND starts_with(s3, 'CG')")
+@query(f"WITH {_ALN} SELECT read_id, CAST(CASE WHEN rev THEN q_size - 1 - (qpos + 1) ELSE qpos END AS INT) AS qoff, spos AS soff FROM tri WHERE starts_with(q3, 'CG') AND starts_with(s3, 'CG')")
 def mapped_cpg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.mapped_hits(_alignments(spark, sf_dir)).filter("context = 'CpG'").select("read_id", "qoff", "soff")
 
 
-@query(f"WITH {_ALN} SELECT read_id, CAST(CASE WHEN rev THEN 59 - (qpos + 2) ELSE qpos END AS INT) AS qoff, spos AS soff FROM tri WHERE q3 = s3 AND (q3 IN ('CAG', 'CTG') OR q3 = CASE WHEN rev THEN 'CGG' ELSE 'CCG' END)")
+@query(f"WITH {_ALN} SELECT read_id, CAST(CASE WHEN rev THEN q_size - 1 - (qpos + 2) ELSE qpos END AS INT) AS qoff, spos AS soff FROM tri WHERE q3 = s3 AND (q3 IN ('CAG', 'CTG') OR q3 = CASE WHEN rev THEN 'CGG' ELSE 'CCG' END)")
 def mapped_chg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.mapped_hits(_alignments(spark, sf_dir)).filter("context = 'CHG'").select("read_id", "qoff", "soff")
 
 
-@query(f"""WITH {_ALN} SELECT read_id, CAST(CASE WHEN rev THEN 59 - qpos ELSE qpos END AS INT) AS qoff, spos AS soff FROM tri WHERE q3 = s3 AND regexp_full_match(q3, 'C[ACT][ACT]')
-UNION ALL SELECT read_id, CAST(CASE WHEN rev THEN 59 - (qpos + 2) ELSE qpos + 2 END AS INT), spos + 2 FROM tri WHERE q3 = s3 AND regexp_full_match(q3, '[AGT][AGT]G')""")
+@query(f"""WITH {_ALN} SELECT read_id, CAST(CASE WHEN rev THEN q_size - 1 - qpos ELSE qpos END AS INT) AS qoff, spos AS soff FROM tri WHERE q3 = s3 AND regexp_full_match(q3, 'C[ACT][ACT]')
+UNION ALL SELECT read_id, CAST(CASE WHEN rev THEN q_size - 1 - (qpos + 2) ELSE qpos + 2 END AS INT), spos + 2 FROM tri WHERE q3 = s3 AND regexp_full_match(q3, '[AGT][AGT]G')""")
 def mapped_chh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.mapped_hits(_alignments(spark, sf_dir)).filter("context = 'CHH'").select("read_id", "qoff", "soff")
 
 
-@query()
-def cigar_columns_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.alignment_columns(_whole_alignments(spark, sf_dir))
-
-
-@query()
-def aln_identity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(alignment.alignment_summary(_whole_alignments(spark, sf_dir)).drop("epi"), "pi")
-
-
-@query()
-def effective_identity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(alignment.alignment_summary(_whole_alignments(spark, sf_dir)).select("read_id", "epi"), "epi")
-
-
-def _whole_hits(spark: SparkSession, sf_dir: str, context: str) -> DataFrame:
-    return alignment.mapped_hits(_whole_alignments(spark, sf_dir)).filter(F.col("context") == context).select("read_id", "qoff", "soff")
-
-
-@query()
-def mapped_cpg_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole_hits(spark, sf_dir, "CpG")
-
-
-@query()
-def mapped_chg_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole_hits(spark, sf_dir, "CHG")
-
-
-@query()
-def mapped_chh_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole_hits(spark, sf_dir, "CHH")
-
-
 @query()
 def reads_to_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From tagged, aligned reads to site frequencies: hits joined with the reads' calls, then the pileup."""
-    reads, calls = _whole_alignments(spark, sf_dir), _calls(spark, sf_dir)
+    reads, calls = _alignments(spark, sf_dir), _calls(spark, sf_dir)
     hits = alignment.mapped_hits(reads).join(calls.select("read_id", "qoff", "scaled_prob"), ["read_id", "qoff"])
     obs = hits.select((F.col("chrom") % 5).alias("chrom"), "soff", "context", "scaled_prob", F.lit(60).alias("mapq"), "pi", F.lit(True).alias("primary"))
     return pileup.pileup(obs, min_identity=40.0)
@@ -488,27 +456,17 @@ def reads_to_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- modification tags
 
 
-def _first(seq: Column, length: int | None) -> Column:
-    return seq if length is None else seq.substr(1, length)
-
-
-def _calls(spark: SparkSession, sf_dir: str, length: int | None = None) -> DataFrame:
-    """CHH cytosines of either strand in the reads' first bases, or in all, with a probability from place and read."""
-    reads = derive.reads_seq(spark, sf_dir).withColumn("seq", _first(F.col("seq"), length))
-    sites = motifs.motif_sites(reads, ("CHH",))
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHH cytosines of either strand, with a probability from place and read."""
+    sites = motifs.motif_sites(derive.reads_seq(spark, sf_dir), ("CHH",))
     return sites.select("read_id", "qoff", "strand", ((F.col("qoff") * 7 + F.col("read_id")) % 256).cast("int").alias("scaled_prob"))
 
 
-def _tagged(spark: SparkSession, sf_dir: str, length: int | None = None) -> DataFrame:
-    reads = derive.reads_seq(spark, sf_dir).select("read_id", _first(F.col("seq"), length).alias("seq"))
-    return mods.with_tags(reads, _calls(spark, sf_dir, length))
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mods.with_tags(derive.reads_seq(spark, sf_dir), _calls(spark, sf_dir))
 
 
-#: mm_encode and mm_decode see so many bases of a read, as their oracle does; mm_encode_whole and mm_decode_whole see all.
-MM_PREFIX = 400
-
-
-_MM = f"""r AS (SELECT read_id, substr(seq, 1, 400) AS seq FROM (SELECT doc_id AS read_id, regexp_replace(translate(text, '{derive.LETTERS}', '{derive.BASES}'), '[^ACGT]', '', 'g') AS seq FROM documents)),
+_MM = f"""r AS (SELECT doc_id AS read_id, regexp_replace(translate(text, '{derive.LETTERS}', '{derive.BASES}'), '[^ACGT]', '', 'g') AS seq FROM documents),
 k AS (SELECT read_id, i, substr(seq, i + 1, 3) AS m FROM (SELECT read_id, seq, unnest(range(length(seq) - 2)) AS i FROM r)),
 calls AS (SELECT read_id, i AS qoff, 0 AS strand FROM k WHERE regexp_full_match(m, 'C[ACT][ACT]') UNION ALL SELECT read_id, i + 2, 1 FROM k WHERE regexp_full_match(m, '[AGT][AGT]G')),
 bases AS (SELECT read_id, i, substr(seq, i + 1, 1) AS b FROM (SELECT read_id, seq, unnest(range(length(seq))) AS i FROM r)),
@@ -519,11 +477,6 @@ d AS (SELECT c.read_id, c.strand, c.qoff, (c.qoff * 7 + c.read_id) % 256 AS p, r
 @query(f"""WITH {_MM}, t AS (SELECT read_id, 'C+m' || coalesce(string_agg(',' || delta, '' ORDER BY qoff) FILTER (WHERE strand = 0), '') || ';G-m' || coalesce(string_agg(',' || delta, '' ORDER BY qoff) FILTER (WHERE strand = 1), '') || ';' AS mm, count(*) AS n_ml, CAST(sum(p) AS BIGINT) AS sum_ml FROM d GROUP BY read_id)
 SELECT r.read_id, t.mm, t.n_ml, t.sum_ml, CASE WHEN t.mm IS NOT NULL THEN CAST(length(r.seq) AS INT) END AS mn FROM r LEFT JOIN t ON t.read_id = r.read_id""")
 def mm_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summed_tags(_tagged(spark, sf_dir, MM_PREFIX))
-
-
-@query()
-def mm_encode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summed_tags(_tagged(spark, sf_dir))
 
 
@@ -534,11 +487,6 @@ def _summed_tags(tagged: DataFrame) -> DataFrame:
 
 @query(f"WITH {_MM} SELECT read_id, CAST(qoff AS INT) AS qoff, CAST(strand AS INT) AS strand, CASE WHEN strand = 0 THEN 'C' ELSE 'G' END AS unmod_base, 'm' AS code, CAST(p AS INT) AS scaled_prob FROM d")
 def mm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mods.base_mods(_tagged(spark, sf_dir, MM_PREFIX))
-
-
-@query()
-def mm_decode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mods.base_mods(_tagged(spark, sf_dir))
 
 
@@ -547,3 +495,8 @@ def call_reads_leftjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = derive.reads_seq(spark, sf_dir)
     calls = motifs.motif_sites(reads.filter(F.length("seq") >= scoring.MIN_READ_LENGTH), ("CpG",)).groupBy("read_id").agg(F.count(F.lit(1)).alias("n_calls"))
     return reads.join(calls, "read_id", "left").select("read_id", F.length("seq").alias("length"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"))
+
+
+#: Further names of queries over whole reads.
+for _name in ("cigar_columns", "aln_identity", "effective_identity", "mapped_cpg", "mapped_chg", "mapped_chh", "mm_encode", "mm_decode"):
+    QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]

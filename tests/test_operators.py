@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 
 import numpy as np
@@ -57,6 +59,42 @@ def test_features_are_those_of_a_plain_loop():
             assert np.allclose(w[k], want)
 
 
+def test_the_network_is_that_of_plain_loops():
+    net = scoring.ConvScorer.untrained("CpG", 25)
+    x = np.random.default_rng(3).normal(0, 1, (3, 25, 8))
+    p = net.parameters
+
+    def normed(rows, k):  # rows: channels by places
+        return [[(v - p[f"norm{k}"][0][c]) / math.sqrt(p[f"norm{k}"][1][c] + 1e-5) * p[f"norm{k}"][2][c] + p[f"norm{k}"][3][c] for v in row] for c, row in enumerate(rows)]
+
+    for site, got in zip(x, net.score(x), strict=True):
+        rows = normed(site.T.tolist(), 0)
+        for k in range(1, 9):
+            kernel = p[f"conv{k}"].astype(float)
+            padded = np.pad(np.array(rows), ((0, 0), (1, 1)))
+            starts = range(0, padded.shape[1] - kernel.shape[2] + 1, 2)
+            rows = [[max(0.0, v) for v in row] for row in normed([[float((f * padded[:, s : s + f.shape[1]]).sum()) for s in starts] for f in kernel], k)]
+        flat = np.array([v for row in rows for v in row])
+        hidden = np.maximum(p["dense1"] @ flat + p["bias1"], 0)
+        assert got == pytest.approx(p["dense2"] @ hidden + p["bias2"], rel=1e-3, abs=1e-4)
+
+
+def test_calls_of_one_pass_are_those_of_features_and_scores(spark, tmp_path):
+    r = random.Random(3)
+    seqs = ["".join(r.choice("ACGT") for _ in range(n)) for n in (0, 3, 40, 200)]
+    rows = [(f"r{k}", s, *([r.randrange(953) for _ in s] for _ in range(4))) for k, s in enumerate(seqs)] + [("short", "ACG", [1], [1], [1], [1])]
+    reads = spark.createDataFrame(rows, "read_id string, seq string, fi array<int>, fp array<int>, ri array<int>, rp array<int>")
+    np.savez(tmp_path / "net.npz", **scoring.ConvScorer.untrained("CHG", 15).parameters)
+    scorers = [scoring.LinearScorer("CpG"), scoring.ConvScorer.load("CHG", 15, str(tmp_path / "net.npz")), scoring.LinearScorer("CHH", 9)]
+    want = [row for s in scorers for row in scoring.score_sites(kinetics.kmer_features(reads, s.kmer, s.context), s).collect()]
+    got = scoring.call_sites(reads, scorers, batch=7).collect()
+    key = lambda x: (x.read_id, x.context, x.qoff)
+    assert [key(x) for x in sorted(got, key=key)] == [key(x) for x in sorted(want, key=key)] and {x.context for x in got} == {"CpG", "CHG", "CHH"}
+    assert all(abs(a.scaled_prob - b.scaled_prob) <= (a.context == "CHG") for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True))
+    with pytest.raises(ValueError, match="don't fit"):
+        scoring.ConvScorer("CHG", 401, scorers[1].parameters)
+
+
 def test_scores_do_not_depend_on_the_batch(spark):
     scorer = scoring.LinearScorer(kmer=3)
     features = spark.range(50).select(F.col("id").alias("read_id"), F.lit(1).alias("qoff"), F.expr("transform(sequence(1, 24), i -> cast((i * id) % 7 / 7 as float))").alias("features"))
@@ -129,16 +167,20 @@ def test_tags_round_trip(seq, data):
     places = [(i, 0 if b == "C" else 1) for i, b in enumerate(seq) if b in "CG"]
     chosen = [p for p in places if data.draw(st.booleans())]
     calls = [(q, s, data.draw(st.integers(0, 255))) for q, s in chosen]
-    mm, ml = mods.encode(seq, calls)
+    mm, ml = mods.encode(seq, *(np.array([c[k] for c in calls], dtype=np.int64) for k in range(3)))
     if not calls:
-        assert (mm, ml) == (None, [])
+        assert mm is None and not len(ml)
         return
-    assert sorted((q, s, p) for q, s, _, _, p in mods.decode(seq, mm, ml)) == sorted(calls)
+    assert sorted((q, s, p) for q, s, _, _, p in decoded(seq, mm, ml)) == sorted(calls)
+
+
+def decoded(seq, mm, ml):
+    return [(q, s, b, c, p) for places, s, b, c, ps in mods.decode(seq, mm, ml) for q, p in zip(places.tolist(), ps.tolist(), strict=True)]
 
 
 def test_tag_grammar():
-    assert mods.decode("ACGCC", "C+mh?,1,0;", [1, 2, 3, 4]) == [(3, 0, "C", "m", 1), (3, 0, "C", "h", 2), (4, 0, "C", "m", 3), (4, 0, "C", "h", 4)]
-    assert mods.decode("ACGCC", "C+27551.,2;N+n,0;", [9, 8]) == [(4, 0, "C", "m", 9), (0, 0, "N", "n", 8)]
+    assert sorted(decoded("ACGCC", "C+mh?,1,0;", [1, 2, 3, 4])) == [(3, 0, "C", "h", 2), (3, 0, "C", "m", 1), (4, 0, "C", "h", 4), (4, 0, "C", "m", 3)]
+    assert decoded("ACGCC", "C+27551.,2;N+n,0;", [9, 8]) == [(4, 0, "C", "m", 9), (0, 0, "N", "n", 8)]
     for seq, mm, ml, message in (("CC", "C+m,0", [1], "bad MM"), ("CC", "C+m,2;", [1], "beyond"), ("CC", "C+m,0;", [], "shorter"), ("CC", "C+m,0;", [1, 2], "longer"), ("CC", "A+m,0;", [1], "go with"), ("CC", "C+99,0;", [1], "ChEBI"), ("CC", "C+m,0;", [256], "0..255")):
         with pytest.raises(ValueError, match=message):
             mods.decode(seq, mm, ml)
@@ -249,10 +291,34 @@ def test_correlation_rules(spark):
     assert correlation.correlation(one, one, min_cov=11).collect()[0].n_loci == 0
 
 
+def place(*named):
+    return int(hashlib.md5(":".join(map(str, named)).encode()).hexdigest()[:8], 16)
+
+
+def test_replicates_are_samples_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "ORDER_BUCKETS", 16)
+    ids = [k * 2**52 + k for k in range(2000)] + [2**63 - 1, -1]
+    rows = spark.createDataFrame([(i, None if i % 3 == 2 else i % 3, "x", 1) for i in ids], "id long, label long, part string, rank int")
+    got = sampling.balanced(rows, ("label",), "id", 5, 20, 42)
+    assert got.columns == [*rows.columns, "replicate"]
+    chosen = {}
+    for r in got.collect():
+        chosen.setdefault((r.label, r.replicate), set()).add(r.id)
+    for label in (0, 1, None):
+        own = [i for i in ids if (None if i % 3 == 2 else i % 3) == label or (label is None and i % 3 == 2)]
+        for k in range(5):
+            assert chosen[label, k] == set(sorted(own, key=lambda i: (place(42, k, i), i))[:20])
+        assert len(set.union(*[chosen[label, k] for k in range(5)])) > 60
+    few = sampling.balanced(rows.limit(7), ("label",), "id", 2, 20, 1)
+    assert few.count() == 14
+    times = rows.withColumn("times", F.lit(3))
+    assert sampling.oversampled(times, ("label",), 1000).columns == [*times.columns, "copy"]
+
+
 def test_running_totals_have_no_global_window(spark):
     rows = spark.range(500).select(F.col("id").alias("read_id"), (F.col("id") % 17).alias("length"))
     got = sampling.to_coverage(rows, 900, 5).collect()
-    order = sorted(range(500), key=lambda i: ((i * sampling.MULTIPLIER + 5) % sampling.MODULUS, i))
+    order = sorted(range(500), key=lambda i: (place(5, i), i))
     want, total = set(), 0
     for i in order:
         if total >= 900:
