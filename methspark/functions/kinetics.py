@@ -122,3 +122,17 @@ def kmer_features(reads: DataFrame, kmer: int = 21, context: str = "CpG") -> Dat
 
     ready = reads.filter(has_kinetics(F.col("seq"), *[F.col(k) for k in ("fi", "fp", "ri", "rp")]))
     return ready.select("read_id", "seq", "fi", "fp", "ri", "rp").mapInArrow(run, f"read_id {kind}, qoff int, features array<float>")
+
+
+def window_sums(features: DataFrame, kmer: int = 21) -> DataFrame:
+    """``read_id, qoff, sums``: the windows of ``kmer_features`` summed over their bases, a value for each feature of a base."""
+    kind = features.schema["read_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            sums = flat.reshape(len(batch), kmer, FEATURES_PER_BASE).sum(axis=1, dtype=np.float64)
+            offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * FEATURES_PER_BASE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))], names=["read_id", "qoff", "sums"])
+
+    return features.select("read_id", "qoff", "features").mapInArrow(run, f"read_id {kind}, qoff int, sums array<double>")

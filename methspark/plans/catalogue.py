@@ -363,10 +363,9 @@ SELECT read_id, CAST(i AS INT) AS qoff, context, a, c, g, t, CAST(fi AS BIGINT)
 def kmer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites of all contexts with their windows' sums: bases by letter, and frames of both strands."""
     reads = _kinetic_reads(spark, sf_dir)
-    found = reduce(DataFrame.union, [kinetics.kmer_features(reads, context=c).withColumn("context", F.lit(c)) for c in motifs.CONTEXTS])
-    own = lambda k: F.aggregate(F.filter("features", lambda _, i: i % kinetics.FEATURES_PER_BASE == k), F.lit(0.0), lambda a, x: a + x)
-    bases = [F.round(own(k)).cast("long").alias(name) for k, name in enumerate("acgt")]
-    frames = [F.round(own(4 + k) * kinetics.MOST_FRAMES).cast("long").alias(name) for k, name in enumerate(("fi", "fp", "ri", "rp"))]
+    found = reduce(DataFrame.union, [kinetics.window_sums(kinetics.kmer_features(reads, context=c)).withColumn("context", F.lit(c)) for c in motifs.CONTEXTS])
+    bases = [F.round(F.col("sums")[k]).cast("long").alias(name) for k, name in enumerate("acgt")]
+    frames = [F.round(F.col("sums")[4 + k] * kinetics.MOST_FRAMES).cast("long").alias(name) for k, name in enumerate(("fi", "fp", "ri", "rp"))]
     return found.select("read_id", "qoff", "context", *bases, *frames)
 
 
