@@ -51,7 +51,7 @@ ROUNDS = 3
 #: About so many sets of a pivot decide on its reference.
 VOTERS = 64
 #: Tokens counted together before they leave a task.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 #: Bits of a token that counting looks at, besides those of its slice.
 COUNTED_BITS = 32
 

@@ -18,7 +18,7 @@ U = np.uint64
 #: Bytes hashed at a time.
 PIECE = 1 << 20
 #: Rows and bytes of text handed out together.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
