@@ -25,6 +25,8 @@ from methspark.llm.shared import written
 ORACLE_SQL = None
 #: Under this the text is as good as none: little over what one of four languages has by chance.
 LEAST_PROBABILITY = 0.3
+#: Rows that go to Python at a time.
+BATCH_ROWS = 1000
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -34,20 +36,30 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts may be long, so fewer rows than usual go to Python at a time; this bounds the memory of executors, not the result."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return language_id.accepted(docs, language_id.fit(docs), least=LEAST_PROBABILITY)
 
 
 def _exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = exact_dedup.exact_dedup(docs, keep="largest").filter("kept")
     digest, kept = _free(docs, "digest"), _free(docs, "kept")
-    keys = judged.select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias(kept)).distinct().alias("k")
+    counted = judged.groupBy(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias(kept)).agg(F.count(F.lit(1)).alias("n"))
+    keys = written(counted, "kept").alias("k")
     hashed = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).alias("d")
     met = hashed.join(keys, (F.col(digest) == F.col(kept)) & F.col("d.doc_id").eqNullSafe(F.col("k.id")), "left_semi")
+    if keys.filter("n > 1").isEmpty():  # no row repeats both, so texts needn't move again
+        return met.select(docs.columns)
     return met.dropDuplicates(["doc_id", digest]).select(docs.columns)
 
 
 def _ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     row = _free(docs, "row")
     of = F.struct(F.col("doc_id").isNull().alias("unknown"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"))
     named = docs.select(of.alias(row), "text")
@@ -58,6 +70,7 @@ def _ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
