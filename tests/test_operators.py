@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -351,3 +352,25 @@ def test_ranking_metrics(spark):
     assert got["one"].auc is None
     conf = {x.g: x for x in evaluation.confusion(rows, ("g",)).collect()}
     assert conf["one"].specificity == 0 and conf["perfect"].f1 == 1 and conf["constant"].precision == 0
+
+
+def test_placed_reads_meet_the_reference_by_chunks(spark):
+    r = random.Random(3)
+    contigs = {c: "".join(r.choices("ACGTacgt", k=n)) for c, n in (("a", 500), ("b", 64), ("c", 1))}
+    rows = []
+    for k in range(200):
+        c = r.choice("abcx")
+        n = r.randint(0, 90)
+        cigar = f"3S{n}M2I5D1X4H" if n else "7S"
+        rows.append((k, c, r.choice([0, 16, 4]), cigar, r.randint(-1, 500), "keep"))
+    reads = spark.createDataFrame(rows, "read_id long, chrom string, flag int, cigar string, pos int, offset string")
+    table = spark.createDataFrame(list(contigs.items()), "chrom string, seq string")
+    want = []
+    for k, c, flag, cigar, pos, _ in rows:
+        span = sum(int(n) for n, op in re.findall(r"(\d+)([A-Z=])", cigar) if op in "M=XDN")
+        if not flag & 4 and c in contigs and pos >= 0 and span and pos + span <= len(contigs[c]):
+            want.append((k, 0, pos, contigs[c][pos : pos + span].upper()))
+    assert len(want) > 20
+    for chunk in (16, 64, 4096):
+        got = alignment.placed(reads, table, chunk=chunk).select("read_id", "pos", "offset", "subject")
+        assert sorted(map(tuple, got.collect())) == want
