@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kinetics import FEATURES_PER_BASE, context_sites, has_kinetics, read_features, windows
+from ..functions.kinetics import FEATURES_PER_BASE, context_sites, decode_array, has_kinetics, read_features, windows
 from ..sources.files import open_input
+from . import mods
 
 BATCH = 4096
 MIN_READ_LENGTH = 1000
+_KINETICS = ("fi", "fp", "ri", "rp")
 
 
 class SiteScorer(Protocol):
@@ -176,3 +178,28 @@ def call_sites(reads: DataFrame, scorers: list[SiteScorer], batch: int = BATCH)
 
     ready = reads.filter(has_kinetics(F.col("seq"), *[F.col(k) for k in ("fi", "fp", "ri", "rp")]))
     return ready.select("read_id", "seq", "fi", "fp", "ri", "rp").mapInArrow(run, f"read_id {kind}, qoff int, context string, scaled_prob int")
+
+
+def tag_reads(reads: DataFrame, scorers: list[SiteScorer], seq_col: str = "seq", min_length: int = MIN_READ_LENGTH, batch: int = BATCH) -> DataFrame:
+    """``reads`` with ``mm, ml, mn`` of the calls of all scorers, made, scored and encoded in one pass.
+
+    Kinetics are decoded first where ``kinetics_encoded`` says so. Reads that are too short or without whole kinetics stay, without tags.
+    """
+    packed = ("kinetics_encoded",) if "kinetics_encoded" in reads.columns else ()
+
+    def call(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, dtype=np.int64)
+        if len(row["seq"]) < max(1, min_length) or any(len(row[k] or ()) != len(row["seq"]) for k in _KINETICS):
+            return none, none
+        if row.get("kinetics_encoded"):
+            row = row | {k: decode_array(np.asarray(row[k])) for k in _KINETICS}
+        features, sites, probabilities = read_features(row), [none], [none]
+        for scorer in scorers:
+            at = context_sites(row["seq"], scorer.context)
+            sites.append(at)
+            probabilities += [quantised(scorer.score(windows(features, at[low : low + batch], scorer.kmer))) for low in range(0, len(at), batch)]
+        at, p = np.concatenate(sites), np.concatenate(probabilities)
+        order = np.argsort(at, kind="stable")
+        return at[order], p[order]
+
+    return mods.tag_reads(reads, call, (*_KINETICS, *packed), seq_col)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -443,13 +444,38 @@ def mapped_chh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.mapped_hits(_alignments(spark, sf_dir)).filter("context = 'CHH'").select("read_id", "qoff", "soff")
 
 
-@query()
+@query(f"""WITH {_ALN} SELECT read_id, CAST(start AS INT) AS "offset", CAST(span AS INT) AS n_bases, md5(substr(seq, start + 1, span)) AS digest
+FROM (SELECT *, CAST(list_sum(CAST(regexp_extract_all(cigar, '(\\d+)[MD]', 1) AS BIGINT[])) AS BIGINT) AS span FROM aln)""")
+def placed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every read with the bases of its contig under it, put together from the contig's chunks; each read is its own contig."""
+    reads = _alignments(spark, sf_dir).drop("subject")
+    met = alignment.placed(reads, derive.reads_seq(spark, sf_dir).withColumnRenamed("read_id", "chrom"))
+    return met.select("read_id", "offset", F.length("subject").alias("n_bases"), F.md5("subject").alias("digest"))
+
+
+def _chh_calls(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """CHH sites of either strand, with a probability from place and read."""
+    at = kinetics.context_sites(row["seq"], "CHH")
+    return at, (at * 7 + row["read_id"]) % 256
+
+
+_MAPPED = """hits AS (SELECT read_id, 'CpG' AS context, CASE WHEN rev THEN q_size - 1 - (qpos + 1) ELSE qpos END AS qoff, spos AS soff FROM tri WHERE starts_with(q3, 'CG') AND starts_with(s3, 'CG')
+UNION ALL SELECT read_id, 'CHG', CASE WHEN rev THEN q_size - 1 - (qpos + 2) ELSE qpos END, spos FROM tri WHERE q3 = s3 AND (q3 IN ('CAG', 'CTG') OR q3 = CASE WHEN rev THEN 'CGG' ELSE 'CCG' END)
+UNION ALL SELECT read_id, 'CHH', CASE WHEN rev THEN q_size - 1 - qpos ELSE qpos END, spos FROM tri WHERE q3 = s3 AND regexp_full_match(q3, 'C[ACT][ACT]')
+UNION ALL SELECT read_id, 'CHH', CASE WHEN rev THEN q_size - 1 - (qpos + 2) ELSE qpos + 2 END, spos + 2 FROM tri WHERE q3 = s3 AND regexp_full_match(q3, '[AGT][AGT]G')),
+k3 AS (SELECT read_id, rev, n, i, substr(seq, i + 1, 3) AS m FROM (SELECT *, unnest(range(n - 2)) AS i FROM sized)),
+called AS (SELECT read_id, CASE WHEN rev THEN n - 1 - i ELSE i END AS qoff FROM (SELECT read_id, rev, n, i FROM k3 WHERE regexp_full_match(m, 'C[ACT][ACT]') UNION ALL SELECT read_id, rev, n, i + 2 FROM k3 WHERE regexp_full_match(m, '[AGT][AGT]G'))),
+ids AS (SELECT read_id, 100.0 * count(*) FILTER (WHERE q = s) / count(*) AS pi FROM cols GROUP BY read_id),
+obs AS (SELECT h.read_id % 5 AS chrom, h.soff, h.context, (h.qoff * 7 + h.read_id) % 256 AS scaled_prob, pi FROM hits h JOIN called c ON c.read_id = h.read_id AND c.qoff = h.qoff JOIN ids ON ids.read_id = h.read_id)"""
+
+
+@query(f"WITH {_ALN}, {_MAPPED}, {_threshold_sql('')}, sites AS ({_SITES.format('WHERE pi >= 40')}) {_BED}")
 def reads_to_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From tagged, aligned reads to site frequencies: hits joined with the reads' calls, then the pileup."""
-    reads, calls = _alignments(spark, sf_dir), _calls(spark, sf_dir)
-    hits = alignment.mapped_hits(reads).join(calls.select("read_id", "qoff", "scaled_prob"), ["read_id", "qoff"])
+    """From aligned reads to site frequencies: tags on the reads as sequenced, hits with the reads' calls, then the pileup."""
+    reads = _alignments(spark, sf_dir).withColumn("original", mods.sequenced(F.col("seq"), F.col("flag")))
+    hits = alignment.called_hits(mods.tag_reads(reads, _chh_calls, ("read_id",), "original"))
     obs = hits.select((F.col("chrom") % 5).alias("chrom"), "soff", "context", "scaled_prob", F.lit(60).alias("mapq"), "pi", F.lit(True).alias("primary"))
-    return pileup.pileup(obs, min_identity=40.0)
+    return _rounded(pileup.pileup(obs, min_identity=40.0), "freq")
 
 
 # ---- modification tags
@@ -486,7 +512,7 @@ def _summed_tags(tagged: DataFrame) -> DataFrame:
 
 @query(f"WITH {_MM} SELECT read_id, CAST(qoff AS INT) AS qoff, CAST(strand AS INT) AS strand, CASE WHEN strand = 0 THEN 'C' ELSE 'G' END AS unmod_base, 'm' AS code, CAST(p AS INT) AS scaled_prob FROM d")
 def mm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mods.base_mods(_tagged(spark, sf_dir))
+    return mods.base_mods(mods.tag_reads(derive.reads_seq(spark, sf_dir), _chh_calls, ("read_id",)))
 
 
 @query(f"WITH {_READS}, c AS (SELECT read_id, count(*) AS n_calls FROM (SELECT read_id, seq, unnest(range(length(seq) - 1)) AS i FROM reads WHERE length(seq) >= 1000) WHERE substr(seq, i + 1, 2) = 'CG' GROUP BY read_id) SELECT reads.read_id, CAST(length(seq) AS INT) AS length, coalesce(n_calls, 0) AS n_calls FROM reads LEFT JOIN c ON c.read_id = reads.read_id")
@@ -496,6 +522,13 @@ def call_reads_leftjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.join(calls, "read_id", "left").select("read_id", F.length("seq").alias("length"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"))
 
 
-#: Further names of queries over whole reads.
+#: Further names of queries over whole reads; tags are made within the pass over the reads.
 for _name in ("cigar_columns", "aln_identity", "effective_identity", "mapped_cpg", "mapped_chg", "mapped_chh", "mm_encode", "mm_decode"):
     QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
+
+
+def mm_encode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summed_tags(mods.tag_reads(derive.reads_seq(spark, sf_dir), _chh_calls, ("read_id",)))
+
+
+QUERIES["mm_encode_whole"] = mm_encode_whole
