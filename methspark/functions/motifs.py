@@ -65,11 +65,19 @@ def motif_names(c: np.ndarray, starts: np.ndarray, k: int, strand: int) -> list[
     return [bytes(m).decode() for m in _FORWARD[mers]]
 
 
+def chosen_contexts(names: str | tuple[str, ...]) -> tuple[str, ...]:
+    """Contexts by name in any case, of a tuple or a list with commas; an unknown name is an error."""
+    known = {c.lower(): c for c in CONTEXTS}
+    parts = [n.strip() for n in (names.split(",") if isinstance(names, str) else names)]
+    unknown = sorted(n for n in parts if n.lower() not in known)
+    if unknown:
+        raise ValueError(f"unknown contexts: {unknown}")
+    return tuple(dict.fromkeys(known[n.lower()] for n in parts))
+
+
 def motif_sites(reads: DataFrame, contexts: tuple[str, ...] = CONTEXTS, id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
     """``id, qoff, strand, context, motif`` of every site of every read; the CHH sites of the other strand lie at their G."""
-    unknown = set(contexts) - set(CONTEXTS)
-    if unknown:
-        raise ValueError(f"unknown contexts: {sorted(unknown)}")
+    contexts = chosen_contexts(contexts)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,6 +25,7 @@ def test_sites_of_a_read_with_unknown_bases(spark):
     reads = spark.createDataFrame([(1, "CGCAGCNGCTA"), (2, "TTG"), (3, None)], "read_id long, seq string")
     got = sorted((r.read_id, r.qoff, r.strand, r.context, r.motif) for r in motifs.motif_sites(reads).collect())
     assert got == [(1, 0, 0, "CpG", "CG"), (1, 2, 0, "CHG", "CAG"), (1, 8, 0, "CHH", "CTA"), (2, 2, 1, "CHH", "CAA")]
+    assert motifs.chosen_contexts("chh, CPG,chh") == ("CHH", "CpG")
     with pytest.raises(ValueError, match="unknown contexts"):
         motifs.motif_sites(reads, ("CNG",))
 
