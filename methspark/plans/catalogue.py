@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derive, kinetics, motifs
 from ..operators import alignment, correlation, coverage, evaluation, mods, pileup, sampling, scoring
+from ..sources.tables import written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -475,7 +476,7 @@ def reads_to_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = _alignments(spark, sf_dir).withColumn("original", mods.sequenced(F.col("seq"), F.col("flag")))
     hits = alignment.called_hits(mods.tag_reads(reads, _chh_calls, ("read_id",), "original"))
     obs = hits.select((F.col("chrom") % 5).alias("chrom"), "soff", "context", "scaled_prob", F.lit(60).alias("mapq"), "pi", F.lit(True).alias("primary"))
-    return _rounded(pileup.pileup(obs, min_identity=40.0), "freq")
+    return _rounded(pileup.pileup(written(obs, "observations"), min_identity=40.0), "freq")
 
 
 # ---- modification tags
