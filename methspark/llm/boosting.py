@@ -20,6 +20,7 @@ class BoostedTrees:
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         self.edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, self.bins)[1:-1])) for k in range(x.shape[1])]
         b, width = self.binned(x), self.bins + 1
+        columns = np.ascontiguousarray(b.T)
         rate = np.clip(y.mean(), 1e-6, 1 - 1e-6)
         self.base = float(np.log(rate / (1 - rate)))
         score, features = np.full(len(y), self.base), x.shape[1]
@@ -34,7 +35,7 @@ class BoostedTrees:
                 cell = (at - first) * width
                 gain = np.full((count, features, width), -np.inf)
                 for k in range(features):
-                    sums = [np.bincount(cell + b[:, k], weights=w, minlength=count * width).reshape(count, width).cumsum(axis=1) for w in (g, h)]
+                    sums = [np.bincount(cell + columns[k], weights=w, minlength=count * width).reshape(count, width).cumsum(axis=1) for w in (g, h)]
                     gl, hl, gt, ht = sums[0], sums[1], sums[0][:, -1:], sums[1][:, -1:]
                     worth = gl**2 / (hl + self.penalty) + (gt - gl) ** 2 / (ht - hl + self.penalty) - gt**2 / (ht + self.penalty)
                     gain[:, k] = np.where((hl >= self.least) & (ht - hl >= self.least), worth, -np.inf)

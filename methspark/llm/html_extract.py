@@ -29,7 +29,7 @@ from .boosting import BoostedTrees
 from .dom import BLOCK, HIDDEN, Tree, parse
 from .html_training import PageMaker
 
-TRAIN_PAGES = 900
+TRAIN_PAGES = 1200
 #: Nodes judged together.
 BATCH_NODES = 20_000
 JOINT = "\n\n"
@@ -55,7 +55,7 @@ _KINDS = [
 _KIND_OF = {word: k for k, words in enumerate(_KINDS) for word in words}
 _INHERITED = (0, 1, 2, 3, 4, 14, 18)  # tag groups looked for above a node
 _PUNCTUATION = str.maketrans("", "", ".,;:!?")
-FEATURES = len(_GROUPS) + 1 + len(_KINDS) + len(_INHERITED) + len(_KINDS) + 14
+FEATURES = len(_GROUPS) + 1 + len(_KINDS) + len(_INHERITED) + len(_KINDS) + 2 + 14
 
 
 def features(tree: Tree) -> np.ndarray:
@@ -109,6 +109,7 @@ def features(tree: Tree) -> np.ndarray:
     total[0] += own[0]
     out = np.zeros((n, FEATURES), dtype=np.float32)
     whole, log = max(1, total[0]), math.log1p
+    boxed = [float(0 in group), float(any(0 in x for x in kinds))]  # whether the page marks a main text, by a tag or a name
     g, base = len(_GROUPS) + 1, len(_GROUPS) + 1 + len(_KINDS)
     for k in range(n):
         row = out[k]
@@ -120,6 +121,7 @@ def features(tree: Tree) -> np.ndarray:
                 row[base + j] = 1
         for x in above_kinds[k]:
             row[base + len(_INHERITED) + x] = 1
+        row[-16:-14] = boxed
         up = parents[k]
         size = total[k]
         row[-14:] = (

@@ -73,7 +73,9 @@ class PageMaker:
         return self.tag("header", inner, 0, _HEAD, 0.3) if self.r.random() < 0.6 else self.tag("div", inner, 0, _HEAD, 0.95)
 
     def footer(self) -> str:
-        inner = "".join(self.r.choice([lambda: self.tag("p", "© " + self.words(2, 20), 0), lambda: "© " + self.words(1, 4) + " · " + self.prose(1, 1), lambda: self.links(most=6), lambda: self.prose(1, 2), lambda: self.link(0)])() for _ in range(self.r.randint(1, 3)))
+        inner = "".join(self.r.choice([lambda: self.tag("p", "© " + self.words(2, 20), 0), lambda: "© " + self.words(1, 4) + " · " + self.prose(1, 1), lambda: self.links(most=6), lambda: self.prose(1, 2), lambda: self.link(0), lambda: self.words(2, 6) + "."])() for _ in range(self.r.randint(1, 3)))
+        if self.r.random() < 0.1:
+            return self.tag("div", inner, 0, _NEUTRAL, 0.5)
         return self.tag("footer", inner, 0, _FOOT, 0.3) if self.r.random() < 0.7 else self.tag("div", inner, 0, _FOOT, 0.95)
 
     def side(self) -> str:
@@ -122,20 +124,42 @@ class PageMaker:
 
         parts = [part() for _ in range(self.r.choice([1, 2, 3, 4, 6, 8, 12, 20]))]
         if self.r.random() < 0.85:
-            parts.insert(0, self.tag("h1", self.words(2, 14), 1))
+            parts.insert(0, self.tag(self.r.choice(["h1", "h1", "h1", "h2"]), self.words(2, 14), 1))
         if self.r.random() < 0.3:
             for _ in range(self.r.randint(1, 2)):
                 parts.insert(self.r.randint(1, len(parts)), self.r.choice([self.ad, self.share, self.note, self.side, self.form])())
         return "".join(parts)
 
-    def page(self) -> str:
+    def table(self) -> str:
+        """A page laid out by a table: a row above, links beside the main text, a row below."""
+        row = lambda *cells: self.tag("tr", "".join(cells), 0)
+        links = "<br data-y=\"0\">".join(self.link(0) for _ in range(self.r.randint(2, 9)))
+        cells = [self.tag("td", links if self.r.random() < 0.6 else self.links(), 0), self.tag("td", self.article(), 1, _MAIN_NAMES, 0.2)]
+        rows = [row(*(cells if self.r.random() < 0.7 else cells[::-1]))]
+        if self.r.random() < 0.7:
+            rows.insert(0, row(self.tag("td", " | ".join(self.link(0) for _ in range(self.r.randint(2, 7))) if self.r.random() < 0.5 else self.words(1, 5), 0)))
+        if self.r.random() < 0.7:
+            small = self.r.choice(["© " + self.words(2, 12), self.words(2, 8) + ".", self.prose(1, 1)])
+            rows.append(row(self.tag("td", self.tag("font", small, 0) if self.r.random() < 0.5 else small, 0)))
+        return self.tag("table", "".join(rows), 0)
+
+    def main(self) -> str:
         kind = self.r.random()
-        if kind < 0.5:
-            main = self.tag("article", self.article(), 1, _MAIN_NAMES, 0.3)
-        elif kind < 0.65:
-            main = self.tag("main", self.article(), 1, _MAIN_NAMES, 0.3)
-        else:
-            main = self.tag(self.r.choice(["div", "div", "section", "td"]), self.article(), 1, _MAIN_NAMES, 0.85)
+        if kind < 0.42:
+            return self.tag("article", self.article(), 1, _MAIN_NAMES, 0.3)
+        if kind < 0.55:
+            return self.tag("main", self.article(), 1, _MAIN_NAMES, 0.3)
+        if kind < 0.8:
+            return self.tag(self.r.choice(["div", "div", "section", "td"]), self.article(), 1, _MAIN_NAMES, 0.8)
+        if kind < 0.86:  # title and text in boxes of their own
+            title = self.tag(self.r.choice(["h1", "h2"]), self.words(2, 14), 1)
+            return self.tag("div", (self.tag("div", title, 1) if self.r.random() < 0.5 else title) + self.tag("div", self.article(), 1, _MAIN_NAMES, 0.6), 1, _NEUTRAL, 0.5)
+        if kind < 0.93:  # no box at all
+            return self.article()
+        return self.table()
+
+    def page(self) -> str:
+        main = self.main()
         if self.r.random() < 0.2:
             main = self.tag("div", main, 0, _NEUTRAL)
         if self.r.random() < 0.2:

@@ -10,6 +10,7 @@ from pyarrow import fs as pafs
 from methspark.llm import html_extract, url_filter, warc
 from methspark.llm.dom import parse
 from methspark.llm.html_training import PageMaker
+from tests.llm.hand_pages import PAGES
 
 # ---- URL filter
 
@@ -152,6 +153,16 @@ def test_html_extraction_on_unseen_pages():
     assert sum(a == b for a, b in zip(got, want, strict=True)) >= 130
 
 
+def test_html_extraction_of_pages_written_by_hand():
+    got = html_extract.extract_all([page for page, _ in PAGES.values()], html_extract.trained())
+    pairs = [(text.split("\n\n") if text else [], want.split("\n\n")) for text, (_, want) in zip(got, PAGES.values(), strict=True)]
+    both = sum(block in want for blocks, want in pairs for block in blocks)
+    assert both >= 0.85 * sum(len(want) for _, want in pairs) and both >= 0.85 * sum(len(blocks) for blocks, _ in pairs)
+    assert sum(blocks == want for blocks, want in pairs) >= 4
+    for blocks, want in pairs:  # no paragraph is lost
+        assert {b for b in want if len(b) > 60} <= set(blocks)
+
+
 def test_html_extraction_of_tables_and_edges(spark):
     page = "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class=ad>Buy now and save a lot today.</div><article><h1>A &amp; B</h1><p>Some  text\n of the <b>article</b>, with a few words.</p><p>And another paragraph, a bit longer than the first.<br>End.</p></article><footer>&copy; me and my friends.</footer></body></html>"
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (1, "u", page), (None, "v", "<p>")]
