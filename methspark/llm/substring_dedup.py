@@ -19,7 +19,7 @@ words are exchanged.
 
 Defined results: a null text has no words, and ``kept_sha256`` is that of the empty string. A row without an id keeps
 everything and is no reference. Rows that repeat an id are one document to others, and don't remove each other's words.
-Equality is that of 64-bit hashes of the words of a window, of 128-bit hashes for whole texts.
+Equality is that of two 64-bit hashes over the words of a window, of 128-bit hashes for whole texts.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .bitmaps import bitmap
 from .shared import written
-from .wordhash import Words, each_text, rolling
+from .wordhash import Words, each_text, mix64, rolling
 
 WINDOW = 50
 #: Windows compared within a task before the rest is exchanged.
@@ -47,6 +47,11 @@ def _digest(value: np.ndarray) -> bytes:
     return hashlib.blake2b(value.tobytes(), digest_size=16).digest()
 
 
+def _checks(value: np.ndarray, n: int) -> np.ndarray:
+    """A second hash of every run of n words, over word hashes of its own."""
+    return rolling(mix64(~value), n)
+
+
 def _part(digest: bytes) -> int:
     """Tells apart texts that share an id."""
     return int.from_bytes(digest[:8], "little", signed=True)
@@ -97,7 +102,7 @@ def _anchor_hits(docs: DataFrame, references, blocks, window: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, references, anchors, window: int) -> DataFrame:
-    """``id, part, at, hash`` (arrays) of the windows next to an anchor; ``part`` tells apart texts that share an id.
+    """``id, part, at, hash, check`` (arrays) of the windows next to an anchor; ``part`` tells apart texts that share an id.
 
     A window that a smaller document of the same task has as well is known to be a repeat and isn't exchanged; these
     are ``gone_at, gone_n``, first windows and lengths of runs.
@@ -108,24 +113,25 @@ def _windows(docs: DataFrame, references, anchors, window: int) -> DataFrame:
         ids = pa.concat_arrays([pa.array([h[0].as_py()], type=h[0].type) for h in held])
         sizes = np.array([len(h[2]) for h in held])
         ranks = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
-        rank, hashes = np.repeat(ranks, sizes), np.concatenate([h[3] for h in held])
-        order = np.lexsort((rank, hashes))
-        first = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
+        rank, hashes, checks = np.repeat(ranks, sizes), np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
+        order = np.lexsort((rank, checks, hashes))
+        first = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (checks[order][1:] != checks[order][:-1])])
         least = rank[order][np.flatnonzero(first)][np.cumsum(first) - 1]
         gone = np.zeros(len(hashes), dtype=bool)
         gone[order] = rank[order] > least
-        ats, keeps, runs, lengths, low = [], [], [], [], 0
-        for (_, _, at, own), size in zip(held, sizes.tolist(), strict=True):
+        ats, keeps, second, runs, lengths, low = [], [], [], [], [], 0
+        for (_, _, at, own, check), size in zip(held, sizes.tolist(), strict=True):
             out = gone[low : low + size]
             low += size
             ats.append(at[~out])
             keeps.append(own[~out].view(np.int64))
+            second.append(check[~out].view(np.int64))
             lost = at[out]
             cuts = np.flatnonzero(np.concatenate([[True], lost[1:] != lost[:-1] + 1])) if len(lost) else np.zeros(0, dtype=np.int64)
             runs.append(lost[cuts])
             lengths.append(np.diff(np.append(cuts, len(lost))))
-        columns = [ids, pa.array([h[1] for h in held], type=pa.int64()), _lists(ats, np.int32), _lists(keeps, np.int64), _lists(runs, np.int32), _lists(lengths, np.int32)]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "part", "at", "hash", "gone_at", "gone_n"])
+        columns = [ids, pa.array([h[1] for h in held], type=pa.int64()), _lists(ats, np.int32), _lists(keeps, np.int64), _lists(second, np.int64), _lists(runs, np.int32), _lists(lengths, np.int32)]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "part", "at", "hash", "check", "gone_at", "gone_n"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
@@ -138,7 +144,7 @@ def _windows(docs: DataFrame, references, anchors, window: int) -> DataFrame:
                 n = len(value) - window + 1
                 at = np.flatnonzero(near[half + 1 : half + 1 + n] > near[:n])
                 if len(at):
-                    held.append((part.column(0)[row], _part(_digest(value)), at.astype(np.int32), rolling(value, window)[at]))
+                    held.append((part.column(0)[row], _part(_digest(value)), at.astype(np.int32), rolling(value, window)[at], _checks(value, window)[at]))
                     n_held += len(at)
                     if n_held >= SETTLE:
                         yield settle(held)
@@ -147,7 +153,7 @@ def _windows(docs: DataFrame, references, anchors, window: int) -> DataFrame:
             yield settle(held)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text", F.xxhash64("id")).mapInArrow(cut, f"id {kind}, part long, at array<int>, hash array<long>, gone_at array<int>, gone_n array<int>")
+    return docs.select("id", "text", F.xxhash64("id")).mapInArrow(cut, f"id {kind}, part long, at array<int>, hash array<long>, check array<long>, gone_at array<int>, gone_n array<int>")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, table: DataFrame | None = None) -> DataFrame:
@@ -162,9 +168,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, table: DataFrame | None = Non
     hits = _anchor_hits(known, references, blocks, window).select("id", F.explode("hits").alias("h"))
     anchors = written(hits.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("h"), "anchors")
     near = written(_windows(known, references, bitmap(anchors, anchors.count(), bits_per_key=48, probes=4), window), "windows")
-    each = near.select("id", "part", F.explode(F.arrays_zip("at", "hash")).alias("w")).select("id", "part", "w.at", "w.hash")
-    first = each.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("hash", "low")
-    found = each.join(first, "hash").filter(F.col("id") > F.col("low")).groupBy("id", "part").agg(F.collect_list("at").alias("found"))
+    each = near.select("id", "part", F.explode(F.arrays_zip("at", "hash", "check")).alias("w")).select("id", "part", "w.at", "w.hash", "w.check")
+    first = each.groupBy("hash", "check").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("hash", "check", "low")
+    found = each.join(first, ["hash", "check"]).filter(F.col("id") > F.col("low")).groupBy("id", "part").agg(F.collect_list("at").alias("found"))
     runs = near.groupBy("id", "part").agg(F.first("gone_at").alias("gone_at"), F.first("gone_n").alias("gone_n"))
     out = runs.join(found, ["id", "part"], "left").filter("found is not null or size(gone_at) > 0")
     return out.select("id", "part", F.coalesce("found", F.array().cast("array<int>")).alias("at"), "gone_at", "gone_n")
