@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, language_id, lm_score, mixing, ngram_join, substring_dedup, url_filter, warc
+from . import decontaminate, exact_dedup, fill_middle, html_extract, language_id, lm_score, mixing, ngram_join, substring_dedup, url_filter, warc
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -139,5 +139,23 @@ SELECT w.doc_id, len(w.t) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha
 """
 
 
-for _query in (op1_url_filter, op2_exact_dedup, op3_lm_score, op4_decontaminate, op5_warc, op6_ngram_join, op7_mix_sources, op8_html_extract, op9_language_id, op10_substring_dedup):
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_middle(_table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+ORACLE_SQL["op13_fill_middle"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256(concat('7:', doc_id)) AS h FROM documents),
+r AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS UBIGINT) AS h1, CAST('0x' || h[9:16] AS UBIGINT) AS h2, CAST('0x' || h[25:32] AS UBIGINT) AS h4 FROM t),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r),
+s AS (SELECT *, array_to_string(u[1:low], '') AS prefix, array_to_string(u[low + 1:high], '') AS middle, array_to_string(u[high + 1:n], '') AS suffix FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM s
+"""
+
+
+for _query in (op1_url_filter, op2_exact_dedup, op3_lm_score, op4_decontaminate, op5_warc, op6_ngram_join, op7_mix_sources, op8_html_extract, op9_language_id, op10_substring_dedup, op13_fill_middle):
     QUERIES[_query.__name__] = _query
