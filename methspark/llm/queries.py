@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, fill_middle, html_extract, language_id, lm_score, mixing, ngram_join, substring_dedup, url_filter, warc
+from . import decontaminate, exact_dedup, fill_middle, html_extract, language_id, lm_score, mixing, ngram_join, periodic_runs, substring_dedup, url_filter, warc
+from .shared import words
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -139,6 +140,38 @@ SELECT w.doc_id, len(w.t) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha
 """
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents repeat words from some place on, as crc32 of their id says; the others' texts stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        place = F.struct(n.alias("n"), a.alias("a"), p.alias("p"))
+        words = F.transform(F.array(place), lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x.n - 1), lambda i: F.get(w, F.when(i < x.a, i).otherwise(x.a + (i - x.a) % x.p).cast("int"))))
+        return F.when(n > 0, F.array_join(words[0], " ")).otherwise("")
+
+    return docs.select("doc_id", F.when(h % 10 == 0, F.transform(F.array(words(F.col("text"))), repeated)[0]).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_with_planted_runs(_table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("shorter"), r.start.alias("start"), r.period.alias("period"), r.length.alias("length"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start"),
+        F.col("best.length"),
+        F.col("best.period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_middle.fill_middle(_table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
     back = fill_middle.restored(F.col("output"), F.col("form"))
@@ -157,5 +190,5 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN leng
 """
 
 
-for _query in (op1_url_filter, op2_exact_dedup, op3_lm_score, op4_decontaminate, op5_warc, op6_ngram_join, op7_mix_sources, op8_html_extract, op9_language_id, op10_substring_dedup, op13_fill_middle):
+for _query in (op1_url_filter, op2_exact_dedup, op3_lm_score, op4_decontaminate, op5_warc, op6_ngram_join, op7_mix_sources, op8_html_extract, op9_language_id, op10_substring_dedup, op12_periodic_runs, op13_fill_middle):
     QUERIES[_query.__name__] = _query

@@ -1,0 +1,129 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from methspark.llm import periodic_runs, queries
+from tests.llm import brute
+
+
+def plain_runs(w, least_exponent=4, least_length=6):
+    """Every period is tried at every place; of equal stretches the smallest period counts."""
+    found = {}
+    n = len(w)
+    for q in range(1, n // least_exponent + 1):
+        i = 0
+        while i + q < n:
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            length = j + q - i
+            if length >= max(least_length, least_exponent * q):
+                found.setdefault((i, length), q)
+            i = j + 1
+    return sorted((s, length, q) for (s, length), q in found.items())
+
+
+def plain_collapsed(w, runs):
+    gone = {k for s, length, q in runs for k in range(s + q, s + length)}
+    return " ".join(x for k, x in enumerate(w) if k not in gone)
+
+
+def sequences(r):
+    yield from ([], ["a"], ["a"] * 3, ["a"] * 5, ["a"] * 6, ["a"] * 40, ["a", "b"] * 3, ["a", "b"] * 4, ["a", "b"] * 30 + ["a"], ["a", "a", "b"] * 9)
+    for _ in range(300):
+        letters = "ab" if r.random() < 0.4 else "abcd"
+        w = []
+        for _ in range(r.randint(1, 5)):
+            unit = [r.choice(letters) for _ in range(r.randint(1, 7))]
+            w += unit * r.choice([1, 1, 2, 3, 4, 5, 9]) + unit[: r.randint(0, len(unit))]
+            w += [f"x{r.randrange(30)}" for _ in range(r.choice([0, 0, 1, 5]))]
+        yield w
+    fib = ["a"], ["a", "b"]
+    for _ in range(9):
+        fib = fib[1], fib[1] + fib[0]
+    yield fib[1]
+    yield [x for _ in range(5) for x in (["a", "b"] * 4 + ["c"])]
+
+
+@pytest.mark.parametrize(("exponent", "length"), [(4, 6), (2, 2), (3, 10)])
+def test_runs_equal_brute_force(monkeypatch, exponent, length):
+    monkeypatch.setattr(periodic_runs, "AT_ONCE", 1 << 14)
+    texts = list(sequences(random.Random(12)))
+    text, start, size, period = periodic_runs.runs_of_texts([[x.encode() for x in t] for t in texts], exponent, length)
+    got = {}
+    for t, *run in zip(text.tolist(), start.tolist(), size.tolist(), period.tolist(), strict=True):
+        got.setdefault(t, []).append(tuple(run))
+    for k, t in enumerate(texts):
+        assert got.get(k, []) == plain_runs(t, exponent, length), t
+
+
+def test_the_suffix_array_is_sorted_and_prefixes_are_right():
+    r = np.random.default_rng(3)
+    for letters in (np.zeros(1, dtype=np.int64), np.zeros(50, dtype=np.int64), r.integers(0, 2, 300), r.integers(0, 40, 300), np.tile(r.integers(0, 5, 9), 30)):
+        order, rank = periodic_runs.suffix_array(letters)
+        text = letters.tolist()
+        assert order.tolist() == sorted(range(len(text)), key=lambda k: text[k:]) and (rank[order] == np.arange(len(text))).all()
+        lcp = periodic_runs.common_prefixes(letters, order).tolist()
+        for k in range(1, len(text)):
+            a, b = text[order[k - 1] :], text[order[k] :]
+            assert lcp[k] == next((x for x in range(min(len(a), len(b))) if a[x] != b[x]), min(len(a), len(b)))
+        node, low, high = periodic_runs.splits(np.array(lcp))
+        for k, left, right in zip(node.tolist(), low.tolist(), high.tolist(), strict=True):
+            assert min(lcp[k:right]) >= lcp[k] and (right == len(text) or lcp[right] < lcp[k])
+            assert all(x > lcp[k] for x in lcp[left + 1 : k]) and lcp[left] <= lcp[k]
+
+
+def test_repetitive_and_long_texts_take_little_time():
+    import time
+
+    r = random.Random(4)
+    unit = [f"u{r.randrange(10**6)}".encode() for _ in range(1000)]
+    texts = [[b"a"] * 200_000, unit * 200, [b"a", b"b", b"a"] * 50_000 + [b"c"], [f"w{r.randrange(50)}".encode() for _ in range(200_000)]]
+    began = time.perf_counter()
+    text, start, length, period = periodic_runs.runs_of_texts(texts)
+    assert time.perf_counter() - began < 60
+    runs = list(zip(text.tolist(), start.tolist(), length.tolist(), period.tolist(), strict=True))
+    assert (0, 0, 200_000, 1) in runs and (1, 0, 200_000, 1000) in runs and (2, 0, 150_000, 3) in runs
+    assert [x for x in runs if x[0] < 3] == runs[:3]
+
+
+def test_documents_and_edges(spark, monkeypatch):
+    monkeypatch.setattr(periodic_runs, "WORDS", 50)
+    r = random.Random(8)
+    rows = [(k, r.choice(["  ", "\n", " \t"]).join(t)) for k, t in enumerate(sequences(r))] + [(None, "é " * 9), (7, "b " * 8), (7, None), (8, " \n"), (9, "a\x1fb " * 7)]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, runs int, collapsed string").repartition(3)
+    got = sorted(((str(x.doc_id), x.n_words, [tuple(y) for y in x.runs], x.collapsed) for x in periodic_runs.periodic_runs(df).collect()), key=str)
+    want = [(str(i), len(w := brute.words(t)), (found := plain_runs(w)), plain_collapsed(w, found)) for i, t in rows]
+    assert got == sorted(want, key=str)
+    assert periodic_runs.periodic_runs(df.limit(0)).collect() == []
+    with pytest.raises(ValueError, match="twice"):
+        periodic_runs.periodic_runs(df, least_exponent=1)
+
+
+def test_the_query_equals_brute_force(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").collect()
+    got = {x.doc_id: x for x in queries.QUERIES["op12_periodic_runs"](spark, tiny).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        w = brute.words(d.text)
+        h, n = zlib.crc32(str(d.doc_id).encode()), len(w)
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [x if i < a else w[a + (i - a) % p] for i, x in enumerate(w)]
+        runs = plain_runs(w) if n < 3000 else None
+        x = got[d.doc_id]
+        if runs is None:  # too long for the plain version in a test; other documents decide
+            continue
+        best = min(runs, key=lambda y: (-y[1], y[0], y[2]), default=None)
+        assert (x.n_runs, x.start, x.length, x.period, x.exponent_milli) == (len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None)
+        assert x.runs_sha256 == hashlib.sha256("".join(f"{s},{m},{q}\n" for s, m, q in runs).encode()).hexdigest()
+        assert x.collapsed_sha256 == hashlib.sha256(plain_collapsed(w, runs).encode()).hexdigest()
+    assert sum(x.n_runs > 0 for x in got.values()) > 5
