@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, fill_middle, html_extract, language_id, lm_score, mixing, ngram_join, periodic_runs, substring_dedup, url_filter, warc
+from . import decontaminate, disclosure, exact_dedup, fill_middle, html_extract, language_id, lm_score, mixing, ngram_join, periodic_runs, substring_dedup, url_filter, warc
 from .shared import words
 
 QUERIES: dict = {}
@@ -140,6 +140,50 @@ SELECT w.doc_id, len(w.t) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha
 """
 
 
+def op11_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.disclosures(_table(spark, sf_dir, "documents"))
+    counts = [F.size(kind).cast("long").alias(f"n_{kind}") for kind in disclosure.KINDS]
+    return found.select("doc_id", *counts, F.sha2(disclosure.listed(*disclosure.KINDS), 256).alias("base_sha256"), disclosure.listed(*disclosure.KINDS, "generalise", "remove").alias("spans"))
+
+
+ORACLE_SQL["op11_disclosure"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+k(kind, o, pat) AS (VALUES ('email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), ('ip', 2, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+                           ('card', 3, '[0-9](?:[\x20-]?[0-9])+'), ('phone', 4, '\+[0-9][\x20().0-9-]+[0-9]')),
+m AS (SELECT r, kind, o, regexp_extract_all(text, pat) AS f, regexp_split_to_array(text, pat) AS g FROM d, k),
+u AS (SELECT r, kind, o, unnest(range(1, len(f) + 1)) AS i, f, g FROM m WHERE len(f) > 0),
+a AS (SELECT r, kind, o, i, f[i] AS v, g[i] AS before, g[i + 1] AS after, sum(length(f[i]) + length(g[i])) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM u),
+c AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS dg FROM a),
+b AS (SELECT r, kind, o, CAST(e - length(v) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, before, after,
+             CASE kind WHEN 'email' THEN translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') WHEN 'ip' THEN v ELSE dg END AS value FROM c
+      WHERE CASE kind WHEN 'ip' THEN regexp_matches(v, '^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$')
+                      WHEN 'phone' THEN length(dg) BETWEEN 9 AND 15
+                      WHEN 'card' THEN length(dg) BETWEEN 13 AND 19 AND list_sum([CASE WHEN x % 2 = 1 THEN CAST('0246813579'[CAST(dg[length(dg) - x] AS INT) + 1] AS INT) ELSE CAST(dg[length(dg) - x] AS INT) END
+                                                                                  for x in range(0, length(dg))]) % 10 = 0
+                      ELSE true END),
+w0 AS (SELECT r, kind, value, unnest([array_to_string(list_slice(regexp_split_to_array(before, '[\x20\x09-\x0D]+'), -9, -1), ' '), array_to_string(list_slice(regexp_split_to_array(after, '[\x20\x09-\x0D]+'), 1, 9), ' ')]) AS t,
+              unnest([1, 2]) AS side, row_number() OVER () AS w FROM b),
+w1 AS (SELECT r, kind, value, w, side, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', ' ', 'g'), '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)', ' ', 'g'),
+                                     '[0-9](?:[\x20-]?[0-9])+', ' ', 'g'), '\+[0-9][\x20().0-9-]+[0-9]', ' ', 'g') AS t FROM w0),
+w2 AS (SELECT r, kind, value, w, max(t) FILTER (WHERE side = 1) || chr(1) || max(t) FILTER (WHERE side = 2) AS win FROM w1 GROUP BY ALL),
+p0 AS (SELECT r, kind, value, win, unnest(regexp_extract_all(win, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM w2),
+p AS (SELECT kind, value, term, count(DISTINCT r) AS n_pair FROM p0 WHERE length(term) >= 3 AND regexp_matches(term, '[^0-9]') GROUP BY ALL HAVING count(DISTINCT win) >= 3),
+ne AS (SELECT kind, value, count(DISTINCT r) AS n_entity FROM b GROUP BY ALL),
+t0 AS (SELECT r, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS f, regexp_split_to_array(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS g FROM d),
+t1 AS (SELECT r, unnest(range(1, len(f) + 1)) AS i, f, g FROM t0 WHERE len(f) > 0),
+t AS (SELECT r, f[i] AS term, sum(length(f[i]) + length(g[i])) OVER (PARTITION BY r ORDER BY i) AS e FROM t1),
+nt AS (SELECT term, count(DISTINCT r) AS n_term FROM t WHERE term IN (SELECT term FROM p) GROUP BY term),
+sh AS (SELECT term, max(CASE WHEN n > n_entity THEN round(ln(CAST(n AS DOUBLE) * n_pair / (n_entity * CAST(n_term AS DOUBLE))) / ln(CAST(n AS DOUBLE) / n_entity), 9) ELSE 0 END) AS disclosure
+       FROM p JOIN ne USING (kind, value) JOIN nt USING (term), (SELECT count(*) AS n FROM d) GROUP BY term),
+x AS (SELECT r, CASE WHEN disclosure >= 0.95 THEN 'remove' ELSE 'generalise' END AS kind, CASE WHEN disclosure >= 0.95 THEN 6 ELSE 5 END AS o, CAST(e - length(term) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM t JOIN sh USING (term) WHERE disclosure >= 0.9),
+l AS (SELECT r, kind, o, s, e FROM b UNION ALL SELECT r, kind, o, s, e FROM x WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = x.r AND b.s < x.e AND b.e > x.s)),
+z AS (SELECT r, count(*) FILTER (WHERE o = 1) AS n_email, count(*) FILTER (WHERE o = 2) AS n_ip, count(*) FILTER (WHERE o = 3) AS n_card, count(*) FILTER (WHERE o = 4) AS n_phone,
+             string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY o, s) FILTER (WHERE o < 5) AS base, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY o, s) AS spans FROM l GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN z USING (r)
+"""
+
+
 def _with_planted_runs(docs: DataFrame) -> DataFrame:
     """A tenth of the documents repeat words from some place on, as crc32 of their id says; the others' texts stay as they are."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -190,5 +234,5 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN leng
 """
 
 
-for _query in (op1_url_filter, op2_exact_dedup, op3_lm_score, op4_decontaminate, op5_warc, op6_ngram_join, op7_mix_sources, op8_html_extract, op9_language_id, op10_substring_dedup, op12_periodic_runs, op13_fill_middle):
+for _query in (op1_url_filter, op2_exact_dedup, op3_lm_score, op4_decontaminate, op5_warc, op6_ngram_join, op7_mix_sources, op8_html_extract, op9_language_id, op10_substring_dedup, op11_disclosure, op12_periodic_runs, op13_fill_middle):
     QUERIES[_query.__name__] = _query
