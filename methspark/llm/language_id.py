@@ -4,8 +4,8 @@ Features are the runs of one to three characters of the lower-cased text, hashed
 isn't a letter counts as a space, and runs of spaces as one. A feature's weight is (1 + log count) * idf, and a text's vector
 has length 1. The idf comes from document counts over all training documents, summed by partition. The classifier is
 trained on one machine by follow-the-regularised-leader (FTRL-Proximal) with an elastic-net penalty, whose L1 part leaves most
-weights at 0, on at most ``TRAIN_PER_LANGUAGE`` documents a language with the smallest seeded hashes of their ids; then one
-temperature is fitted on as many more that the regression has not seen. Prediction covers every document and whole text.
+weights at 0, on at most ``TRAIN_PER_LANGUAGE`` different texts a language with the smallest seeded hashes of their ids (a text that several rows
+have counts once, with the smallest id); then one temperature is fitted on as many more that the regression has not seen. Prediction covers every document and whole text.
 
 Defined results: ``und`` and score 0 if the text is null or has no letter, or if nothing could be learned; otherwise a label
 seen in training and its calibrated probability, ties to the first label by code point. Rows without a label or id teach
@@ -28,6 +28,8 @@ DIM_BITS = 15
 DIM = 1 << DIM_BITS
 #: Labelled documents a language for the regression, and as many for the temperature.
 TRAIN_PER_LANGUAGE = 400
+#: More labels than this are an error: the driver holds a weight for each feature and label, and the sample of each.
+MOST_LABELS = 200
 #: Characters hashed at a time.
 PIECE = 1 << 20
 #: FTRL-Proximal: learning rate, its offset, L1 and L2 penalties, passes over the sample.
@@ -183,11 +185,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter("id is not null and text is not null and label is not null")
     df, n = document_frequencies(rows)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
-    order = F.xxhash64(F.lit(seed), "id")
-    # the ids of the sample are chosen before any text moves; each language's share is bounded
-    chosen = _first_by_label(rows.select("id", "label", order.alias("o")), 2 * per_language)
-    picked = rows.join(F.broadcast(chosen), ["id", "label"]).select("id", "label", "text", "rank").collect()
-    picked.sort(key=lambda r: (r["label"].encode(), r["rank"], r["id"]))
+    labels = rows.select("label").distinct().limit(MOST_LABELS + 1).count()
+    if labels > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    # the sample is chosen by hashes before any text moves, and holds a text of a language once; so it is bounded, whatever repeats
+    known = rows.withColumn("h", F.xxhash64("text"))
+    texts = known.groupBy("label", "h").agg(F.min("id").alias("id"))
+    chosen = _first_by_label(texts.withColumn("o", F.xxhash64(F.lit(seed), "id")), 2 * per_language)
+    found = known.join(F.broadcast(chosen), ["label", "h", "id"]).groupBy("label", "h", "rank").agg(F.min("text").alias("text"))
+    picked = found.collect()
+    picked.sort(key=lambda r: (r["label"].encode(), r["rank"]))
     return train([(r["label"], r["text"]) for r in picked if r["rank"] % 2], [(r["label"], r["text"]) for r in picked if not r["rank"] % 2], idf, seed)
 
 
@@ -195,16 +202,16 @@ def _first_by_label(rows: DataFrame, n: int) -> DataFrame:
     """The n rows of each label with the smallest ``o``, ranked from 1; partitions keep n of each before any exchange."""
     from pyspark.sql.window import Window
 
-    spread = rows.withColumn("salt", F.pmod("o", F.lit(64)))
+    spread = rows.withColumn("salt", F.pmod("h", F.lit(64)))
     for keys in (["label", "salt"], ["label"]):
-        spread = spread.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("o", "id"))).filter(F.col("rank") <= n)
-    return spread.select("id", "label", "rank")
+        spread = spread.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("o", "id", "h"))).filter(F.col("rank") <= n)
+    return spread.select("id", "label", "h", "rank")
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id, lang_pred, score`` of every row, and the columns in ``keep``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), *keep)
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("".join(c.lower() for c in (id_col, *keep)) + "_"), *keep)  # a name that none of them has
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

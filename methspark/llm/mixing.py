@@ -14,11 +14,11 @@ A shard's seats end at ``MAX_EPOCHS`` times its tokens; what it can't take goes
 no seat is lost.
 
 What stays small: the sources (at most ``MAX_SOURCES``, checked) and, in one task a source, the token totals of its shards,
-of which each covers about ``shard_docs`` documents. A shard is a hash bucket of the documents' ids, so a hot source
-only has more shards, and windows run within a shard.
+of which each covers about ``shard_docs`` documents, and more if there were over ``MAX_SHARDS`` of them. A shard is a hash bucket of the documents' ids and texts, so a hot source
+only has more shards, repeated or null ids are spread,, and windows run within a shard.
 
-Defined results: a null text has size 0 and gets 0; a null source is a source of its own, last in order; equal ids lie side
-by side in the order and are taken one after the other, by size and then by a hash of the text, so reruns agree; an empty table gives an
+Defined results: a null text has size 0 and gets 0; a null source is a source of its own, last in order; rows that
+repeat an id are spread by a hash of their texts, and within a shard taken by size and then by that hash, so reruns agree; an empty table gives an
 empty result.
 """
 
@@ -36,6 +36,8 @@ from .shared import words, written
 
 MAX_EPOCHS = 2
 MAX_SOURCES = 1_000_000
+#: Shards of a source at most; one task shares its blocks out to them. A larger source has larger shards.
+MAX_SHARDS = 200_000
 #: Weights in order of the sources, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -55,7 +57,8 @@ def targets(sizes: list[float], weights: list[float], share: float, epochs: floa
         for i in full:
             out[i] = float(epochs * sizes[i])
             budget -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        left = set(full)
+        open_ = [i for i in open_ if i not in left]
     return out
 
 
@@ -131,11 +134,11 @@ def mix(
     rows = written(sized(docs, id_col, text_col, source_col), "sized")
     plan = source_plan(rows, block, weights, share)
     table = spark.createDataFrame(
-        [(i, p["source"], int(p["source_size"]), float(p["target"]), int(p["quota"]), int(max(1, -(-p["docs"] // shard_docs)))) for i, p in enumerate(plan)],
+        [(i, p["source"], int(p["source_size"]), float(p["target"]), int(p["quota"]), int(min(MAX_SHARDS, max(1, -(-p["docs"] // shard_docs))))) for i, p in enumerate(plan)],
         "source_no int, source string, source_size long, target double, quota long, shards long",
     )
     met = rows.alias("r").join(F.broadcast(table).alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.id", "r.size", "r.tie", "t.source_no", "t.source_size", "t.target", "t.quota", "t.shards")
-    met = met.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), "shards"))
+    met = met.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "tie"), "shards"))
     totals = met.groupBy("source_no", "quota", "shard").agg(F.sum("size").alias("tokens"))
     quotas = shard_quotas(totals, block)
     line = Window.partitionBy("source_no", "shard").orderBy(_order(seed), "id", "size", "tie")

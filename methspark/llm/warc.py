@@ -8,7 +8,7 @@ Archives are real files in the cluster's shared folder, reached from executors t
 anew at each attempt, and only the rows of the attempt that succeeded name the files that count, so a lost executor does no
 harm. An archive is closed at ``ROLL_BYTES`` or ``ROLL_RECORDS``, so one task normalises a bounded archive.
 
-Defined results: a null payload is empty; a null URL leaves out the target header, control characters in one are
+Defined results: a null payload is empty; ids are percent-encoded, and come back as they were, a null and an empty one too; a null URL leaves out the target header, control characters in one are
 percent-encoded. Of records with equal payloads of at least ``REVISIT_BYTES`` bytes the one with the smallest id is the
 response (ties: the first written; null ids last) and the others revisit it. Empty tables give no archives and no rows.
 """
@@ -21,6 +21,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -46,20 +47,25 @@ def _header(lines: list[tuple[str, str]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{named}\r\n".encode() + block + b"\r\n\r\n"
 
 
+def _urn(page_id: str | None) -> str:
+    """The record id of a page, percent-encoded; a page without an id is ``urn:no-page``, one whose id is empty has nothing after the colon."""
+    return "<urn:no-page>" if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
+
+
 def response_record(page_id: str | None, url: str | None, payload: bytes) -> bytes:
     """A response record with an HTTP head and the payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    lines = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Date", DATE)]
+    lines = [("WARC-Type", "response"), ("WARC-Record-ID", _urn(page_id)), ("WARC-Date", DATE)]
     if url is not None:
         lines.append(("WARC-Target-URI", _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url)))
-    lines += [("WARC-Payload-Digest", f"sha256:{hashlib.sha256(payload).hexdigest()}"), ("WARC-Payload-Length", str(len(payload))), ("Content-Type", "application/http;msgtype=response")]
+    lines += [("WARC-Payload-Digest", f"sha256:{hashlib.sha256(payload).hexdigest()}"), ("X-Payload-Length", str(len(payload))), ("Content-Type", "application/http;msgtype=response")]
     return _header(lines, head + payload)
 
 
 def revisit_record(response: dict[str, str], block: bytes, refers_to: str | None) -> bytes:
     """The same record without its payload, referring to the record that has it."""
     lines = [("WARC-Type", "revisit"), *[(k, v) for k, v in response.items() if k not in ("WARC-Type", "Content-Length")]]
-    lines += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{'' if refers_to is None else refers_to}>")]
+    lines += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _urn(refers_to))]
     return _header(lines, block[: block.index(b"\r\n\r\n") + 4])
 
 
@@ -212,12 +218,12 @@ _READ = pa.schema([("id", pa.string()), ("payload_bytes", pa.int64()), ("payload
 
 
 def _named(urn: str | None) -> str | None:
-    return (urn or "")[len("<urn:page:") : -1] or None
+    return unquote(urn[len("<urn:page:") : -1]) if urn and urn.startswith("<urn:page:") else None
 
 
 def _row(header: dict[str, str], block: bytes, archive: str, entry: dict) -> dict:
     """What a record says; a response's size and digest are those of the payload just read."""
-    kind, digest, size = header["WARC-Type"], header["WARC-Payload-Digest"].removeprefix("sha256:"), int(header["WARC-Payload-Length"])
+    kind, digest, size = header["WARC-Type"], header["WARC-Payload-Digest"].removeprefix("sha256:"), int(header["X-Payload-Length"])
     if kind == "response":
         payload = block[block.index(b"\r\n\r\n") + 4 :]
         if (size, digest) != (len(payload), hashlib.sha256(payload).hexdigest()):

@@ -39,6 +39,30 @@ def test_language_id_edges(spark):
     assert kept.columns == frame(spark, []).columns and kept.count() == 3
 
 
+def test_repeated_rows_neither_fill_the_sample_nor_multiply(spark, monkeypatch):
+    seen = {}
+
+    def train(rows, held, idf, seed):
+        seen.update(rows=rows, held=held)
+        return language_id.Model([], None, None, None, 1.0)
+
+    monkeypatch.setattr(language_id, "train", train)
+    rows = [(1, "same text", "en")] * 1000 + [(k, "copied text", "en") for k in range(500)] + [(1, f"text {k}", "de") for k in range(1000)] + [(2, "same text", "de")]
+    language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), per_language=100)
+    texts = seen["rows"] + seen["held"]
+    assert len(texts) == len(set(texts)) == 202 and {("en", "same text"), ("en", "copied text")} < set(texts) and abs(len(seen["rows"]) - len(seen["held"])) <= 2
+    monkeypatch.setattr(language_id, "MOST_LABELS", 1)
+    with pytest.raises(ValueError, match="labels"):
+        language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def test_identify_keeps_columns_of_any_name(spark):
+    model = language_id.train([("en", "the cat sat"), ("de", "der hund lag")], [], np.ones(language_id.DIM))
+    df = spark.createDataFrame([(1, "the cat", "a", "b")], "doc_id long, text string, _text string, doc_id_text_ string")
+    got = language_id.identify(df, model, keep=("_text", "doc_id_text_", "text")).first()
+    assert (got["_text"], got["doc_id_text_"], got["text"]) == ("a", "b", "the cat")
+
+
 def test_held_out_follows_crc32(spark):
     import zlib
 
@@ -181,6 +205,22 @@ def test_sainte_lague_is_that_of_the_highest_quotients():
     assert sum(mixing.sainte_lague([3e9, 1e9, 2.5e9], 10**8)) == 10**8
 
 
+def test_targets_of_very_many_sources_take_little_time():
+    import time
+
+    r = np.random.default_rng(1)
+    sizes = (r.pareto(0.7, 60_000) * 100).tolist()
+    began = time.perf_counter()
+    got = mixing.targets(sizes, [(3.0, 1.0, 2.0)[k % 3] for k in range(len(sizes))], 1.5)
+    assert time.perf_counter() - began < 5 and abs(sum(got) - 1.5 * sum(sizes)) < 1e-6 * sum(sizes)
+
+
+def test_rows_of_one_id_are_spread_over_shards(spark):
+    df = spark.range(2000).selectExpr("if(id % 2 = 0, null, 7L) AS doc_id", "concat('word ', id) AS text", "'s' AS source")
+    got = mixing.mix(df, shard_docs=100).groupBy("shard").count().collect()
+    assert len(got) == 20 and max(x["count"] for x in got) < 200
+
+
 def test_targets_share_the_excess():
     assert mixing.targets([100, 100, 100], [3, 1, 2], 1.5) == pytest.approx([200, 250 / 3, 500 / 3])
     assert mixing.targets([1000, 0, 10], [3, 1, 2], 1.5) == pytest.approx([1495, 0, 20])
@@ -194,7 +234,7 @@ def test_taken_equals_a_plain_mix(spark):
     rows += [(7, "again " * 9, "en", "a"), (7, "again " * 30, "en", "a"), (7, "other " * 30, "en", "a")]
     block, docs = 16, frame(spark, rows)
     got = sorted(mixing.mix(docs, block=block, shard_docs=40).select("doc_id", "size", "taken").collect())
-    keyed = docs.selectExpr("doc_id", "source", "text", "xxhash64(text) AS tie", "xxhash64(20011, doc_id) AS h", "xxhash64(20012, doc_id) AS place").collect()
+    keyed = docs.selectExpr("doc_id", "source", "text", "xxhash64(text) AS tie", "xxhash64(20011, doc_id) AS h", "xxhash64(20012, doc_id, xxhash64(text)) AS place").collect()
     sources = sorted({x.source for x in keyed}, key=lambda s: (s is None, s or ""))
     sizes = {s: sum(len(x.text.split()) for x in keyed if x.source == s) for s in sources}
     targets = mixing.targets([sizes[s] for s in sources], [3, 1, 2, 3], 1.5)

@@ -118,6 +118,30 @@ def test_warc_edges(spark):
 # ---- HTML extraction
 
 
+def test_warc_ids_come_back_as_written(spark):
+    ids = ["", None, " ", "a b", "x\r\nWARC-Type: no", "100%", "<urn:page:>", "é/𝄞", "%41"]
+    body = "<p>" + "long enough " * 12
+    df = spark.createDataFrame([(i, "http://a.b/", body if k % 2 else f"{body}{k}") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    got = warc.archived(df).collect()
+    assert sorted(map(str, (x.page_id for x in got))) == sorted(map(str, ids)) and sum(x.page_id is None for x in got) == 1
+    assert {x.refers_to for x in got if x.record_type == "revisit"} == {"a b" if min("a b", "100%", "é/𝄞") == "a b" else "100%"}
+
+
+def test_html_parsing_takes_linear_time():
+    import time
+
+    n = 100_000
+    for page in ("<div>" * n + "text", "<i>" * n + "</b>" * n, "<p><table>" + "<i>" * n + "<ul></ul>" * n, "<p>" + "<a " * n, "<a" * n + ">", '<a ">" ' * (n // 10), "<li><ul>" * n, "<!--" * n, "x<!--" * n + ">"):
+        began = time.perf_counter()
+        tree = parse(page)
+        assert time.perf_counter() - began < 4, page[:20]
+        assert len(tree.tags) == len(tree.parents)
+    tree = parse("<p>a<!-- <b>x</b> never closed")
+    assert [t for _, t in tree.items] == ["a"]
+    tree = parse("<p>a<b>b</i>c</p>d<li>e<li>f<i>g</div>h</li>i <!-- x")
+    assert [(tree.tags[k], t) for k, t in tree.items] == [("p", "a"), ("b", "b"), ("b", "c"), ("#root", "d"), ("li", "e"), ("li", "f"), ("i", "g"), ("i", "h"), ("#root", "i ")]
+
+
 def test_html_tree_takes_broken_pages():
     tree = parse("<p><b>one<br><p>two <i>x</p> three<li>a<li>b<script>if (a < b) '<p>'</script><!-- <p> -->z &lt;&amp;&eacute; 1 < 2 <div class='Main-Content sideBar' id=x")
     assert tree.tags[1:] == ["p", "b", "br", "p", "i", "li", "li", "script"]
