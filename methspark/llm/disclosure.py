@@ -12,7 +12,7 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers, leftmost
    wherever it occurs in any document, as it tells as much there.
 
 Counts are pre-aggregated before they are exchanged, so an entity or a term of any frequency leaves one row a task; texts are scanned
-again in each pass rather than moved. The terms looked for are broadcast up to ``BROADCAST_BYTES``, measured before; beyond that words are exchanged.
+again in each pass rather than moved. The disclosing terms are broadcast up to ``BROADCAST_BYTES``, measured before; beyond that words are exchanged.
 Places of matches are running sums over the lengths of gaps and matches, made by doubling, so a text with very many of them takes little longer.
 The patterns start only where a match may start and never go back, which keeps long runs of one class of characters linear; they match the same.
 
@@ -175,8 +175,7 @@ def _words(docs: DataFrame, *columns) -> DataFrame:
 def disclosing_terms(docs: DataFrame, table: DataFrame, least_windows: int = LEAST_WINDOWS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """``term, disclosure, remove``: terms that disclose at least ``generalise_at`` of some entity's information."""
     pairs = written(evidence(table, least_windows), "evidence")
-    looked_for = pairs.select("term").distinct()
-    n_term = _words(docs).join(_side(looked_for, F.col("term")), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    n_term = _words(docs).filter(F.char_length("term") >= LEAST_CHARS).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     n = F.lit(float(table.count()))
     gained, own = F.log(n * F.col("n_pair") / (F.col("n_entity") * F.col("n_term").cast("double"))), F.log(n / F.col("n_entity"))
     share = F.when(own > 0, F.round(gained / own, 9)).otherwise(0.0)
