@@ -207,18 +207,18 @@ _FOLDED = """SELECT chrom, start, start + 1 AS "end", round(100.0 * sum(pcov) /
 
 @query(f"WITH {_COVERAGE}, s AS (SELECT chrom, CASE WHEN starts_with(fwd, 'CG') THEN soff ELSE soff - 1 END AS start, 'CG' AS motif, pcov, ncov FROM k WHERE starts_with(fwd, 'CG') OR substr(five, 2, 2) = 'CG') {_FOLDED}")
 def cov2bed_cpg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(coverage.truth_sites(_coverage_rows(spark, sf_dir), derive.contigs(spark, sf_dir), "CpG"), "freq")
+    return _rounded(coverage.truth_sites(_coverage_rows(spark, sf_dir), derive.contigs(spark, sf_dir), "CpG", strict=False), "freq")
 
 
 @query(f"""WITH {_COVERAGE}, s AS (SELECT chrom, soff AS start, fwd AS motif, pcov, ncov FROM k WHERE fwd IN ('CCG', 'CAG', 'CTG') UNION ALL SELECT chrom, soff - 2, substr(five, 1, 3), pcov, ncov FROM k WHERE substr(five, 1, 3) IN ('CAG', 'CTG')
 UNION ALL SELECT chrom, soff, 'CCG', pcov, ncov FROM k WHERE substr(five, 1, 3) = 'CGG') {_FOLDED}""")
 def cov2bed_chg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(coverage.truth_sites(_coverage_rows(spark, sf_dir), derive.contigs(spark, sf_dir), "CHG"), "freq")
+    return _rounded(coverage.truth_sites(_coverage_rows(spark, sf_dir), derive.contigs(spark, sf_dir), "CHG", strict=False), "freq")
 
 
 @query(f"WITH {_COVERAGE}, s AS (SELECT chrom, soff AS start, CASE WHEN regexp_full_match(fwd, 'C[ACT][ACT]') THEN fwd ELSE back END AS motif, pcov, ncov FROM k WHERE regexp_full_match(fwd, 'C[ACT][ACT]') OR regexp_full_match(back, 'C[ACT][ACT]')) {_FOLDED}")
 def cov2bed_chh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(coverage.truth_sites(_coverage_rows(spark, sf_dir), derive.contigs(spark, sf_dir), "CHH"), "freq")
+    return _rounded(coverage.truth_sites(_coverage_rows(spark, sf_dir), derive.contigs(spark, sf_dir), "CHH", strict=False), "freq")
 
 
 # ---- labels and evaluation
