@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .motifs import CONTEXTS, codes, site_masks
+from .motifs import chosen_contexts, codes, site_masks
 
 #: Largest frame count that the codec can hold (fixed value).
 MOST_FRAMES = 952
@@ -78,6 +78,14 @@ def read_features(row: dict) -> np.ndarray:
     return base_features(row["seq"], *[np.asarray(row[k], dtype=np.float32) for k in ("fi", "fp", "ri", "rp")])
 
 
+def reads_of(batch: pa.RecordBatch) -> Iterator[tuple[int, str, list[np.ndarray]]]:
+    """Number, bases and the four arrays of each read of ``read_id, seq, fi, fp, ri, rp``; the arrays are slices of the batch's own values."""
+    lists = [batch.column(k) for k in range(2, 6)]
+    spans = [(x.offsets.to_numpy(), x.values.to_numpy(zero_copy_only=False)) for x in lists]
+    for k, seq in enumerate(batch.column(1)):
+        yield k, seq.as_py(), [values[offsets[k] : offsets[k + 1]] for offsets, values in spans]
+
+
 def context_sites(seq: str, context: str) -> np.ndarray:
     """The context's sites in order; CHH sites of the other strand lie at their G."""
     return np.sort(np.concatenate([starts + shift for name, _, shift, starts in site_masks(codes(seq)) if name == context]))
@@ -92,8 +100,7 @@ def kmer_features(reads: DataFrame, kmer: int = 21, context: str = "CpG") -> Dat
 
     CHH sites of the other strand lie at their G, with the window as the read runs.
     """
-    if context not in CONTEXTS:
-        raise ValueError(f"unknown context: {context}")
+    (context,) = chosen_contexts((context,))
     kind, width = reads.schema["read_id"].dataType.simpleString(), kmer * FEATURES_PER_BASE
 
     def packed(batch: pa.RecordBatch, rows: list[np.ndarray], sites: list[np.ndarray], flat: list[np.ndarray]) -> pa.RecordBatch:
@@ -104,10 +111,9 @@ def kmer_features(reads: DataFrame, kmer: int = 21, context: str = "CpG") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, sites, flat, held = [], [], [], 0
-            for k in range(len(batch)):
-                row = batch.slice(k, 1).to_pylist()[0]
-                at = context_sites(row["seq"], context)
-                features = read_features(row) if len(at) else None
+            for k, seq, arrays in reads_of(batch):
+                at = context_sites(seq, context)
+                features = base_features(seq, *arrays) if len(at) else None
                 for low in range(0, len(at), VALUES_AT_ONCE // width + 1):
                     part = at[low : low + VALUES_AT_ONCE // width + 1]
                     rows.append(np.full(len(part), k))

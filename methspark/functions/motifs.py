@@ -40,6 +40,36 @@ def codes(seq: str | bytes) -> np.ndarray:
     return _CODE[np.frombuffer(seq.encode() if isinstance(seq, str) else seq, dtype=np.uint8)]
 
 
+#: Bases that each letter may be, as bits A 1, C 2, G 4, T 8 (fixed values of the IUPAC code); U is T.
+MASKS = {"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "R": 5, "Y": 10, "S": 6, "W": 9, "K": 12, "M": 3, "B": 14, "D": 13, "H": 11, "V": 7, "N": 15}
+_MASK = np.zeros(256, dtype=np.uint8)
+for _letter, _bits in MASKS.items():
+    _MASK[ord(_letter)] = _MASK[ord(_letter.lower())] = _bits
+
+
+def base_masks(seq: str | bytes) -> np.ndarray:
+    """The bits of each letter, in any case; 0 for a letter that is no base code, such as a gap."""
+    return _MASK[np.frombuffer(seq.encode() if isinstance(seq, str) else seq, dtype=np.uint8)]
+
+
+def turned_masks(masks: np.ndarray) -> np.ndarray:
+    """Masks of the reverse complement: A and T, C and G change places."""
+    m = masks[::-1]
+    return ((m & 1) << 3) | ((m & 2) << 1) | ((m & 4) >> 1) | ((m & 8) >> 3)
+
+
+def pattern_starts(masks: np.ndarray, pattern: str, possible: bool = False) -> np.ndarray:
+    """Where a pattern of base codes stands: each letter of the sequence is certainly of its code (all its bases are among the code's), or, if
+    ``possible``, may be (they share one)."""
+    wanted = base_masks(pattern)
+    n = max(0, len(masks) - len(wanted) + 1)
+    fits = np.ones(n, dtype=bool)
+    for k, code in enumerate(wanted):
+        own = masks[k : k + n]
+        fits &= (own & code) != 0 if possible else (own != 0) & ((own & ~code) == 0)
+    return np.flatnonzero(fits)
+
+
 def site_masks(c: np.ndarray) -> list[tuple[str, int, int, np.ndarray]]:
     """Context, strand, offset of the site from the motif's start, and the motifs' starts."""
     two, three = max(0, len(c) - 1), max(0, len(c) - 2)
@@ -109,6 +139,89 @@ def motif_sites(reads: DataFrame, contexts: tuple[str, ...] = CONTEXTS, id_col:
     return reads.select(id_col, seq_col).mapInArrow(scan, f"`{id_col}` {kind}, qoff int, strand int, context string, motif string")
 
 
+def motif_summary(reads: DataFrame, contexts: tuple[str, ...] = CONTEXTS, id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
+    """``id, context, strand, motif, n, offsets, last``: number, sum of offsets and last offset of the sites of every read, by motif.
+
+    Counted within the pass by the motifs' numbers, so neither sites nor their names leave it.
+    """
+    contexts = chosen_contexts(contexts)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(low, 1024) for whole in batches for low in range(0, len(whole), 1024)):
+            found: list[tuple] = []
+            for k, seq in enumerate(batch.column(1)):
+                c = codes(seq.as_py() or "")
+                for context, strand, shift, starts in site_masks(c):
+                    if context not in contexts or not len(starts):
+                        continue
+                    size = 2 if context == "CpG" else 3
+                    number = sum(c[starts + j].astype(np.int64) * 4 ** (size - 1 - j) for j in range(size))
+                    n = np.bincount(number, minlength=4**size)
+                    total = np.bincount(number, weights=starts + shift, minlength=4**size)
+                    last = np.zeros(4**size, dtype=np.int64)
+                    last[number] = starts + shift  # the starts rise, so the last one stays
+                    found += [(k, context, strand, _mer(int(m), size, strand), int(n[m]), int(total[m]), int(last[m])) for m in np.flatnonzero(n)]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32())
+            columns = [pa.array([f[j] for f in found], type=t) for j, t in enumerate(kinds, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([f[0] for f in found], type=pa.int64())), *columns], names=[id_col, "context", "strand", "motif", "n", "offsets", "last"])
+
+    kind = reads.schema[id_col].dataType.simpleString()
+    return reads.select(id_col, seq_col).mapInArrow(scan, f"`{id_col}` {kind}, context string, strand int, motif string, n long, offsets long, last int")
+
+
+def _mer(number: int, size: int, strand: int) -> str:
+    """The k-mer of a number, in the orientation of the cytosine."""
+    letters = [number >> 2 * (size - 1 - j) & 3 for j in range(size)]
+    return "".join("ACGT"[3 - x if strand else x] for x in (letters[::-1] if strand else letters))
+
+
+def triplet_counts(reads: DataFrame, seq_col: str = "seq") -> DataFrame:
+    """``motif, n``: every triplet of known bases of all reads, 64 counts a batch leaving the pass."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(64, dtype=np.int64)
+        for batch in batches:
+            for seq in batch.column(0):
+                c = codes(seq.as_py() or "").astype(np.int64)
+                if len(c) > 2:
+                    x, y, z = c[:-2], c[1:-1], c[2:]
+                    known = (x < OTHER) & (y < OTHER) & (z < OTHER)
+                    total += np.bincount((16 * x + 4 * y + z)[known], minlength=64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([_mer(int(m), 3, 0) for m in at], type=pa.string()), pa.array(total[at])], names=["motif", "n"])
+
+    return reads.select(seq_col).mapInArrow(scan, "motif string, n long").groupBy("motif").agg(F.sum("n").alias("n"))
+
+
+def pattern_sites(reads: DataFrame, patterns: tuple[str, ...], possible: bool = False, id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
+    """``id, qoff, strand, pattern`` of every place of the patterns (base codes such as CHG or RCGY) on the read (0) and on its reverse complement (1).
+
+    ``qoff`` is the leftmost base on the read. A palindrome stands on both strands. Letters of the read may be codes themselves, see ``pattern_starts``.
+    """
+    for p in patterns:
+        if not p or not base_masks(p).all():
+            raise ValueError(f"not a pattern of base codes: {p!r}")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(low, 64) for whole in batches for low in range(0, len(whole), 64)):
+            rows, offsets, kinds = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for k, seq in enumerate(batch.column(1)):
+                masks = base_masks(seq.as_py() or "")
+                for strand, own in enumerate((masks, turned_masks(masks))):
+                    for j, p in enumerate(patterns):
+                        starts = pattern_starts(own, p, possible)
+                        rows.append(np.full(len(starts), k))
+                        offsets.append(len(masks) - len(p) - starts[::-1] if strand else starts)
+                        kinds.append(np.full(len(starts), 2 * j + strand))
+            kind = np.concatenate(kinds)
+            names = pa.array(patterns).take(pa.array(kind // 2))
+            columns = [batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(offsets).astype(np.int32)), pa.array((kind % 2).astype(np.int32)), names]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "qoff", "strand", "pattern"])
+
+    kind = reads.schema[id_col].dataType.simpleString()
+    return reads.select(id_col, seq_col).mapInArrow(scan, f"`{id_col}` {kind}, qoff int, strand int, pattern string")
+
+
 def context_of(triplet: Column) -> Column:
     """CpG, CHG or CHH of the cytosine that starts a k-mer of up to three bases; null if none or not known."""
     up = F.upper(triplet)

@@ -28,6 +28,17 @@ def data_size(n: Column) -> Column:
     return out
 
 
+def with_commas(n: Column) -> Column:
+    """A whole number with commas between groups of three digits."""
+    return F.format_number(n.cast("long"), 0)
+
+
+def zero_padded(n: Column, width: int) -> Column:
+    """A whole number, not negative, with zeros in front up to ``width`` digits; a longer one stays whole."""
+    digits = n.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0"))
+
+
 def parse_data_size(text: Column) -> Column:
     """The reverse: a number with an optional unit B, K, M, G or T (any case, a B may follow), as bytes."""
     number = F.regexp_extract(text, r"^\s*([0-9.]+)", 1).cast("double")

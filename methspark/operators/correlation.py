@@ -25,7 +25,10 @@ def paired(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("chrom", "soff",
     joined = list(keys)
     if not unique:
         number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        a, b, joined = a.withColumn("_k", number), b.withColumn("_k", number), [*keys, "_k"]
+        nth = "nth"
+        while nth in {c.lower() for c in (*a.columns, *b.columns)}:
+            nth += "_"
+        a, b, joined = a.withColumn(nth, number), b.withColumn(nth, number), [*keys, nth]
     one = with_frequency(a).select(*joined, F.col("f").alias("fa"))
     two = with_frequency(b).select(*joined, F.col("f").alias("fb"))
     return one.join(two, joined).select(*keys, "fa", "fb")
@@ -37,8 +40,8 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when((F.var_pop(x) == 0) | (F.var_pop(y) == 0), 0.0).otherwise(F.try_divide(F.covar_pop(x, y), F.sqrt(spread)))
 
 
-def correlation(a: DataFrame, b: DataFrame, min_cov: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
-    """``n_loci, r`` (by group): null with fewer than five loci."""
-    both = paired(covered(a, min_cov), covered(b, min_cov))
+def correlation(a: DataFrame, b: DataFrame, min_cov: int = 5, by: tuple[str, ...] = (), unique: bool = False) -> DataFrame:
+    """``n_loci, r`` (by group): null with fewer than five loci. ``unique``: no site stands twice on a side, as with counted sites."""
+    both = paired(covered(a, min_cov), covered(b, min_cov), unique=unique)
     n = F.count(F.lit(1))
     return both.groupBy(*by).agg(n.alias("n_loci"), F.when(n >= LEAST_LOCI, pearson(F.col("fa"), F.col("fb"))).alias("r"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kinetics import FEATURES_PER_BASE, context_sites, decode_array, has_kinetics, read_features, windows
+from ..functions.kinetics import FEATURES_PER_BASE, base_features, context_sites, decode_array, has_kinetics, read_features, reads_of, windows
 from ..sources.files import open_input
 from . import mods
 
@@ -36,8 +36,8 @@ class LinearScorer:
         self.weights = np.random.default_rng(seed).normal(0, 0.5, (kmer * FEATURES_PER_BASE, 2)).astype(np.float32)
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        # a running sum over features in a fixed order: the same bits whatever the batch
-        return np.einsum("nf,fk->nk", features.reshape(len(features), -1), self.weights, optimize=False)
+        # doubles, so that sums in any order give the same eight bits
+        return features.reshape(len(features), -1).astype(np.float64) @ self.weights.astype(np.float64)
 
 
 class ConvScorer:
@@ -162,11 +162,10 @@ def call_sites(reads: DataFrame, scorers: list[SiteScorer], batch: int = BATCH)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             rows, sites, names, probabilities = [], [], [], []
-            for k in range(len(whole)):
-                row = whole.slice(k, 1).to_pylist()[0]
-                features = read_features(row)
+            for k, seq, arrays in reads_of(whole):
+                features = base_features(seq, *arrays)
                 for scorer in scorers:
-                    at = context_sites(row["seq"], scorer.context)
+                    at = context_sites(seq, scorer.context)
                     for low in range(0, len(at), batch):
                         part = at[low : low + batch]
                         probabilities.append(quantised(scorer.score(windows(features, part, scorer.kmer))))
@@ -181,16 +180,16 @@ def call_sites(reads: DataFrame, scorers: list[SiteScorer], batch: int = BATCH)
 
 
 def tag_reads(reads: DataFrame, scorers: list[SiteScorer], seq_col: str = "seq", min_length: int = MIN_READ_LENGTH, batch: int = BATCH) -> DataFrame:
-    """``reads`` with ``mm, ml, mn`` of the calls of all scorers, made, scored and encoded in one pass.
+    """``reads`` with ``mm, ml, mn`` of the calls of all scorers, made, scored and encoded in one pass, and with ``n_<context>``, their numbers.
 
     Kinetics are decoded first where ``kinetics_encoded`` says so. Reads that are too short or without whole kinetics stay, without tags.
     """
     packed = ("kinetics_encoded",) if "kinetics_encoded" in reads.columns else ()
 
-    def call(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    def call(row: dict) -> tuple[np.ndarray, np.ndarray, list[int]]:
         none = np.zeros(0, dtype=np.int64)
         if len(row["seq"]) < max(1, min_length) or any(len(row[k] or ()) != len(row["seq"]) for k in _KINETICS):
-            return none, none
+            return none, none, [0] * len(scorers)
         if row.get("kinetics_encoded"):
             row = row | {k: decode_array(np.asarray(row[k])) for k in _KINETICS}
         features, sites, probabilities = read_features(row), [none], [none]
@@ -200,6 +199,6 @@ def tag_reads(reads: DataFrame, scorers: list[SiteScorer], seq_col: str = "seq",
             probabilities += [quantised(scorer.score(windows(features, at[low : low + batch], scorer.kmer))) for low in range(0, len(at), batch)]
         at, p = np.concatenate(sites), np.concatenate(probabilities)
         order = np.argsort(at, kind="stable")
-        return at[order], p[order]
+        return at[order], p[order], [len(x) for x in sites[1:]]
 
-    return mods.tag_reads(reads, call, (*_KINETICS, *packed), seq_col)
+    return mods.tag_reads(reads, call, (*_KINETICS, *packed), seq_col, tuple(f"n_{s.context}" for s in scorers))

@@ -65,23 +65,31 @@ chh AS (SELECT read_id, i AS qoff, 0 AS strand, m AS motif FROM k WHERE regexp_f
 
 @query(f"WITH {_CHH} SELECT read_id, CAST(strand AS INT) AS strand, motif, count(*) AS n, CAST(sum(qoff) AS BIGINT) AS offsets, CAST(max(qoff) AS INT) AS last FROM chh GROUP BY ALL")
 def chh_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = motifs.motif_sites(derive.reads_seq(spark, sf_dir), ("CHH",))
-    return sites.groupBy("read_id", "strand", "motif").agg(F.count(F.lit(1)).alias("n"), F.sum("qoff").alias("offsets"), F.max("qoff").alias("last"))
+    return motifs.motif_summary(derive.reads_seq(spark, sf_dir), ("CHH",)).drop("context")
 
 
 @query(f"""WITH {_CHH}, hits AS (SELECT read_id, 'CHH' AS context FROM chh UNION ALL SELECT read_id, 'CHG' FROM k WHERE m IN ('CCG', 'CAG', 'CTG')
 UNION ALL SELECT read_id, 'CpG' FROM (SELECT read_id, seq, unnest(range(length(seq) - 1)) AS i FROM reads) WHERE substr(seq, i + 1, 2) = 'CG') SELECT read_id, context, count(*) AS n FROM hits GROUP BY ALL""")
 def union_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motifs.motif_sites(derive.reads_seq(spark, sf_dir)).groupBy("read_id", "context").agg(F.count(F.lit(1)).alias("n"))
+    return motifs.motif_summary(derive.reads_seq(spark, sf_dir)).groupBy("read_id", "context").agg(F.sum("n").alias("n"))
+
+
+@query(f"""WITH {_READS}, p(pattern, re, k) AS (VALUES ('CHG', 'C[ACT]G', 3), ('RCGY', '[AG]CG[CT]', 4), ('CWWG', 'C[AT][AT]G', 4)),
+s AS (SELECT read_id, 0 AS strand, seq, length(seq) AS n FROM reads UNION ALL SELECT read_id, 1, reverse(translate(seq, 'ACGT', 'TGCA')), length(seq) FROM reads),
+h AS (SELECT read_id, strand, pattern, re, k, seq, n, unnest(range(n - k + 1)) AS i FROM s, p)
+SELECT read_id, CAST(strand AS INT) AS strand, pattern, count(*) AS n, CAST(sum(CASE WHEN strand = 1 THEN n - k - i ELSE i END) AS BIGINT) AS offsets FROM h WHERE regexp_full_match(substr(seq, i + 1, k), re) GROUP BY ALL""")
+def iupac_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of patterns of base codes, on both strands, by read."""
+    sites = motifs.pattern_sites(derive.reads_seq(spark, sf_dir), ("CHG", "RCGY", "CWWG"))
+    return sites.groupBy("read_id", "strand", "pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("qoff").alias("offsets"))
 
 
 @query(f"""WITH {_READS}, k AS (SELECT substr(seq, i + 1, 3) AS m FROM (SELECT seq, unnest(range(length(seq))) AS i FROM reads))
 SELECT context, m AS motif, count(*) AS n FROM (SELECT m, CASE WHEN starts_with(m, 'CG') THEN 'CpG' WHEN regexp_full_match(m, 'C[ACT]G') THEN 'CHG' WHEN regexp_full_match(m, 'C[ACT][ACT]') THEN 'CHH' END AS context FROM k)
 WHERE context IS NOT NULL AND length(m) = 3 GROUP BY ALL""")
 def context_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every context counted by triplet; a triplet a base is cut in one regular-expression pass over each read."""
-    triplets = F.explode(F.regexp_extract_all(F.col("seq"), F.lit("(?=([ACGT]{3}))"), F.lit(1))).alias("motif")
-    rows = derive.reads_seq(spark, sf_dir).select(triplets).groupBy("motif").agg(F.count(F.lit(1)).alias("n"))
+    """Every context counted by triplet, within the pass over the reads."""
+    rows = motifs.triplet_counts(derive.reads_seq(spark, sf_dir))
     return rows.select(motifs.context_of(F.col("motif")).alias("context"), "motif", "n").filter("context is not null")
 
 
@@ -158,12 +166,12 @@ _R = "CASE WHEN count(*) >= 5 THEN round(CASE WHEN var_pop(fa) = 0 OR var_pop(fb
 
 @query(f"WITH {_HALVES}, {_PAIRED.format(5)} SELECT count(*) AS n_loci, {_R} FROM pair_")
 def freq_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(correlation.correlation(*_halves(spark, sf_dir)), "r")
+    return _rounded(correlation.correlation(*_halves(spark, sf_dir), unique=True), "r")
 
 
 @query(f"WITH {_HALVES}, {_PAIRED.format(30)} SELECT context, count(*) AS n_loci, {_R} FROM pair_ GROUP BY context")
 def corr_min_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(correlation.correlation(*_halves(spark, sf_dir), min_cov=30, by=("context",)), "r")
+    return _rounded(correlation.correlation(*_halves(spark, sf_dir), min_cov=30, by=("context",), unique=True), "r")
 
 
 @query(f"WITH {_HALVES}, {_PAIRED.format(5)} SELECT chrom, count(*) AS n_loci, CASE WHEN count(*) >= 5 THEN 0.0::DOUBLE END AS r FROM pair_ GROUP BY chrom")
@@ -221,6 +229,13 @@ def cov2bed_chh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(coverage.truth_sites(_coverage_rows(spark, sf_dir), derive.contigs(spark, sf_dir), "CHH", strict=False), "freq")
 
 
+@query(f"""WITH {_COVERAGE} SELECT chrom, count(*) FILTER (WHERE substr(five, 3, 1) = 'C') AS fs, count(*) FILTER (WHERE substr(five, 3, 1) = 'G') AS rs
+FROM k WHERE starts_with(fwd, 'CG') OR substr(five, 2, 2) = 'CG' GROUP BY chrom""")
+def strand_counts_cpg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage rows at CpG sites by strand."""
+    return coverage.strand_counts(_coverage_rows(spark, sf_dir), derive.contigs(spark, sf_dir), "CpG", strict=False)
+
+
 # ---- labels and evaluation
 
 
@@ -503,6 +518,13 @@ d AS (SELECT c.read_id, c.strand, c.qoff, (c.qoff * 7 + c.read_id) % 256 AS p, r
 @query(f"""WITH {_MM}, t AS (SELECT read_id, 'C+m' || coalesce(string_agg(',' || delta, '' ORDER BY qoff) FILTER (WHERE strand = 0), '') || ';G-m' || coalesce(string_agg(',' || delta, '' ORDER BY qoff) FILTER (WHERE strand = 1), '') || ';' AS mm, count(*) AS n_ml, CAST(sum(p) AS BIGINT) AS sum_ml FROM d GROUP BY read_id)
 SELECT r.read_id, t.mm, t.n_ml, t.sum_ml, CASE WHEN t.mm IS NOT NULL THEN CAST(length(r.seq) AS INT) END AS mn FROM r LEFT JOIN t ON t.read_id = r.read_id""")
 def mm_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags made in the pass over the reads that calls them."""
+    return _summed_tags(mods.tag_reads(derive.reads_seq(spark, sf_dir), _chh_calls, ("read_id",)))
+
+
+@query(ORACLE_SQL["mm_encode"])
+def mm_encode_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of calls that come from elsewhere: calls and reads meet by read."""
     return _summed_tags(_tagged(spark, sf_dir))
 
 
@@ -521,15 +543,3 @@ def call_reads_leftjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = derive.reads_seq(spark, sf_dir)
     calls = motifs.motif_sites(reads.filter(F.length("seq") >= scoring.MIN_READ_LENGTH), ("CpG",)).groupBy("read_id").agg(F.count(F.lit(1)).alias("n_calls"))
     return reads.join(calls, "read_id", "left").select("read_id", F.length("seq").alias("length"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"))
-
-
-#: Further names of queries over whole reads; tags are made within the pass over the reads.
-for _name in ("cigar_columns", "aln_identity", "effective_identity", "mapped_cpg", "mapped_chg", "mapped_chh", "mm_encode", "mm_decode"):
-    QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
-
-
-def mm_encode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summed_tags(mods.tag_reads(derive.reads_seq(spark, sf_dir), _chh_calls, ("read_id",)))
-
-
-QUERIES["mm_encode_whole"] = mm_encode_whole

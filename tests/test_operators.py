@@ -375,3 +375,58 @@ def test_placed_reads_meet_the_reference_by_chunks(spark):
     for chunk in (16, 64, 4096):
         got = alignment.placed(reads, table, chunk=chunk).select("read_id", "pos", "offset", "subject")
         assert sorted(map(tuple, got.collect())) == want
+
+
+# ---- base codes
+
+
+#: The bases that each code may be (fixed values).
+IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
+OPPOSITE = {"A": "T", "C": "G", "G": "C", "T": "A"}
+
+
+def test_all_base_codes_against_a_plain_table():
+    assert {k for k in motifs.MASKS} == {*IUPAC, "U"}
+    for code, bases in IUPAC.items():
+        for letter in (code, code.lower()):
+            (mask,) = motifs.base_masks(letter)
+            assert mask == sum({"A": 1, "C": 2, "G": 4, "T": 8}[b] for b in bases)
+            assert motifs.turned_masks(motifs.base_masks(letter))[0] == motifs.base_masks(next(c for c, x in IUPAC.items() if set(x) == {OPPOSITE[b] for b in bases}))[0]
+        for other, more in IUPAC.items():
+            assert bool(len(motifs.pattern_starts(motifs.base_masks(other), code))) == (set(more) <= set(bases))
+            assert bool(len(motifs.pattern_starts(motifs.base_masks(other), code, possible=True))) == bool(set(more) & set(bases))
+    assert motifs.base_masks("-. Xz@").tolist() == [0] * 6 and motifs.base_masks("u")[0] == 8
+
+
+def test_pattern_sites_on_both_strands(spark):
+    r = random.Random(6)
+    reads = [(k, "".join(r.choice("ACGTACGTACGTNRYSWKMBDHV-") for _ in range(r.randint(0, 80)))) for k in range(60)] + [(99, None)]
+    patterns = ("CG", "CHG", "CHH", "RCGY", "N")
+    for possible in (False, True):
+        got = sorted(map(tuple, motifs.pattern_sites(spark.createDataFrame(reads, "read_id long, seq string"), patterns, possible).collect()))
+        want = []
+        for k, seq in reads:
+            sets = [set(IUPAC.get(b, "")) for b in seq or ""]
+            turned = [{OPPOSITE[b] for b in s} for s in reversed(sets)]
+            for strand, own in enumerate((sets, turned)):
+                for p in patterns:
+                    for i in range(len(own) - len(p) + 1):
+                        pairs = [(own[i + j], set(IUPAC[c])) for j, c in enumerate(p)]
+                        if all(a & b if possible else a and a <= b for a, b in pairs):
+                            want.append((k, len(own) - len(p) - i if strand else i, strand, p))
+        assert got == sorted(want)
+    # on plain bases the contexts are patterns
+    plain = spark.createDataFrame([(k, "".join(r.choices("ACGT", k=300))) for k in range(5)], "read_id long, seq string")
+    for context, pattern in (("CpG", "CG"), ("CHG", "CHG")):
+        sites = sorted(map(tuple, motifs.motif_sites(plain, (context,)).select("read_id", "qoff").collect()))
+        assert sites == sorted((x.read_id, x.qoff) for x in motifs.pattern_sites(plain, (pattern,)).filter("strand = 0").collect())
+    with pytest.raises(ValueError, match="base codes"):
+        motifs.pattern_sites(plain, ("C1",))
+
+
+def test_numbers_with_commas_and_zeros(spark):
+    from methspark.functions import text
+
+    df = spark.createDataFrame([(0,), (7,), (999,), (1000,), (-1234567,), (10**15,)], "n long")
+    got = [tuple(x) for x in df.select(text.with_commas(F.col("n")), text.zero_padded(F.abs("n"), 4)).collect()]
+    assert got == [(f"{n:,}", f"{abs(n):04d}") for n in (0, 7, 999, 1000, -1234567, 10**15)]
