@@ -5,12 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import derive, kinetics, motifs
 from ..operators import alignment, correlation, coverage, evaluation, mods, pileup, sampling, scoring
-from ..sources.tables import written
+from ..sources import training
+from ..sources.tables import fresh_path, written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -543,3 +545,39 @@ def call_reads_leftjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = derive.reads_seq(spark, sf_dir)
     calls = motifs.motif_sites(reads.filter(F.length("seq") >= scoring.MIN_READ_LENGTH), ("CpG",)).groupBy("read_id").agg(F.count(F.lit(1)).alias("n_calls"))
     return reads.join(calls, "read_id", "left").select("read_id", F.length("seq").alias("length"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"))
+
+
+# ---- training samples
+
+
+_CODES = "CAST((i * 7 + read_id * 3) % 256 AS BIGINT) AS fi, CAST((i * 11 + read_id * 5) % 256 AS BIGINT) AS fp, CAST(((n - 1 - i) * 13 + read_id * 7) % 256 AS BIGINT) AS ri, CAST(((n - 1 - i) * 17 + read_id * 11) % 256 AS BIGINT) AS rp"
+
+
+@query(f"""WITH {_READS}, own AS (SELECT read_id, seq, length(seq) AS n, quality FROM reads JOIN labels ON labels.doc_id = reads.read_id WHERE quality IS NOT NULL),
+b AS (SELECT read_id, i, n, quality, substr(seq, i + 1, 1) AS b, substr(seq, i + 1, 2) AS two, {_CODES} FROM (SELECT *, unnest(range(n)) AS i FROM own)),
+s AS (SELECT read_id, quality AS label, CASE WHEN i % 2 = 0 THEN i ELSE i + 1 END AS qoff, CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END AS dir FROM b WHERE two = 'CG' AND i % 5 < 2),
+w AS (SELECT s.read_id, s.qoff, s.label, s.dir, (s.qoff + s.dir * (j - 10)) AS i, j FROM s, (SELECT unnest(range(21)) AS j)),
+m AS (SELECT w.*, CASE WHEN dir = 1 THEN b ELSE translate(b, 'ACGT', 'TGCA') END AS b, CASE WHEN dir = 1 THEN fi ELSE ri END AS fi, CASE WHEN dir = 1 THEN fp ELSE rp END AS fp, CASE WHEN dir = 1 THEN ri ELSE fi END AS ri, CASE WHEN dir = 1 THEN rp ELSE fp END AS rp
+      FROM w JOIN b ON b.read_id = w.read_id AND b.i = w.i)
+SELECT read_id, CAST(qoff AS INT) AS qoff, CAST(label AS INT) AS label, string_agg(b, '' ORDER BY j) AS bases, CAST(sum((j + 1) * fi) AS BIGINT) AS fi, CAST(sum((j + 1) * fp) AS BIGINT) AS fp, CAST(sum((j + 1) * ri) AS BIGINT) AS ri, CAST(sum((j + 1) * rp) AS BIGINT) AS rp
+FROM m GROUP BY read_id, qoff, label""")
+def training_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of samples on labelled reads, by way of the training files: bases in order, and codes summed by place."""
+    labels = derive.table(spark, sf_dir, "labels").filter("quality is not null").select(F.col("doc_id").alias("read_id"), "quality")
+    own = derive.reads_seq(spark, sf_dir).join(labels, "read_id").filter("length(seq) > 0")
+    made = lambda a, b: F.expr(f"transform(sequence(0, length(seq) - 1), i -> cast((i * {a} + read_id * {b}) % 256 as int))")
+    folder = fresh_path(spark, "training")
+    training.write_blob(own.select("read_id", "seq", made(7, 3).alias("fi"), made(11, 5).alias("fp"), made(13, 7).alias("ri"), made(17, 11).alias("rp")), folder)
+    sites = motifs.motif_sites(own.select("read_id", "seq"), ("CpG",)).filter("qoff % 5 < 2")
+    samples = sites.join(labels, "read_id").select(F.col("read_id").alias("id"), F.when(F.col("qoff") % 2 == 0, F.col("qoff")).otherwise(F.col("qoff") + 1).alias("qoff"), F.col("quality").alias("label"))
+    windows = training.training_windows(spark, folder, samples, 21)
+
+    def summed(batches):
+        weights = np.arange(1, 22)
+        for batch in batches:
+            planes = np.array([np.frombuffer(w.as_buffer(), dtype=np.uint8) for w in batch.column(3)]).reshape(-1, training.PLANES, 21)
+            letters = [bytes(b"ACGT"[x] for x in p if x < 4).decode() for p in planes[:, 0]]
+            sums = (planes[:, 1:].astype(np.int64) * weights).sum(axis=2)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(letters), *(pa.array(sums[:, k]) for k in range(4))], names=["read_id", "qoff", "label", "bases", *training.KINETICS])
+
+    return windows.mapInArrow(summed, "read_id long, qoff int, label int, bases string, fi long, fp long, ri long, rp long")
