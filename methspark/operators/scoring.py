@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinetics import FEATURES_PER_BASE, base_features, context_sites, decode_array, has_kinetics, read_features, reads_of, windows
-from ..sources.files import open_input
+from ..sources.files import open_input, open_output
 from . import mods
 
 BATCH = 4096
@@ -67,11 +67,26 @@ class ConvScorer:
 
     @classmethod
     def load(cls, context: str, kmer: int, path: str) -> ConvScorer:
-        """From a file of numpy arrays (npz), by path or URI."""
+        """From a file of numpy arrays (npz) or an ONNX model, by path or URI."""
         import io
 
+        from ..sources import onnx_file
+
         with open_input(path) as f:
-            return cls(context, kmer, dict(np.load(io.BytesIO(f.read()), allow_pickle=False)))
+            data = f.read()
+        if data[:2] == b"PK":
+            return cls(context, kmer, dict(np.load(io.BytesIO(data), allow_pickle=False)))
+        parameters, said = onnx_file.read_parameters(data)
+        if said not in (None, kmer):
+            raise ValueError(f"{path}: a model for windows of {said} bases, not {kmer}")
+        return cls(context, kmer, parameters)
+
+    def save(self, path: str) -> None:
+        """As an ONNX model, by path or URI."""
+        from ..sources import onnx_file
+
+        with open_output(path) as f:
+            f.write(onnx_file.model_bytes(self.parameters, self.kmer))
 
     @classmethod
     def untrained(cls, context: str, kmer: int, seed: int = 1) -> ConvScorer:
