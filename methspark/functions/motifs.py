@@ -35,6 +35,13 @@ def opposite_position(n: Column, pos: Column, k: int) -> Column:
     return n - 1 - (pos + (k - 1))
 
 
+def oriented_bases(seq: Column, start: Column, n: int, reverse: Column) -> Column:
+    """The n bases from ``start`` on of the sequence, or of its reverse complement where ``reverse``."""
+    forward = seq.substr(start + 1, F.lit(n))
+    turned = reverse_complement(seq.substr(F.length(seq) - start - n + 1, F.lit(n)))
+    return F.when(reverse, turned).otherwise(forward)
+
+
 def codes(seq: str | bytes) -> np.ndarray:
     """Bases as 0-3, anything else as 4."""
     return _CODE[np.frombuffer(seq.encode() if isinstance(seq, str) else seq, dtype=np.uint8)]

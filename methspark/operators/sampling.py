@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.kinetics import has_kinetics
+
 #: A seeded order has so many places.
 MODULUS = 1 << 32
 LEAST_LENGTH = 5000
@@ -42,6 +44,11 @@ def running_total(rows: DataFrame, value: str, order: Column, tie: str, buckets:
     return keyed.join(F.broadcast(starts), part).withColumn("upto", F.col(start) + F.sum(value).over(within)).drop(place, part, start)
 
 
+def eligible(reads: DataFrame, least: int = LEAST_LENGTH) -> DataFrame:
+    """Reads ``seq, fi, fp, ri, rp`` of at least so many bases and with whole kinetics of both strands."""
+    return reads.filter((F.length("seq") >= least) & has_kinetics(F.col("seq"), *[F.col(k) for k in ("fi", "fp", "ri", "rp")]))
+
+
 def to_coverage(reads: DataFrame, target: int, seed: int, id_col: str = "read_id", length: str = "length") -> DataFrame:
     """Reads in seeded order until their bases reach the target, the one that reaches it included; at least one."""
     return running_total(reads, length, seeded_order(F.col(id_col), seed), id_col).filter(F.col("upto") - F.col(length) < F.greatest(F.lit(target), F.lit(1)))

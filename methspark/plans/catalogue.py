@@ -547,6 +547,29 @@ def call_reads_leftjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.join(calls, "read_id", "left").select("read_id", F.length("seq").alias("length"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"))
 
 
+def _all_calls(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Every C and G, with a probability from place and read."""
+    at = np.flatnonzero(np.isin(motifs.codes(row["seq"]), (motifs.C, motifs.G)))
+    return at, (at * 7 + row["read_id"]) % 256
+
+
+@query(f"""WITH {_READS}, b AS (SELECT read_id, i, seq FROM (SELECT read_id, seq, unnest(range(length(seq))) AS i FROM reads) WHERE substr(seq, i + 1, 1) IN ('C', 'G')),
+c AS (SELECT (i * 7 + read_id) % 256 AS p, CASE WHEN regexp_full_match(substr(seq, i + 1, 2), 'CG') THEN 'CpG' WHEN regexp_full_match(substr(seq, i + 1, 3), 'C[ACT]G') THEN 'CHG' WHEN regexp_full_match(substr(seq, i + 1, 3), 'C[ACT][ACT]') THEN 'CHH'
+      WHEN i >= 2 AND regexp_full_match(substr(seq, i - 1, 3), '[AGT][AGT]G') THEN 'CHH' END AS context FROM b)
+SELECT context, CAST(p AS INT) AS scaled_prob, count(*) AS n FROM c WHERE context IS NOT NULL GROUP BY ALL""")
+def eval_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of the calls of unmapped reads, by the reads' own bases."""
+    tagged = mods.tag_reads(derive.reads_seq(spark, sf_dir), _all_calls, ("read_id",))
+    return mods.own_histogram(tagged.withColumn("flag", F.lit(4)))
+
+
+@query()
+def score_sites_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CpG sites scored by the convolutional network, untrained, on windows of 401 bases."""
+    reads = scoring.scorable(_kinetic_reads(spark, sf_dir))
+    return scoring.call_sites(reads, [scoring.ConvScorer.untrained("CpG", 401)], batch=256)
+
+
 # ---- training samples
 
 

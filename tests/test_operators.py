@@ -430,3 +430,78 @@ def test_numbers_with_commas_and_zeros(spark):
     df = spark.createDataFrame([(0,), (7,), (999,), (1000,), (-1234567,), (10**15,)], "n long")
     got = [tuple(x) for x in df.select(text.with_commas(F.col("n")), text.zero_padded(F.abs("n"), 4)).collect()]
     assert got == [(f"{n:,}", f"{abs(n):04d}") for n in (0, 7, 999, 1000, -1234567, 10**15)]
+
+
+# ---- reads without an alignment, eligibility, orientation, the network's query
+
+
+def test_histogram_of_reads_without_an_alignment(spark):
+    r = random.Random(14)
+    rows, want = [], {}
+    for k in range(40):
+        seq = "".join(r.choices("ACGTN", k=r.choice([0, 3, 50])))
+        flag = r.choice([0, 4, 16, 256, 2048])
+        at = np.array([i for i, b in enumerate(seq) if b in "CG" and r.random() < 0.8], dtype=np.int64)
+        p = np.array([r.randrange(256) for _ in at], dtype=np.int64)
+        mm, ml = mods.encode(seq, at, np.array([seq[i] == "G" for i in at], dtype=np.int64), p)
+        rows.append((k, flag, seq, mm, [int(x) for x in ml] if mm is not None else None))
+        if flag & 0x900:
+            continue
+        for i, x in zip(at.tolist(), p.tolist()):
+            three, back = seq[i : i + 3], seq[i - 2 : i + 1] if i >= 2 else ""
+            if three.startswith("CG"):
+                context = "CpG"
+            elif re.fullmatch("C[ACT]G", three):
+                context = "CHG"
+            elif re.fullmatch("C[ACT][ACT]", three) or re.fullmatch("[AGT][AGT]G", back):
+                context = "CHH"
+            else:
+                continue
+            want[context, x] = want.get((context, x), 0) + 1
+    df = spark.createDataFrame(rows, "read_id long, flag int, seq string, mm string, ml array<int>").repartition(3)
+    assert {(x.context, x.scaled_prob): x.n for x in mods.own_histogram(df).collect()} == want and any(f == 4 for _, f, *_ in rows)
+
+
+def test_eligible_reads_have_whole_kinetics(spark):
+    full = [1] * 8
+    rows = [(0, "ACGTACGT", full, full, full, full), (1, "ACG", [1] * 3, [1] * 3, [1] * 3, [1] * 3), (2, "ACGTACGT", full, full, full, None), (3, "ACGTACGT", full, full[:7], full, full), (4, None, full, full, full, full)]
+    df = spark.createDataFrame(rows, "read_id long, seq string, fi array<int>, fp array<int>, ri array<int>, rp array<int>")
+    assert [x.read_id for x in sampling.eligible(df, 5).collect()] == [0] and sampling.eligible(df).count() == 0
+
+
+def test_bases_by_strand(spark):
+    seq, turn = "ACCGTTGAn", str.maketrans("ACGTacgt", "TGCAtgca")
+    df = spark.createDataFrame([(seq, i, rev) for i in range(len(seq) - 2) for rev in (True, False)], "seq string, at int, rev boolean")
+    for x in df.withColumn("got", motifs.oriented_bases(F.col("seq"), F.col("at"), 3, F.col("rev"))).collect():
+        whole = seq.translate(turn)[::-1] if x.rev else seq
+        assert x.got == whole[x.at : x.at + 3]
+
+
+def test_sites_scored_by_the_network_equal_plain_loops(spark):
+    """What ``score_sites_network`` does, on short reads, against the network written out in loops."""
+    r, kmer = random.Random(21), 401
+    scorer = scoring.ConvScorer.untrained("CpG", kmer)
+    reads = [(k, "".join(r.choices("ACGT", k=n)), *([r.randrange(953) for _ in range(n)] for _ in range(4))) for k, n in enumerate((30, 250))]
+    df = spark.createDataFrame(reads, "read_id long, seq string, fi array<int>, fp array<int>, ri array<int>, rp array<int>")
+    got = {(x.read_id, x.qoff): x.scaled_prob for x in scoring.call_sites(df, [scorer], batch=3).collect()}
+    sites = [(k, i) for k, seq, *_ in reads for i in range(len(seq) - 1) if seq[i : i + 2] == "CG"]
+    assert set(got) == set(sites)
+    p = scorer.parameters
+    for k, site in r.sample(sites, 3):
+        _, seq, fi, fp, ri, rp = reads[k]
+        x = np.zeros((kmer, 8))
+        for j in range(kmer):
+            at = site - kmer // 2 + j
+            if 0 <= at < len(seq):
+                x[j, "ACGT".index(seq[at])] = 1
+                x[j, 4:] = [fi[at] / 952, fp[at] / 952, ri[len(seq) - 1 - at] / 952, rp[len(seq) - 1 - at] / 952]
+        norm = lambda h, n: (h - n[0]) / np.sqrt(n[1] + 1e-5) * n[2] + n[3]
+        x = norm(x, p["norm0"])
+        for layer in range(1, 9):
+            kernel = p[f"conv{layer}"]
+            padded = np.concatenate([np.zeros((1, x.shape[1])), x, np.zeros((1, x.shape[1]))])
+            out = [[float((padded[2 * t : 2 * t + kernel.shape[2]].T * kernel[f]).sum()) for f in range(kernel.shape[0])] for t in range((len(padded) - kernel.shape[2]) // 2 + 1)]
+            x = np.maximum(norm(np.array(out), p[f"norm{layer}"]), 0)
+        hidden = np.maximum(p["dense1"] @ x.T.ravel() + p["bias1"], 0)
+        z = p["dense2"] @ hidden + p["bias2"]
+        assert abs(got[k, site] - 255 / (1 + math.exp(z[0] - z[1]))) <= 1.01
