@@ -48,6 +48,8 @@ MOST_FREQUENT = 1 << 20
 SMALL = 32
 #: Rounds in which large buckets with the same pivot are one group.
 ROUNDS = 3
+#: Pivots of a round are broadcast if their sets have at most so many bytes.
+BROADCAST_BYTES = 64 << 20
 #: About so many sets of a pivot decide on its reference.
 VOTERS = 64
 #: Tokens counted together before they leave a task.
@@ -293,7 +295,11 @@ def _large_buckets(large: DataFrame, sets: DataFrame, labels: DataFrame, num: in
         if split.isEmpty():
             return labels
         group = now.join(split, "sig").select("g", "p", "v", "comp").distinct()
-        tokens = group.join(sets.select(F.col("v").alias("p"), F.col("tokens").alias("tp")), "p").join(sets.select("v", "tokens"), "v")
+        pivots = sets.join(split.select(F.col("p").alias("v")).distinct(), "v").select(F.col("v").alias("p"), F.col("tokens").alias("tp"))
+        pivots = written(pivots, "pivots")
+        held = 8 * (pivots.agg(F.sum(F.size("tp"))).first()[0] or 0)
+        # a pivot's set is met where its members' sets are, so it isn't copied for each of them on the way; all pivots together are measured
+        tokens = group.join(sets.select("v", "tokens"), "v").join(F.broadcast(pivots) if held <= BROADCAST_BYTES else pivots, "p")
         apart = written(tokens.select("g", "v", "comp", F.size("tokens").alias("n"), F.array_except("tp", "tokens").alias("minus"), F.array_except("tokens", "tp").alias("plus")), "apart")
 
         # the reference: what most of the voters have
