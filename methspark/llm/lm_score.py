@@ -5,7 +5,7 @@ neighbours' classes (hidden = L[left] + R[right], logits = U hidden + c, softmax
 class. A document's score is the sum of the log-probabilities of its words.
 
 Classes: the most frequent words of the whole corpus have one each, the others share hash buckets, and a boundary token stands at
-either end of a text. Their number grows with the cube root of the number of words seen ``LEAST_SEEN`` times or more. Within a bucket
+either end of a text. Their number grows with the cube root of the number of words seen ``LEAST_SEEN`` times or more, up to ``MOST_CLASSES``. Within a bucket
 of N tokens a word seen n times has n / (N + 1), from exact counts over all documents, and what was never seen shares the remaining
 1 / (N + 1); so no two words share a probability unless they were seen equally often. Counts of the most frequent words are with
 every task; the others are joined with the tokens by word, and so no task holds a list of all words. Which words are with the tasks
@@ -44,6 +44,8 @@ from .shared import written
 VOCABULARY, BUCKETS = 1024, 256
 #: Beyond that there are GROWTH times the cube root of the number of words seen LEAST_SEEN times or more, a quarter of them buckets.
 GROWTH, LEAST_SEEN = 20, 20
+#: Up to so many: the driver holds two tables of its square (134 MB each), and every task three (67 MB each). Words stay apart within their classes.
+MOST_CLASSES = 4096
 #: About so many words' counts are with every task; the others are joined.
 KNOWN = 200_000
 #: Up to so many cells a task counts pairs in whole tables.
@@ -110,7 +112,7 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY, buckets: int = BUCKETS)
 
 def classes(seen_often: int) -> tuple[int, int]:
     """How many classes a corpus gets that has so many words seen LEAST_SEEN times or more, and how many of them are buckets."""
-    size = max(VOCABULARY, round(GROWTH * seen_often ** (1 / 3)))
+    size = min(MOST_CLASSES, max(VOCABULARY, round(GROWTH * seen_often ** (1 / 3))))
     return size, max(BUCKETS, size // 4)
 
 

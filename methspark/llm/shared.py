@@ -7,14 +7,20 @@ error on a cluster.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+_FOLDERS: set[str] = set()
+_OWN = uuid.uuid4().hex
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/methspark/{what}-{uuid.uuid4().hex}"
+    """A path that nobody else uses, in a folder of this process, which goes when the process ends."""
+    folder = f"{shared_dir(spark)}/methspark/{_OWN}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, folder)
+    return f"{folder}/{what}-{uuid.uuid4().hex}"
+
+
+def _remove(folder: str) -> None:
+    with contextlib.suppress(OSError, pa.ArrowException):  # it may be out of reach by then
+        system, local = fs.FileSystem.from_uri(folder) if ":" in folder.split("/", 1)[0] else (fs.LocalFileSystem(), folder)
+        system.delete_dir(local)
 
 
 def written(df: DataFrame, what: str, *by: str) -> DataFrame:

@@ -169,6 +169,40 @@ def test_pairs_of_many_classes_are_counted_alike(spark, monkeypatch):
 def test_classes_grow_with_the_corpus():
     assert lm_score.classes(0) == (1024, 256)
     assert lm_score.classes(10**6) == (2000, 500) and lm_score.classes(8 * 10**6) == (4000, 1000)
+    assert lm_score.classes(10**9) == lm_score.classes(10**15) == (4096, 1024), "tables on the driver and with tasks are bounded"
+
+
+def test_scores_of_whole_documents_equal_a_plain_loop(spark, monkeypatch):
+    """Every document's sum, word by word: its class by the network's own probabilities, then the word by counts."""
+    for name, value in (("VOCABULARY", 12), ("BUCKETS", 4), ("GROWTH", 0), ("STEPS", 20), ("KNOWN", 9), ("FLUSH_TOKENS", 40)):
+        monkeypatch.setattr(lm_score, name, value)
+    networks, tables = [], lm_score.WindowNetwork.tables
+    monkeypatch.setattr(lm_score.WindowNetwork, "tables", lambda self: (networks.append(self), tables(self))[1])
+    r = random.Random(31)
+    texts = [" ".join(f"W{int(r.paretovariate(0.8)) % 40}" for _ in range(r.choice([0, 1, 2, 30, 200]))) for _ in range(60)] + [None, " \n", texts_of(r, 3000)]
+    model = lm_score.fit(frame(spark, [(k, t, None, None) for k, t in enumerate(texts)]))
+    (network,) = networks
+    counts, sizes = {}, {}
+    for t in texts:
+        for w in (t or "").lower().encode().split():
+            counts[w] = counts.get(w, 0) + 1
+            c = model.vocab.of([w])[0]
+            sizes[c] = sizes.get(c, 0) + 1
+    got = {x.doc_id: x for x in lm_score.score(frame(spark, [(k, t, None, None) for k, t in enumerate(texts)]), model=model).collect()}
+    for k, t in enumerate(texts):
+        own = (t or "").lower().encode().split()
+        tokens = [0, *model.vocab.of(own).tolist(), 0]
+        want = 0.0
+        for i, w in enumerate(own, 1):
+            want += network.log_probabilities(np.array([tokens[i - 1]]), np.array([tokens[i + 1]]))[0, tokens[i]]
+            if tokens[i] >= 8:
+                want += np.log(counts[w] / (sizes[tokens[i]] + 1))
+        assert got[k].n_tokens == len(own) and abs(got[k].log_likelihood - want) < 1e-4 * max(1, len(own)), k
+        assert (got[k].mean_log_likelihood is None) == (not own)
+
+
+def texts_of(r, n):
+    return " ".join(f"w{r.randrange(60)}" for _ in range(n))
 
 
 def test_lm_score_edges(spark):

@@ -4,11 +4,12 @@ import io
 import random
 import re
 
+import numpy as np
 import pytest
 from pyarrow import fs as pafs
 
 from methspark.llm import html_extract, url_filter, warc
-from methspark.llm.dom import parse
+from methspark.llm.dom import Tree, parse
 from methspark.llm.html_training import PageMaker
 from tests.llm.hand_pages import PAGES
 
@@ -166,6 +167,29 @@ def test_html_decoding_never_contradicts():
                     up = tree.parents[up]
 
 
+def test_html_decoding_is_the_best_labelling():
+    """Against every labelling of small trees: out means out below, in has no passed-through element below it."""
+    import itertools
+    import math
+
+    r = random.Random(41)
+    for _ in range(150):
+        n = r.randint(2, 7)
+        tree = Tree()
+        for k in range(1, n):
+            tree.add(r.choice(["div", "p", "a"]), r.randrange(k), "")
+        odds = [r.gauss(0, 2) for _ in range(n)]
+        inside, outside = [-math.log1p(math.exp(-x)) for x in odds], [-math.log1p(math.exp(x)) for x in odds]
+        allowed = {"pass": {"pass", "in", "out"}, "in": {"in", "out"}, "out": {"out"}}
+        best = -math.inf
+        for states in itertools.product(("pass", "in", "out"), repeat=n - 1):
+            states = ("pass", *states)
+            if all(states[k] in allowed[states[tree.parents[k]]] for k in range(1, n)):
+                best = max(best, sum(inside[k] if states[k] == "in" else outside[k] for k in range(1, n)))
+        chosen = html_extract.decode(tree, np.array(odds))
+        assert abs(sum(inside[k] if chosen[k] else outside[k] for k in range(1, n)) - best) < 1e-9
+
+
 def test_html_extraction_on_unseen_pages():
     model = html_extract.trained()
     pages = [PageMaker(77_000_000 + k).page() for k in range(150)]
