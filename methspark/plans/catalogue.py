@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import derive, kinetics, motifs
 from ..operators import alignment, correlation, coverage, evaluation, mods, pileup, sampling, scoring
-from ..sources import training
+from ..sources import bam, training
 from ..sources.tables import fresh_path, written
+from . import methylation
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -570,6 +571,45 @@ def score_sites_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.call_sites(reads, [scoring.ConvScorer.untrained("CpG", 401)], batch=256)
 
 
+_BAM = f"""{_CONTIGS}, l AS (SELECT l_orderkey * 8 + l_linenumber AS rid, chrom, l_suppkey % 60 AS mapq, l_partkey % 30 AS pos, l_suppkey, substr(seq, l_partkey % 30 + 1, CAST(40 + floor(l_quantity) AS BIGINT)) AS s,
+  CASE l_linenumber % 5 WHEN 0 THEN 16 WHEN 1 THEN 0 WHEN 2 THEN 256 WHEN 3 THEN 4 ELSE 16 * (l_orderkey % 2) END AS flag FROM lineitem JOIN contigs ON chrom = l_suppkey % (SELECT count(*) FROM benchmark)),
+a AS (SELECT *, length(s) AS n, (flag & 16) <> 0 AS rev, substr(s, 1, l_suppkey % length(s)) || 'A' || substr(s, l_suppkey % length(s) + 2) AS q FROM l WHERE s <> ''),
+k AS (SELECT *, substr(q, i + 1, 3) AS q3, substr(s, i + 1, 3) AS s3 FROM (SELECT *, unnest(range(n)) AS i FROM a WHERE (flag & 4) = 0)),
+found AS (SELECT *, 'CpG' AS context, i AS soff, CASE WHEN rev THEN n - 2 - i ELSE i END AS qoff FROM k WHERE starts_with(q3, 'CG') AND starts_with(s3, 'CG')
+UNION ALL SELECT *, 'CHG', i, CASE WHEN rev THEN n - 3 - i ELSE i END FROM k WHERE q3 = s3 AND (q3 IN ('CAG', 'CTG') OR q3 = CASE WHEN rev THEN 'CGG' ELSE 'CCG' END)
+UNION ALL SELECT *, 'CHH', i, CASE WHEN rev THEN n - 1 - i ELSE i END FROM k WHERE q3 = s3 AND regexp_full_match(q3, 'C[ACT][ACT]')
+UNION ALL SELECT *, 'CHH', i + 2, CASE WHEN rev THEN n - 3 - i ELSE i + 2 END FROM k WHERE q3 = s3 AND regexp_full_match(q3, '[AGT][AGT]G')),
+obs AS (SELECT chrom, pos + soff AS soff, context, (qoff * 7 + rid) % 256 AS scaled_prob, mapq, (flag & 2304) = 0 AS prim FROM found)"""
+
+
+@query(f"WITH {_BAM}, {_threshold_sql('WHERE prim')}, sites AS ({_SITES.format('WHERE mapq >= 20')}) {_BED}")
+def bam_to_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By way of files: reads of the contigs, tagged, as a sorted BAM, swept along a FASTA to site frequencies. Unmapped and secondary records lie among them."""
+    contigs = derive.contigs(spark, sf_dir)
+    sizes = sorted((r["chrom"], r["n"]) for r in contigs.select("chrom", F.length("seq").alias("n")).collect())  # what the header names
+    folder = fresh_path(spark, "bam")
+    contigs.select(F.concat(F.lit(">"), F.col("chrom").cast("string"), F.lit("\n"), "seq")).write.text(f"{folder}/reference")
+    line, part, supply, order = (F.col(c).cast("long") for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_orderkey"))
+    turned = F.when(line % 5 == 0, 16).when(line % 5 == 1, 0).when(line % 5 == 2, 256).when(line % 5 == 3, 4).otherwise(16 * (order % 2)).cast("int")
+    rows = derive.table(spark, sf_dir, "lineitem").withColumn("tid", (supply % len(sizes)).cast("int"))
+    met = rows.join(F.broadcast(spark.createDataFrame([(k, c) for k, (c, _) in enumerate(sizes)], "tid int, chrom long")), "tid").join(contigs, "chrom")
+    piece = met.select("tid", (order * 8 + line).alias("read_id"), turned.alias("flag"), (supply % 60).cast("int").alias("mapq"), (part % 30).cast("int").alias("pos"), supply.alias("edit"), F.col("seq").substr((part % 30 + 1).cast("int"), (F.floor("l_quantity") + 40).cast("int")).alias("s"))
+    at = (F.col("edit") % F.length("s")).cast("int")
+    seq = F.concat(F.col("s").substr(F.lit(1), at), F.lit("A"), F.col("s").substr(at + 2, F.length("s")))
+    reads = piece.filter("s != ''").withColumn("seq", seq).withColumn("original", mods.sequenced(F.col("seq"), F.col("flag")))
+    tagged = mods.tag_reads(reads, _all_calls, ("read_id",), "original")
+    placed = F.col("flag").bitwiseAND(4) == 0
+    records = tagged.select(
+        F.when(placed, F.shiftleft(F.col("tid").cast("long"), 32) + F.col("pos")).otherwise(1 << 62).alias("read_id"), F.concat(F.lit("r"), "read_id").alias("qname"), "flag",
+        F.when(placed, F.col("tid")).otherwise(-1).alias("tid"), F.when(placed, F.col("pos")).otherwise(-1).alias("pos"), "mapq",
+        F.when(placed, F.concat(F.length("seq").cast("string"), F.lit("M"))).alias("cigar"), "seq", "mm", "ml", "mn", F.lit(None).cast("map<string,string>").alias("tags"),
+    )
+    header = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in sizes)
+    bam.write_bam(records, f"{folder}/reads", header, [(str(c), n) for c, n in sizes])
+    sites = methylation.sites_of_bam(spark, f"{folder}/reads", f"{folder}/reference", min_mapq=20)
+    return _rounded(sites.select(F.col("chrom").cast("long").alias("chrom"), *[F.col(c).cast("long").alias(c) for c in ("start", "end")], "freq", "pcov", "ncov", "context"), "freq")
+
+
 # ---- training samples
 
 
