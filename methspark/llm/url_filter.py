@@ -24,7 +24,7 @@ from .shared import lower_ascii, written
 SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
 #: Listed URLs to a block of 256 bits: 16 bits a URL, about 0.1 % false positives.
 KEYS_PER_BLOCK = 16
-#: At 40 bytes a block this bounds the broadcast filter to about 40 MB.
+#: At 72 bytes a block, and a row's overhead, this bounds the broadcast filter to about 100 MB.
 BROADCAST_BLOCKS = 1 << 20
 #: Rules are a policy file; more than this many go by a shuffled join.
 BROADCAST_RULES = 100_000
