@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 
 def six_digits(value: Column) -> Column:
-    """A number from 0 to under 1e6 with six significant digits, half to even, without closing zeros, as C's %g prints it.
-
-    Values under 1e-4, which %g prints with an exponent, are printed in full.
-    """
-    exponent = F.floor(F.log10(F.when(value > 0, value)))
-    shown = F.lit("0")
-    for decimals in range(0, 13):
+    """A number with six significant digits, half to even, without closing zeros, as C's %g prints it: with an exponent under 1e-4 and from 1e6 on."""
+    size = F.abs(value.cast("double"))
+    first = F.floor(F.log10(F.when(size > 0, size))).cast("int")
+    # the exponent is that of the rounded number, which may be a power of ten more
+    mantissa = F.bround(size / F.pow(F.lit(10.0), first), 5)
+    exponent = F.when(mantissa >= 10, first + 1).otherwise(first)
+    plain = F.lit("0")
+    for decimals in range(0, 10):
         form = f"0.{'#' * decimals}" if decimals else "0"
-        shown = F.when(exponent == 5 - decimals, F.call_function("format_number", F.bround(value, decimals), F.lit(form))).otherwise(shown)
-    return shown
+        plain = F.when(exponent == 5 - decimals, F.call_function("format_number", F.bround(size, decimals), F.lit(form))).otherwise(plain)
+    digits = F.call_function("format_number", F.when(mantissa >= 10, mantissa / 10).otherwise(mantissa), F.lit("0.#####"))
+    power = F.concat(F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")))
+    shown = F.when((exponent < -4) | (exponent > 5), F.concat(digits, F.lit("e"), power)).otherwise(plain)
+    return F.when(value < 0, F.concat(F.lit("-"), shown)).otherwise(shown)
 
 
 def data_size(n: Column) -> Column:

@@ -597,7 +597,8 @@ def bam_to_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("edit") % F.length("s")).cast("int")
     seq = F.concat(F.col("s").substr(F.lit(1), at), F.lit("A"), F.col("s").substr(at + 2, F.length("s")))
     reads = piece.filter("s != ''").withColumn("seq", seq).withColumn("original", mods.sequenced(F.col("seq"), F.col("flag")))
-    tagged = mods.tag_reads(reads, _all_calls, ("read_id",), "original")
+    # rows are small before the pass and dealt out there; tags are made once, as the sort by range looks at its input twice
+    tagged = mods.tag_reads(reads.repartition("read_id"), _all_calls, ("read_id",), "original")
     placed = F.col("flag").bitwiseAND(4) == 0
     records = tagged.select(
         F.when(placed, F.shiftleft(F.col("tid").cast("long"), 32) + F.col("pos")).otherwise(1 << 62).alias("read_id"), F.concat(F.lit("r"), "read_id").alias("qname"), "flag",
@@ -605,7 +606,7 @@ def bam_to_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(placed, F.concat(F.length("seq").cast("string"), F.lit("M"))).alias("cigar"), "seq", "mm", "ml", "mn", F.lit(None).cast("map<string,string>").alias("tags"),
     )
     header = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in sizes)
-    bam.write_bam(records, f"{folder}/reads", header, [(str(c), n) for c, n in sizes])
+    bam.write_bam(written(records, "records"), f"{folder}/reads", header, [(str(c), n) for c, n in sizes])
     sites = methylation.sites_of_bam(spark, f"{folder}/reads", f"{folder}/reference", min_mapq=20)
     return _rounded(sites.select(F.col("chrom").cast("long").alias("chrom"), *[F.col(c).cast("long").alias(c) for c in ("start", "end")], "freq", "pcov", "ncov", "context"), "freq")
 

@@ -32,6 +32,8 @@ def test_named_site_files_are_the_same_at_any_partitioning(spark, tmp_path):
     for k in range(5):
         lines = [x.split("\t") for x in (tmp_path / f"s.CpG.{k}").read_text().splitlines()]
         assert len(lines) == 100 and [x[0] for x in lines] == ["1"] * 50 + ["0"] * 50 and (tmp_path / f"s.CHH.{k}").read_bytes() == b""
+    back = text.read_sample_files(spark, str(tmp_path / "s"))
+    assert sorted((x.context, x.replicate, x.label, x.predict, round(x.prob * 255)) for x in back.collect()) == sorted(map(tuple, samples.collect()))
 
 
 def test_training_files_round_trip(spark, tmp_path):

@@ -424,6 +424,17 @@ def test_pattern_sites_on_both_strands(spark):
         motifs.pattern_sites(plain, ("C1",))
 
 
+def test_six_digits_are_those_of_c(spark):
+    r = random.Random(3)
+    values = [0.0, 1.0, 100.0, 99.99996, 99.999949, 0.0001, 0.00009999996, 1e-5, 123456.0, 999999.4, 999999.6, 1e6, 12345678.9, 1e100, 3e-300, -0.5, -1.25e-7, 1e-4 / 3]
+    values += [r.choice([1, -1]) * 10 ** r.uniform(-12, 12) for _ in range(500)] + [round(r.uniform(0, 100), 9) for _ in range(300)]
+    from methspark.functions import text
+
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for x in df.withColumn("got", text.six_digits(F.col("x"))).collect():
+        assert x.got == f"{x.x:g}", x
+
+
 def test_numbers_with_commas_and_zeros(spark):
     from methspark.functions import text
 
