@@ -8,8 +8,9 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers, leftmost
    of a text make it.
 2. Terms of such pairs are counted over all documents.
 3. A term's pointwise mutual information with an entity, divided by the entity's own information, -log p(entity), is the share of the
-   entity that the term discloses: 1 if every document with the term has the entity. From ``GENERALISE_AT`` on a term is generalised, from ``REMOVE_AT`` on removed,
-   wherever it occurs in any document, as it tells as much there.
+   entity that the term discloses: 1 if every document with the term has the entity. In the documents that hold an entity, the terms that disclose
+   ``GENERALISE_AT`` of it or more are generalised, those that disclose ``REMOVE_AT`` are removed, wherever they stand in the text. With ``everywhere`` that is done in
+   all documents, also where only the term would tell of the entity.
 
 Counts are pre-aggregated before they are exchanged, so an entity or a term of any frequency leaves one row a task; texts are scanned
 again in each pass rather than moved. The disclosing terms are broadcast up to ``BROADCAST_BYTES``, measured before; beyond that words are exchanged.
@@ -138,13 +139,15 @@ def _terms_of(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda t: (F.char_length(t) >= LEAST_CHARS) & t.rlike("[^0-9]"))
 
 
+def _entities(kind: str) -> Column:
+    """Kind and value of each of a kind's spans, as one string."""
+    return F.transform(kind, lambda s: F.concat(F.lit(kind), F.lit("\0"), s.value))
+
+
 def evidence(table: DataFrame, least_windows: int = LEAST_WINDOWS) -> DataFrame:
     """``kind, value, term, n_pair, n_entity``: documents with the entity, and those with the term in one of its windows."""
     nul = F.lit("\0")
 
-    def entities(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.concat(F.lit(kind), nul, s.value))
-
     def pairs(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(F.concat(F.lit(kind), nul, s.value).alias("entity"), F.xxhash64(s.before, s.after).alias("window"), F.array_distinct(F.concat(_terms_of(s.before), _terms_of(s.after))).alias("terms")))
 
@@ -156,7 +159,7 @@ def evidence(table: DataFrame, least_windows: int = LEAST_WINDOWS) -> DataFrame:
     n_pair = per_document.groupBy("pair").agg(F.count(F.lit(1)).alias("n_pair"))
     seen = some.select(F.explode(F.concat(*map(pairs, KINDS))).alias("c")).select("c.entity", "c.window", F.explode("c.terms").alias("term"))
     supported = seen.groupBy(F.concat("entity", nul, "term").alias("pair")).agg(F.count_distinct("window").alias("windows")).filter(F.col("windows") >= least_windows).select("pair")
-    n_entity = some.select(F.explode(F.array_distinct(F.concat(*map(entities, KINDS)))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    n_entity = some.select(F.explode(F.array_distinct(F.concat(*map(_entities, KINDS)))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     cut = F.split("pair", "\0", -1)
     found = n_pair.join(supported, "pair").select(cut[0].alias("kind"), cut[1].alias("value"), cut[2].alias("term"), "n_pair")
     return found.withColumn("entity", F.concat("kind", nul, "value")).join(n_entity, "entity").select("kind", "value", "term", "n_pair", "n_entity")
@@ -172,15 +175,32 @@ def _words(docs: DataFrame, *columns) -> DataFrame:
     return docs.select(*columns, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("term"))
 
 
-def disclosing_terms(docs: DataFrame, table: DataFrame, least_windows: int = LEAST_WINDOWS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """``term, disclosure, remove``: terms that disclose at least ``generalise_at`` of some entity's information."""
+def disclosing_pairs(docs: DataFrame, table: DataFrame, least_windows: int = LEAST_WINDOWS, generalise_at: float = GENERALISE_AT) -> DataFrame:
+    """``entity, term, disclosure``: terms that disclose at least ``generalise_at`` of an entity's information."""
     pairs = written(evidence(table, least_windows), "evidence")
     n_term = _words(docs).filter(F.char_length("term") >= LEAST_CHARS).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     n = F.lit(float(table.count()))
     gained, own = F.log(n * F.col("n_pair") / (F.col("n_entity") * F.col("n_term").cast("double"))), F.log(n / F.col("n_entity"))
     share = F.when(own > 0, F.round(gained / own, 9)).otherwise(0.0)
-    best = pairs.join(n_term, "term").groupBy("term").agg(F.max(share).alias("disclosure"))
-    return best.filter(F.col("disclosure") >= generalise_at).withColumn("remove", F.col("disclosure") >= remove_at)
+    met = pairs.join(n_term, "term").select(F.concat("kind", F.lit("\0"), "value").alias("entity"), "term", share.alias("disclosure"))
+    return met.filter(F.col("disclosure") >= generalise_at)
+
+
+def _same_row(a: str, b: str) -> Column:
+    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.hash") == F.col(f"{b}.hash")) & (F.col(f"{a}.chars") == F.col(f"{b}.chars"))
+
+
+def _found_terms(docs: DataFrame, table: DataFrame, pairs: DataFrame, everywhere: bool) -> DataFrame:
+    """``id, hash, chars, term, disclosure`` of the terms to be treated in each document."""
+    terms = pairs.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    key = ["id", F.xxhash64("text").alias("hash"), F.char_length("text").alias("chars")]
+    hits = _words(docs, *key).join(_side(terms, F.col("term")), "term")
+    if everywhere:
+        return hits.select(*KEY, "term", "disclosure")
+    told = written(hits.drop("disclosure").distinct(), "hits").join(pairs, "term").alias("h")
+    held = table.select(*KEY, F.explode(F.array_distinct(F.concat(*map(_entities, KINDS)))).alias("entity")).distinct().alias("e")
+    met = told.join(held, _same_row("h", "e") & (F.col("h.entity") == F.col("e.entity")))
+    return met.groupBy("h.id", "h.hash", "h.chars", "h.term").agg(F.max("h.disclosure").alias("disclosure"))
 
 
 def _clear_of(added: Column, base: Column) -> Column:
@@ -209,22 +229,18 @@ def _places(text: Column, terms: Column) -> Column:
     return F.when(F.size(terms) > 0, matches(text, pattern, lambda *_: [])).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
-def disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_windows: int = LEAST_WINDOWS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_windows: int = LEAST_WINDOWS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, everywhere: bool = False) -> DataFrame:
     """``id, hash, chars`` of every row, an array of ``start, end`` for each kind, and ``generalise`` and ``remove``, those of the terms."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table = written(entity_table(texts, window), "entities")
-    flagged = written(disclosing_terms(texts, table, least_windows, generalise_at, remove_at), "terms")
-    key = ["id", F.xxhash64("text").alias("hash"), F.char_length("text").alias("chars")]
-    hits = _words(texts, *key).join(_side(flagged, F.col("term")), "term").groupBy(*KEY)
-    chosen = written(hits.agg(F.collect_set(F.when(~F.col("remove"), F.col("term"))).alias("general"), F.collect_set(F.when(F.col("remove"), F.col("term"))).alias("gone")), "hits")
-
-    def same(a: str, b: str) -> Column:
-        return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.hash") == F.col(f"{b}.hash")) & (F.col(f"{a}.chars") == F.col(f"{b}.chars"))
-
+    pairs = written(disclosing_pairs(texts, table, least_windows, generalise_at), "terms")
+    remove = F.col("disclosure") >= remove_at
+    hits = _found_terms(texts, table, pairs, everywhere).groupBy(*KEY)
+    chosen = written(hits.agg(F.collect_set(F.when(~remove, F.col("term"))).alias("general"), F.collect_set(F.when(remove, F.col("term"))).alias("gone")), "chosen")
     held = _side(chosen, F.array_join(F.concat("general", "gone"), " ")).alias("h")
-    met = texts.select("*", *key[1:]).alias("t").join(held, same("t", "h"))
+    met = texts.select("*", F.xxhash64("text").alias("hash"), F.char_length("text").alias("chars")).alias("t").join(held, _same_row("t", "h"))
     placed = met.select("t.id", "t.hash", "t.chars", _places(F.col("text"), F.col("general")).alias("generalise"), _places(F.col("text"), F.col("gone")).alias("remove")).dropDuplicates(KEY).alias("p")
-    joined = table.alias("e").join(placed, same("e", "p"), "left")
+    joined = table.alias("e").join(placed, _same_row("e", "p"), "left")
     spans = {kind: F.transform(f"e.{kind}", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))) for kind in KINDS}
     base = F.concat(*spans.values())
     added = [F.when(F.size(f"p.{name}") > 0, _clear_of(F.col(f"p.{name}"), base)).otherwise(F.array().cast("array<struct<start:int,end:int>>")).alias(name) for name in ("generalise", "remove")]

@@ -173,9 +173,10 @@ t0 AS (SELECT r, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7
 t1 AS (SELECT r, unnest(range(1, len(f) + 1)) AS i, f, g FROM t0 WHERE len(f) > 0),
 t AS (SELECT r, f[i] AS term, sum(length(f[i]) + length(g[i])) OVER (PARTITION BY r ORDER BY i) AS e FROM t1),
 nt AS (SELECT term, count(DISTINCT r) AS n_term FROM t WHERE term IN (SELECT term FROM p) GROUP BY term),
-sh AS (SELECT term, max(CASE WHEN n > n_entity THEN round(ln(CAST(n AS DOUBLE) * n_pair / (n_entity * CAST(n_term AS DOUBLE))) / ln(CAST(n AS DOUBLE) / n_entity), 9) ELSE 0 END) AS disclosure
-       FROM p JOIN ne USING (kind, value) JOIN nt USING (term), (SELECT count(*) AS n FROM d) GROUP BY term),
-x AS (SELECT r, CASE WHEN disclosure >= 0.95 THEN 'remove' ELSE 'generalise' END AS kind, CASE WHEN disclosure >= 0.95 THEN 6 ELSE 5 END AS o, CAST(e - length(term) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM t JOIN sh USING (term) WHERE disclosure >= 0.9),
+sh AS (SELECT kind, value, term, CASE WHEN n > n_entity THEN round(ln(CAST(n AS DOUBLE) * n_pair / (n_entity * CAST(n_term AS DOUBLE))) / ln(CAST(n AS DOUBLE) / n_entity), 9) ELSE 0 END AS disclosure
+       FROM p JOIN ne USING (kind, value) JOIN nt USING (term), (SELECT count(*) AS n FROM d)),
+y AS (SELECT t.r, t.term, e, max(disclosure) AS disclosure FROM t JOIN sh ON sh.term = t.term AND disclosure >= 0.9 JOIN (SELECT DISTINCT r, kind, value FROM b) own ON own.r = t.r AND own.kind = sh.kind AND own.value = sh.value GROUP BY ALL),
+x AS (SELECT r, CASE WHEN disclosure >= 0.95 THEN 'remove' ELSE 'generalise' END AS kind, CASE WHEN disclosure >= 0.95 THEN 6 ELSE 5 END AS o, CAST(e - length(term) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM y),
 l AS (SELECT r, kind, o, s, e FROM b UNION ALL SELECT r, kind, o, s, e FROM x WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = x.r AND b.s < x.e AND b.e > x.s)),
 z AS (SELECT r, count(*) FILTER (WHERE o = 1) AS n_email, count(*) FILTER (WHERE o = 2) AS n_ip, count(*) FILTER (WHERE o = 3) AS n_card, count(*) FILTER (WHERE o = 4) AS n_phone,
              string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY o, s) FILTER (WHERE o < 5) AS base, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY o, s) AS spans FROM l GROUP BY r)

@@ -97,14 +97,18 @@ def test_the_query_equals_its_oracle_where_terms_disclose(spark, tmp_path):
 
 def test_terms_are_replaced_everywhere_and_copies_are_no_evidence(spark, monkeypatch):
     rows = planted(random.Random(2))
-    got = {x.doc_id: x.text for x in disclosure.sanitise(frame(spark, rows)).collect()}
+    got = {x.doc_id: x.text for x in disclosure.sanitise(frame(spark, rows), everywhere=True).collect()}
     assert len(got) == len(rows) and all(got[i] == (t or "") for i, t in rows if i < 300)
     for i, t in rows:
         assert "anna.q@" not in got[i] and "Quillfeather " not in f"{got[i]} " and "Quillfeather)" not in got[i], (t, got[i])
         assert ("Uncommon" in (t or "")) == ("Uncommon" in got[i])
     assert got[331] == "Quillfeathers zx99 quillfeather" and "[EMAIL]" in got[330] and "zx9" not in got[330]
+    holders = {x.doc_id: x.text for x in disclosure.sanitise(frame(spark, rows)).collect()}
+    for i, t in rows:  # the same where the entity stands, and nothing but base spans elsewhere
+        assert holders[i] == (got[i] if "anna.q@" in (t or "") or "Quillfeather" not in (t or "") else re.sub(PLAIN["email"], "[EMAIL]", t)), i
     monkeypatch.setattr(disclosure, "BROADCAST_BYTES", -1)
-    assert got == {x.doc_id: x.text for x in disclosure.sanitise(frame(spark, rows)).collect()}
+    assert got == {x.doc_id: x.text for x in disclosure.sanitise(frame(spark, rows), everywhere=True).collect()}
+    assert holders == {x.doc_id: x.text for x in disclosure.sanitise(frame(spark, rows)).collect()}
 
 
 def test_overlapping_spans_become_one(spark):
