@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyarrow import fs as pafs
 
-from methspark.llm import html_extract, url_filter, warc
+from methspark.llm import html_extract, queries, url_filter, warc
 from methspark.llm.dom import Tree, parse
 from methspark.llm.html_training import PageMaker
 from tests.llm.hand_pages import PAGES
@@ -44,6 +44,27 @@ def test_url_filter_equals_plain_rules(spark):
         assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == (host, path, rule, verdict), u
 
 
+def test_url_filter_query_has_the_verdicts_of_its_contract(spark, tmp_path):
+    want = [
+        ("http://a.net/de/1", "net/de/", "allow"),
+        ("https://WWW.example.net/de/7?x", "net/de/", "allow"),
+        ("http://spam-farm.net/de/1", "net/de/", "allow"),
+        ("http://example.net/de/8", "example.net/de/8", "block"),
+        ("http://m.example.net/de/80#x", "example.net/de/8", "block"),
+        ("http://example.com/en/6", "com/en/", "block"),
+        ("http://a.com/en/7", "com/en/", "block"),
+        ("http://m.example.com/en/75", "example.com/en/7", "allow"),
+        ("http://a.org/es/", "org/es/", "block"),
+        ("http://spam-farm.net/en/1", None, "block"),
+        ("http://a.net/en/1", None, "allow"),
+        ("http://anet/de/1", None, "allow"),
+        (None, None, "allow"),
+    ]
+    spark.createDataFrame([(k, u) for k, (u, *_) in enumerate(want)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in queries.QUERIES["op1_url_filter"](spark, str(tmp_path)).collect()}
+    assert [(u, got[k].rule, got[k].verdict) for k, (u, *_) in enumerate(want)] == want
+
+
 def test_listed_urls_are_found_and_others_are_not(spark, monkeypatch):
     listed = [f"site{k}.org/p/{k}" for k in range(500)] + [None, "site1.org/p/1"]
     urls = [f"https://www.Site{k}.org/p/{k}.html?x=1" for k in range(0, 1000, 2)]
