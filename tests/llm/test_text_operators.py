@@ -121,6 +121,46 @@ def test_ngram_signatures_never_miss_a_similar_pair():
         assert set(sides[0][0]) & set(sides[1][0]), (trial, n, share)
 
 
+def exploded(spark, after):
+    """Rows made by every Generate of the executions beyond the first ``after``, and the number of executions so far."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, made = store.executionsList(), []
+    for k in range(after, runs.size()):
+        run = runs.apply(k).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if node.name() == "Generate":
+                found = [values.get(m.accumulatorId()) for m in (node.metrics().apply(i) for i in range(node.metrics().size())) if m.name() == "number of output rows"]
+                made += [(int(x.get().replace(",", "")), node.desc()) for x in found if x.isDefined()]
+    return made, runs.size()
+
+
+def test_ngram_votes_make_no_row_for_each_token(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 5)
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    r = random.Random(8)
+    passage = prose(r, 60)
+    rows = list(enumerate(near_copies(r, prose(r, 300), 40, 12) + [f"{prose(r, 100)} {passage}" for _ in range(40)]))
+    before = exploded(spark, 0)[1]
+    got = {x.doc_id: x.component_id for x in ngram_join.ngram_components(frame(spark, rows)).collect()}
+    assert got == brute.linked_components(rows, 5, 4, 5)
+    votes = [(n, what) for n, what in exploded(spark, before)[0] if "minus" in what]
+    assert votes and max(n for n, _ in votes) <= 2 * len(rows) * 10, votes  # a set may be of several groups
+
+
+@pytest.mark.parametrize("slices", [1, 3])
+def test_ngram_votes_equal_a_plain_count(spark, slices):
+    r, rows = random.Random(slices), []
+    for g, n in enumerate((1, 2, 3, 8, 33)):
+        rows += [(g, *([t for t in range(lo, lo + 12) if r.random() < t % 12 / 11] for lo in (-6, 100)), slices) for _ in range(n)]
+    rows += [(9, [], [], slices), (9, [], [2**62], slices)]
+    voters = spark.createDataFrame(rows, "g long, minus array<long>, plus array<long>, slices int")
+    got = {x.g: (sorted(x.f_in), sorted(x.f_out)) for x in ngram_join._turned(voters).collect()}
+    for g in {x[0] for x in rows}:
+        of = [x for x in rows if x[0] == g]
+        assert got[g] == tuple(sorted(t for t in {t for x in of for t in x[k]} if 2 * sum(t in x[k] for x in of) > len(of)) for k in (1, 2))
+
+
 def test_ngram_edges(spark):
     assert ngram_join.ngram_components(frame(spark, [])).collect() == []
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(frame(spark, [(None, "a b c d e f"), (3, "a b c d e f"), (3, "A B C D E F"), (9, None), (4, "x")])).collect()), key=str)
