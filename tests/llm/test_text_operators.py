@@ -161,6 +161,19 @@ def test_ngram_votes_equal_a_plain_count(spark, slices):
         assert got[g] == tuple(sorted(t for t in {t for x in of for t in x[k]} if 2 * sum(t in x[k] for x in of) > len(of)) for k in (1, 2))
 
 
+def test_ngram_frequent_tokens_make_no_large_bucket_however_many(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 5)
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 8, raising=False)  # beyond it frequent tokens used to be taken for rare ones
+    r = random.Random(5)
+    passage = prose(r, 30)
+    rows = list(enumerate([f"{prose(r, 40, 10**6)} {passage}" for _ in range(30)] + [f"{prose(r, 60, 10**6)} x"] * 2))
+    large = []
+    monkeypatch.setattr(ngram_join, "_large_buckets", lambda buckets, sets, labels, num, den: large.append(buckets.count()) or labels)
+    got = {x.doc_id: x.component_id for x in ngram_join.ngram_components(frame(spark, rows)).collect()}
+    assert got == brute.linked_components(rows, 5, 4, 5) and not large
+
+
 def test_ngram_edges(spark):
     assert ngram_join.ngram_components(frame(spark, [])).collect() == []
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(frame(spark, [(None, "a b c d e f"), (3, "a b c d e f"), (3, "A B C D E F"), (9, None), (4, "x")])).collect()), key=str)
