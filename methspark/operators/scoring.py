@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kinetics import FEATURES_PER_BASE, base_features, context_sites, decode_array, has_kinetics, read_features, reads_of, windows
+from ..functions.kinetics import FEATURES_PER_BASE, Frames, base_features, context_sites, decode_array, has_kinetics, kinetic_columns, read_features, reads_of, windows
 from ..sources.files import open_input, open_output
 from . import mods
 
@@ -146,9 +146,13 @@ def quantised_column(z0: Column, z1: Column) -> Column:
     return F.least(F.lit(255), F.floor(255 / (1 + F.exp(z0 - z1)))).cast("int")
 
 
+def long_enough(reads: DataFrame, min_length: int = MIN_READ_LENGTH) -> DataFrame:
+    return reads.filter(F.length("seq") >= min_length)
+
+
 def scorable(reads: DataFrame, min_length: int = MIN_READ_LENGTH) -> DataFrame:
     """Reads long enough, with whole kinetics; the others pass through a run uncalled."""
-    return reads.filter((F.length("seq") >= min_length) & has_kinetics(F.col("seq"), *[F.col(k) for k in ("fi", "fp", "ri", "rp")]))
+    return long_enough(reads, min_length).filter(has_kinetics(F.col("seq"), *[F.col(k) for k in _KINETICS]))
 
 
 def score_sites(features: DataFrame, scorer: SiteScorer, batch: int = BATCH) -> DataFrame:
@@ -167,17 +171,18 @@ def score_sites(features: DataFrame, scorer: SiteScorer, batch: int = BATCH) ->
     return features.select("read_id", "qoff", "features").mapInArrow(run, f"read_id {kind}, qoff int, context string, scaled_prob int")
 
 
-def call_sites(reads: DataFrame, scorers: list[SiteScorer], batch: int = BATCH) -> DataFrame:
+def call_sites(reads: DataFrame, scorers: list[SiteScorer], batch: int = BATCH, frames: Frames | None = None) -> DataFrame:
     """``read_id, qoff, context, scaled_prob`` of the sites of every scorer's context, in one pass over ``read_id, seq, fi, fp, ri, rp``.
 
-    Features are made and scored in the same task, a batch of sites at a time, so only the calls leave it.
+    Features are made and scored in the same task, a batch of sites at a time, so only the calls leave it. ``frames`` makes the arrays of reads that
+    come without them.
     """
     kind = reads.schema["read_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             rows, sites, names, probabilities = [], [], [], []
-            for k, seq, arrays in reads_of(whole):
+            for k, seq, arrays in reads_of(whole, frames):
                 features = base_features(seq, *arrays)
                 for scorer in scorers:
                     at = context_sites(seq, scorer.context)
@@ -190,8 +195,7 @@ def call_sites(reads: DataFrame, scorers: list[SiteScorer], batch: int = BATCH)
             join = lambda parts, to: pa.array(np.concatenate([*parts, np.zeros(0, dtype=np.int64)]).astype(to))
             yield pa.RecordBatch.from_arrays([whole.column(0).take(join(rows, np.int64)), join(sites, np.int32), pa.array(names, type=pa.string()), join(probabilities, np.int32)], names=["read_id", "qoff", "context", "scaled_prob"])
 
-    ready = reads.filter(has_kinetics(F.col("seq"), *[F.col(k) for k in ("fi", "fp", "ri", "rp")]))
-    return ready.select("read_id", "seq", "fi", "fp", "ri", "rp").mapInArrow(run, f"read_id {kind}, qoff int, context string, scaled_prob int")
+    return kinetic_columns(reads, frames).mapInArrow(run, f"read_id {kind}, qoff int, context string, scaled_prob int")
 
 
 def tag_reads(reads: DataFrame, scorers: list[SiteScorer], seq_col: str = "seq", min_length: int = MIN_READ_LENGTH, batch: int = BATCH) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from methspark.functions import kinetics, motifs, text
 from methspark.operators import alignment, correlation, coverage, evaluation, mods, pileup, sampling, scoring
+from methspark.plans import catalogue
 
 # ---- motifs and kinetics
 
@@ -61,6 +62,34 @@ def test_features_are_those_of_a_plain_loop():
             assert np.allclose(w[k], want)
 
 
+@pytest.mark.parametrize("with_arrays", [True, False])
+def test_sums_of_windows_are_made_without_windows(spark, monkeypatch, with_arrays):
+    r = random.Random(8)
+    own = {f"r{k}": "".join(r.choice("ACGTN") for _ in range(n)) for k, n in enumerate((0, 2, 3, 9, 40, 300))}
+    frames = lambda read_id, n: [np.random.default_rng([n, k]).integers(0, 953, n) for k in range(4)]
+    arrays = {i: frames(i, len(s)) for i, s in own.items()}
+    rows = [(i, s, *(a.tolist() for a in arrays[i])) for i, s in own.items()]
+    rows += [("none", None, [], [], [], [])] + [("short", "ACGT", [1], [1], [1], [1])] * with_arrays
+    reads = spark.createDataFrame(rows, "read_id string, seq string, fi array<int>, fp array<int>, ri array<int>, rp array<int>")
+    monkeypatch.setattr(kinetics, "SITES_AT_ONCE", 7)
+    found = kinetics.site_sums(reads if with_arrays else reads.select("read_id", "seq"), 21, ("cpg", "CHH"), None if with_arrays else frames)
+    got = {(x.read_id, x.qoff, x.context): tuple(x)[3:] for x in found.collect()}
+    want = {}
+    for i, seq in own.items():
+        features = kinetics.base_features(seq, *arrays[i]).astype(float)
+        for context in ("CpG", "CHH"):
+            at = kinetics.context_sites(seq, context)
+            for site, w in zip(at.tolist(), kinetics.windows(features, at, 21), strict=True):
+                sums = w.astype(float).sum(axis=0)
+                want[i, site, context] = (*np.rint(sums[:4]).astype(int).tolist(), *np.rint(sums[4:] * kinetics.MOST_FRAMES).astype(int).tolist())
+    assert got == want and len(want) > 50
+
+
+def test_kmer_features_query_sends_no_window(spark, tiny):
+    plan = catalogue.QUERIES["kmer_features"](spark, tiny)._jdf.queryExecution().toString()
+    assert plan.count("features#") == 0 and "transform(" not in plan
+
+
 def test_the_network_is_that_of_plain_loops():
     net = scoring.ConvScorer.untrained("CpG", 25)
     x = np.random.default_rng(3).normal(0, 1, (3, 25, 8))
