@@ -15,12 +15,17 @@ from ..sources.files import open_input, open_output
 from . import mods
 
 BATCH = 4096
+#: Places of a layer computed together, so that their inputs stay in a core's cache.
+ROWS_AT_ONCE = 1024
 MIN_READ_LENGTH = 1000
 _KINETICS = ("fi", "fp", "ri", "rp")
 
 
 class SiteScorer(Protocol):
-    """A model of one context; ``score`` gets (n, kmer, 8) floats and gives (n, 2) logits."""
+    """A model of one context; ``score`` gets (n, kmer, 8) floats and gives (n, 2) logits.
+
+    A scorer may have ``score_read`` as well, which gives the logits of a read's sites from the features of the whole read.
+    """
 
     context: str
     kmer: int
@@ -55,6 +60,7 @@ class ConvScorer:
     def __init__(self, context: str, kmer: int, parameters: dict[str, np.ndarray]):
         self.context, self.kmer = context, kmer
         self.parameters = {k: np.asarray(v, dtype=np.float32) for k, v in parameters.items()}
+        self._layers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         if self.parameters["dense1"].shape[1] != self.flat_size(kmer, self.parameters):
             raise ValueError(f"the parameters don't fit windows of {kmer} bases")
 
@@ -111,11 +117,69 @@ class ConvScorer:
             seen = np.lib.stride_tricks.sliding_window_view(padded, kernel.shape[2], axis=1)[:, :: self.STRIDE]
             x = np.maximum(self._normed(np.tensordot(seen, kernel, axes=((2, 3), (1, 2))), k), 0)
             k += 1
-        flat = x.transpose(0, 2, 1).reshape(len(x), -1)
+        return self._dense(x.transpose(0, 2, 1).reshape(len(x), -1))
+
+    def _dense(self, flat: np.ndarray) -> np.ndarray:
         hidden = np.maximum(flat @ self.parameters["dense1"].T + self.parameters["bias1"], 0)
         return hidden @ self.parameters["dense2"].T + self.parameters["bias2"]
 
 
+    def _layer(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of a convolution, (width * channels, filters), and its offsets, with the norm behind it folded in."""
+        if k not in self._layers:
+            mean, variance, factor, offset = self.parameters[f"norm{k}"]
+            scale = factor / np.sqrt(variance + np.float32(self.EPSILON))
+            kernel = (self.parameters[f"conv{k}"] * scale[:, None, None]).transpose(2, 1, 0)
+            self._layers[k] = np.ascontiguousarray(kernel.reshape(-1, kernel.shape[2])), offset - mean * scale
+        return self._layers[k]
+
+    def score_read(self, features: np.ndarray, sites: np.ndarray) -> np.ndarray:
+        """The logits of ``score`` for the windows around the sites of a read, with what overlapping windows share computed once.
+
+        Output j of layer k in a window that starts at base w depends on the bases around w + 2^k j alone, unless padding at the window's ends
+        reaches it: those few outputs (``edges``) are made for each site, all others once for each base that a window needs.
+        """
+        first = sites - self.kmer // 2
+        low = int(first.min())
+        first = first - low
+        span = int(first.max()) + self.kmer
+        x = np.zeros((span, features.shape[1]), dtype=np.float32)  # zero beyond the read's ends
+        a, b = max(low, 0), min(low + span, len(features))
+        x[a - low : b - low] = features[a:b]
+        x, row_of, edges, n, step, k = self._normed(x, 0), np.arange(span), {}, self.kmer, 1, 1
+        while f"conv{k}" in self.parameters:
+            width, channels = self.parameters[f"conv{k}"].shape[2], x.shape[1]
+            weights, shift = self._layer(k)
+            n_out = (n + 2 * self.PADDING - width) // self.STRIDE + 1
+            taps = {j: range(self.STRIDE * j - self.PADDING, self.STRIDE * j - self.PADDING + width) for j in range(n_out)}
+            own = [j for j, t in taps.items() if t[0] < 0 or t[-1] >= n or any(i in edges for i in t)]
+            shared = np.array([j for j in taps if j not in own], dtype=np.int64)
+            needed = np.zeros(span, dtype=bool)
+            needed[first[:, None] + self.STRIDE * step * shared] = True
+            at = np.flatnonzero(needed)
+            out = np.empty((len(at), weights.shape[1]), dtype=np.float32)
+            reach = step * (np.arange(width) - self.PADDING)
+            # the first layer's taps lie side by side
+            runs = np.lib.stride_tricks.sliding_window_view(x.reshape(-1), width * channels)[::channels] if k == 1 else None
+            for i in range(0, len(at), ROWS_AT_ONCE):
+                part = out[i : i + ROWS_AT_ONCE]
+                place = at[i : i + ROWS_AT_ONCE]
+                values = runs[place + reach[0]] if runs is not None else x[row_of[place[:, None] + reach]].reshape(len(part), -1)
+                np.matmul(values, weights, out=part)
+                part += shift
+                np.maximum(part, 0, out=part)
+            made = {}
+            for j in own:
+                inside = [(m, i) for m, i in enumerate(taps[j]) if 0 <= i < n]
+                values = np.concatenate([edges[i] if i in edges else x[row_of[first + step * i]] for _, i in inside], axis=1)
+                made[j] = np.maximum(values @ weights[inside[0][0] * channels : (inside[-1][0] + 1) * channels] + shift, 0)
+            row_of = np.zeros(span, dtype=np.int64)
+            row_of[at] = np.arange(len(at))
+            x, edges, n, step, k = out, made, n_out, self.STRIDE * step, k + 1
+        last = [edges[j] if j in edges else x[row_of[first + step * j]] for j in range(n)]
+        return self._dense(np.stack(last, axis=2).reshape(len(sites), -1))
+
+
 class OnnxScorer:
     """A model file with one input (batch, kmer, 8), both last static; the session opens on first use in each worker."""
 
@@ -136,6 +200,12 @@ class OnnxScorer:
         return self._session.run(None, {self._session.get_inputs()[0].name: features.astype(np.float32)})[0]
 
 
+def _logits(scorer: SiteScorer, features: np.ndarray, sites: np.ndarray) -> np.ndarray:
+    """Of some sites of a read: by ``score_read`` if the scorer has it, else window by window."""
+    shared = getattr(scorer, "score_read", None)
+    return shared(features, sites) if shared else scorer.score(windows(features, sites, scorer.kmer))
+
+
 def quantised(logits: np.ndarray) -> np.ndarray:
     """Softmax of two logits to 0..255, rounded down."""
     p = 1 / (1 + np.exp(np.clip(logits[:, 0].astype(np.float64) - logits[:, 1], -700, 700)))
@@ -188,7 +258,7 @@ def call_sites(reads: DataFrame, scorers: list[SiteScorer], batch: int = BATCH,
                     at = context_sites(seq, scorer.context)
                     for low in range(0, len(at), batch):
                         part = at[low : low + batch]
-                        probabilities.append(quantised(scorer.score(windows(features, part, scorer.kmer))))
+                        probabilities.append(quantised(_logits(scorer, features, part)))
                     rows.append(np.full(len(at), k))
                     sites.append(at)
                     names += [scorer.context] * len(at)
@@ -215,7 +285,7 @@ def tag_reads(reads: DataFrame, scorers: list[SiteScorer], seq_col: str = "seq",
         for scorer in scorers:
             at = context_sites(row["seq"], scorer.context)
             sites.append(at)
-            probabilities += [quantised(scorer.score(windows(features, at[low : low + batch], scorer.kmer))) for low in range(0, len(at), batch)]
+            probabilities += [quantised(_logits(scorer, features, at[low : low + batch])) for low in range(0, len(at), batch)]
         at, p = np.concatenate(sites), np.concatenate(probabilities)
         order = np.argsort(at, kind="stable")
         return at[order], p[order], [len(x) for x in sites[1:]]

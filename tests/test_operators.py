@@ -110,6 +110,22 @@ def test_the_network_is_that_of_plain_loops():
         assert got == pytest.approx(p["dense2"] @ hidden + p["bias2"], rel=1e-3, abs=1e-4)
 
 
+@pytest.mark.parametrize("kmer", [15, 26, 61, 401])
+def test_the_network_over_a_read_is_that_over_its_windows(monkeypatch, kmer):
+    monkeypatch.setattr(scoring, "ROWS_AT_ONCE", 50)
+    net, r = scoring.ConvScorer.untrained("CpG", kmer), np.random.default_rng(kmer)
+    for n, share in ((1, 1.0), (30, 0.5), (700, 0.05), (1500, 0.3)):
+        features = r.normal(0, 1, (n, 8)).astype(np.float32)
+        sites = np.flatnonzero((r.random(n) < share) | (np.arange(n) == n // 2))
+        assert np.allclose(net.score_read(features, sites), net.score(kinetics.windows(features, sites, kmer)), rtol=1e-3, atol=1e-4)
+
+
+def test_overlapping_windows_are_not_convolved_again(spark, monkeypatch):
+    net, rows = scoring.ConvScorer.untrained("CpG", 401), []
+    monkeypatch.setattr(scoring.ConvScorer, "score", lambda self, features: rows.append(len(features)) or np.zeros((len(features), 2)))
+    assert len(scoring._logits(net, np.zeros((500, 8), np.float32), np.arange(0, 500, 20))) == 25 and not rows
+
+
 def test_calls_of_one_pass_are_those_of_features_and_scores(spark, tmp_path):
     r = random.Random(3)
     seqs = ["".join(r.choice("ACGT") for _ in range(n)) for n in (0, 3, 40, 200)]
