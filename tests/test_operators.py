@@ -62,6 +62,20 @@ def test_features_are_those_of_a_plain_loop():
             assert np.allclose(w[k], want)
 
 
+def test_hits_of_joined_alignments_are_those_of_each():
+    r = random.Random(11)
+    rows = [("", "", False), ("C", "C", True), ("GC", "GC", False), ("GG", "GG", True)]
+    for k in range(60):
+        q = "".join(r.choice("ACGTN") for _ in range(r.randint(1, 60)))
+        rows.append((q, "".join(r.choice("ACGT") if r.random() < 0.1 else b for b in q), k % 2 == 1))
+    each = [alignment.Columns(f"{len(q)}M" if q else "", q, s, 0) for q, s, _ in rows]
+    each.append(alignment.Columns("2S4M2I3D6M", "TTACGCAACGCAGA", "ACGCTTTCGCAGA", 0))
+    turned, sizes = [t for *_, t in rows] + [True], [len(q) for q, *_ in rows] + [14]
+    want = sorted((k, x, a, b) for k, c in enumerate(each) for x, qs, ss in c.hits(turned[k], sizes[k]) for a, b in zip(qs.tolist(), ss.tolist(), strict=True))
+    got = sorted((k, x, a, b) for x, ks, qs, ss in alignment.joined_hits(each, turned, sizes) for k, a, b in zip(ks.tolist(), qs.tolist(), ss.tolist(), strict=True))
+    assert got == want and len(got) > 100 and alignment.joined_hits([], [], []) == []
+
+
 @pytest.mark.parametrize("with_arrays", [True, False])
 def test_sums_of_windows_are_made_without_windows(spark, monkeypatch, with_arrays):
     r = random.Random(8)
